@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolgauge.llm import bpe, decontam, linededup, quality, simhash
+from poolgauge.llm import bpe, decontam, linededup, quality, simhash, warc, wavelet
 from poolgauge.llm.common import table
 
 
+def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
@@ -31,5 +39,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_simhash, op6_bpe, op8_line_dedup, op9_quality, op10_decontaminate)
+    f.__name__: f for f in (op3_wavelet, op5_simhash, op6_bpe, op7_warc, op8_line_dedup, op9_quality, op10_decontaminate)
 }
