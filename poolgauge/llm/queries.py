@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolgauge.llm import bpe, decontam, linededup, quality, simhash, warc, wavelet
+from poolgauge.llm import bpe, chat, decontam, langid, linededup, pii, quality, simhash, warc, wavelet
 from poolgauge.llm.common import table
 
 
+#: Key of the pseudonyms in these queries; a deployment passes its own.
+PII_KEY = "poolgauge example key"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -39,5 +55,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_wavelet, op5_simhash, op6_bpe, op7_warc, op8_line_dedup, op9_quality, op10_decontaminate)
+    f.__name__: f for f in (op1_chat_format, op2_language_id, op3_wavelet, op4_pii, op5_simhash, op6_bpe, op7_warc, op8_line_dedup, op9_quality, op10_decontaminate)
 }
