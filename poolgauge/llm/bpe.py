@@ -43,6 +43,9 @@ CHUNK_BITS = 9
 STORE_BYTES = 64 << 20
 #: What an entry of a store takes beside its text and ids.
 ENTRY_BYTES = 150
+#: Pieces that go to the library as one text.
+JOINT_PIECES = 64
+
 #: Where a piece surely ends: see exact_at.
 _EXACT = re.compile(r"[!-~][ \n]|[^\W_][ \n]")
 
@@ -125,6 +128,11 @@ class Store:
         self.young[key] = ids
         self.held += len(key) + len(ids) + ENTRY_BYTES
 
+    def put_all(self, keys: list[str], ids, size: int) -> None:
+        """As put, for keys and ids of ``size`` bytes together."""
+        self.young.update(zip(keys, ids, strict=True))
+        self.held += size + ENTRY_BYTES * len(keys)
+
     def missing(self, keys: set[str]) -> set[str]:
         """The keys in neither generation; all others are in the young one afterwards."""
         if self.held > self.most:
@@ -137,8 +145,13 @@ class Store:
 
 
 def _pieces(text: str) -> list[str]:
-    head, *rest = text.split(" ")
-    return [head, *(" " + p for p in rest)] if head else [" " + p for p in rest]
+    """The text cut where the tokenizer surely starts a new piece: before a space, line feed, full stop or comma."""
+    if not _regular(text):
+        return [p for p in _BREAK.split(text) if p]
+    for mark in " \n.,":
+        text = text.replace(mark, "\0" + mark)
+    parts = text.split("\0")
+    return parts if parts[0] else parts[1:]
 
 
 class Codec:
@@ -170,25 +183,22 @@ class Codec:
         joint = list(pieces.difference(lone))
         for k, ids in zip(lone, self._library(lone), strict=True):
             self.pieces.put(k, ids)
-        for at in range(0, len(joint), 4096):
-            part = joint[at : at + 4096]
-            found = self._library(["".join(part)])[0]
+        groups = [joint[at : at + JOINT_PIECES] for at in range(0, len(joint), JOINT_PIECES)]
+        for part, found in zip(groups, self._library(["".join(g) for g in groups]), strict=True):
             ends = np.cumsum(self.sizes[np.frombuffer(found, "<u4")])
-            want = np.cumsum([len(k.encode()) for k in part])
-            stops = np.searchsorted(ends, want)
-            if (ends[stops] != want).any():
+            want = np.cumsum([len(k) if k.isascii() else len(k.encode()) for k in part])
+            at = np.searchsorted(ends, want)
+            if (ends[at] != want).any():
                 raise AssertionError("a token reaches over an exact place")
-            stops = ((stops + 1) * 4).tolist()
-            for k, i, j in zip(part, [0, *stops], stops, strict=False):
-                self.pieces.put(k, found[i:j])
+            stops = ((at + 1) * 4).tolist()
+            self.pieces.put_all(part, map(found.__getitem__, map(slice, [0, *stops[:-1]], stops)), len(found) + int(want[-1]))
 
     def _encode_chunks(self, new: list[str]) -> None:
         """Put chunks into the store. Their pieces, each beginning with the space at an exact place, are learned together."""
-        loose = [c for c in new if "<|" in c or _LOOSE.search(c)]
-        for c, ids in zip(loose, self._library(loose), strict=True):
+        special = [c for c in new if "<|" in c]
+        for c, ids in zip(special, self._library(special), strict=True):
             self.chunks.put(c, ids)
-        skip = set(loose)
-        split = [(c, _pieces(c)) for c in new if c not in skip]
+        split = [(c, _pieces(c)) for c in new if "<|" not in c]
         if missing := self.pieces.missing(set(chain.from_iterable(keys for _, keys in split))):
             self._learn(missing)
         ids_of = self.pieces.young.__getitem__
@@ -211,6 +221,14 @@ class Codec:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         return self.encode_all([text])[0]
 
+    def encode_by_piece(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts from the store of pieces alone, where chunks need not be kept."""
+        plain = [None if not t or "<|" in t else _pieces(t) for t in texts]
+        if missing := self.pieces.missing(set(chain.from_iterable(p for p in plain if p))):
+            self._learn(missing)
+        ids_of = self.pieces.young.__getitem__
+        return [b"".join(map(ids_of, p)) if p else self._library([t])[0] if t else b"" for t, p in zip(texts, plain, strict=True)]
+
     def _joined(self, text: str, parts: list[str]) -> bytes:
         ends = list(accumulate(map(len, parts)))
         repairs: list[list[int]] = []
@@ -265,9 +283,22 @@ def _byte_alphabet() -> dict[str, bytes]:
 
 
 _BYTE_OF = _byte_alphabet()
-#: Spaces that do not follow a printable ASCII character or a letter or digit: pieces may not be cut there.
 _CLOSED = re.compile(r"[!-~\w]")
-_LOOSE = re.compile(r"[^!-~\w] ")
+#: A full stop or comma after a letter or digit starts a piece, as neither joins in a run with it.
+_BREAK = re.compile(r"(?<=[!-~\w])(?=[ \n])|(?<=[^\W_])(?=[.,])")
+#: What keeps a text from being cut at every space, line feed, full stop and comma.
+_LOOSE = re.compile(r"[\W_][ \n.,](?<![!-/:-@\[-`{-~][ \n])|^[.,]|\0")
+#: Kinds of ASCII bytes: space or line feed, full stop or comma, letter or digit, other printable ones, the rest.
+_KIND = bytes(ord("s" if c in b" \n" else "d" if c in b".," else "a" if chr(c).isalnum() and c < 128 else "p" if 33 <= c <= 126 else "c") for c in range(256))
+
+
+def _regular(text: str) -> bool:
+    """Whether every space, line feed, full stop and comma of the text starts a piece."""
+    if not text.isascii():
+        return _LOOSE.search(text) is None
+    kinds = text.encode().translate(_KIND)
+    return not (b"ss" in kinds or b"pd" in kinds or b"dd" in kinds or b"sd" in kinds or b"c" in kinds or kinds[:1] == b"d")
+
 
 _codecs: dict[tuple, Codec] = {}
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from poolgauge.llm.bpe import codec, encoded, vocabulary_path
+from poolgauge.llm.bpe import codec, vocabulary_path
 from poolgauge.llm.common import cut, fresh_folder, text_key
 from poolgauge.llm.files import read_whole, write_whole
 from poolgauge.shipping import ship_code
@@ -61,7 +61,7 @@ def build(tokens: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, level
         return [at - len(packed), len(packed)]
 
     for shift in range(bits - 1, -1, -1):
-        one = ((now >> shift) & 1).astype(bool)
+        one = (now & now.dtype.type(1 << shift)) != 0
         blocks, before, total = [], [], 0
         for a in range(0, len(one), BLOCK_BITS):
             part = one[a : a + BLOCK_BITS]
@@ -69,7 +69,7 @@ def build(tokens: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, level
             total += int(np.count_nonzero(part))
             blocks.append(put(np.packbits(part, bitorder="little").tobytes()))
         planes.append({"blocks": blocks, "before": before, "zeros": len(one) - total})
-        now = np.concatenate((now[~one], now[one]))
+        now = np.concatenate((now[np.flatnonzero(~one)], now[np.flatnonzero(one)]))
     known = np.array([x is not None for x in doc_ids], dtype=bool)
     index = {"n": len(tokens), "bits": bits, "planes": planes, "docs": len(doc_ids), "ids": put(np.array([x or 0 for x in doc_ids], "<i8").tobytes()), "known": put(known.tobytes()), "ends": put(np.asarray(ends, "<i8").tobytes())}
     tail = squeeze(json.dumps(index, separators=(",", ":")).encode())
@@ -169,8 +169,8 @@ class WaveletFile:
             # whole planes pass once: the store of single blocks is for lookups
             one = np.concatenate([self._bits_of(p, k) for k in range(len(self.planes[p]["blocks"]))]).astype(bool) if self.n else np.zeros(0, bool)
             z, up = self.planes[p]["zeros"], np.empty_like(now)
-            up[~one] = now[:z]
-            up[one] = now[z:] | now.dtype.type(1 << (self.bits - 1 - p))
+            up[np.flatnonzero(~one)] = now[:z]
+            up[np.flatnonzero(one)] = now[z:] | now.dtype.type(1 << (self.bits - 1 - p))
             now = up
         return now
 
@@ -193,7 +193,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shard_tokens: i
             seq, n, ids, ends, tokens = seq + 1, 0, [], [], []
 
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), encoded(own, batch.column(1)), strict=True):
+            encoded = (ids for a in range(0, batch.num_rows, 256) for ids in own.encode_by_piece(batch.column(1).slice(a, 256).to_pylist()))
+            for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 tokens.append(np.append(np.frombuffer(data, "<u4"), np.uint32(END_ID)))
                 n += len(tokens[-1])
                 ids.append(doc_id)

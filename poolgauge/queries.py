@@ -330,7 +330,7 @@ def projection_json(spark, sf):
 
 
 @query(o.q(o.ALL, f"""SELECT CASE WHEN abs(round(sum(rate_effect_bps), 6)) >= abs(round(sum(mix_effect_bps), 6)) THEN 'rate_led_change' ELSE 'mix_led_change' END AS finding, CAST(NULL AS VARCHAR) AS deal_id, round(sum(rate_effect_bps), 6) AS figure FROM effects WHERE reporting_period = {LATEST}
-  UNION ALL SELECT 'largest_contributor', arg_max(x.deal_id, (x.total_contribution_bps, x.deal_id)), max(x.total_contribution_bps) FROM effects x JOIN deal_m d USING (deal_id, reporting_period) WHERE reporting_period = {LATEST}
+  UNION ALL SELECT 'largest_contributor', arg_max(x.deal_id, (x.total_contribution_bps, x.deal_id)) FILTER (WHERE x.total_contribution_bps IS NOT NULL), max(x.total_contribution_bps) FROM effects x JOIN deal_m d USING (deal_id, reporting_period) WHERE reporting_period = {LATEST}
   UNION ALL SELECT 'largest_rate_increase', arg_max(d.deal_id, (d.d60_change_1m_bps, d.deal_id)) FILTER (WHERE d.d60_change_1m_bps IS NOT NULL), max(d.d60_change_1m_bps) FROM effects x JOIN deal_m d USING (deal_id, reporting_period) WHERE reporting_period = {LATEST}
   UNION ALL SELECT 'highest_escalation', arg_max(deal_id, (d30_to_d60_rate_upb, deal_id)) FILTER (WHERE d30_to_d60_rate_upb IS NOT NULL), max(d30_to_d60_rate_upb) FROM flow WHERE reporting_period = {LATEST}"""))
 def findings(spark, sf):
