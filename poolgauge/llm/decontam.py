@@ -173,6 +173,7 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator
 
 
 _HITS = "struct<start:int,end:int>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -196,7 +197,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                     spans.append([{"start": x, "end": y} for x, y in a])
                     items.append(sorted(b))
                 out = pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))],
+                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))],
                     names=["doc_id", "th", "n_words", "spans", "items"],
                 )
                 yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if only_hit else out
@@ -212,9 +213,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     sparse = every.where(F.size("spans") > 0)
     for x in more:
         sparse = sparse.unionByName(x)
-    union = F.pandas_udf(lambda s: s.map(lambda lists: [{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for y in lists for x in y])]), f"array<{_HITS}>")
-    by_doc = sparse.groupBy(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th")).agg(F.collect_list("spans").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("all_items"))
-    by_doc = by_doc.select("hit_id", "hit_th", union("s").alias("all_spans"), "all_items")
+    by_doc = sparse.groupBy(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th")).agg(F.flatten(F.collect_list("spans")).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("all_items"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in row.as_py()])] for row in batch.column(2)]
+            columns = list(batch.columns)
+            columns[2] = pa.array(spans, _SPANS)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    by_doc = by_doc.mapInArrow(unite, by_doc.schema)
     met = every.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
     return met.select("doc_id", "th", "n_words", F.coalesce("all_spans", "spans").alias("spans"), F.coalesce("all_items", "items").alias("items"))
 
