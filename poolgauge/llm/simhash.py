@@ -52,19 +52,25 @@ SPLIT_LOAD = 1 << 18
 CHUNK_VARIANTS = 1 << 21
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of one whole text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of one whole text, in order; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = [*np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist(), len(joined)]
-        starts = [0, *(x + 1 for x in ends[:-shingle])]
-        of = xxhash.xxh64_intdigest
-        hashes = np.array([of(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = [*np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist(), len(joined)]
+    starts = [0, *(x + 1 for x in ends[:-shingle])]
+    of = xxhash.xxh64_intdigest
+    return np.array([of(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of one whole text."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
@@ -254,6 +260,11 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
     stay = found.groupBy("component_id", lone).agg(F.min(order).alias("s"))
     stay = cut(stay.select(F.col("s.doc_id").alias("stay_id"), F.col("s.th").alias("stay_th")))
+    return only_rows(docs, stay)
+
+
+def only_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (stay_id, stay_th)."""
     rows = docs.select(F.struct("*").alias("row"), "doc_id", text_key(F.col("text")).alias("th"))
     kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("th") == F.col("stay_th")), "left_semi")
     return kept.groupBy("doc_id", "th").agg(F.first("row").alias("row")).select("row.*")

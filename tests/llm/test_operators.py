@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from poolgauge.llm import bpe, decontam, pii, simhash, warc, wavelet
+from poolgauge.llm import bpe, decontam, pii, simhash, similar, warc, wavelet
 from poolgauge.llm.common import fresh_folder
 from poolgauge.llm.components import components
 
@@ -148,3 +148,60 @@ def test_links_are_whole(spark, split_load):
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (201, 200)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 200: 200, 201: 200}
+
+
+def _jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_80_percent_are_linked(spark):
+    rng = random.Random(3)
+    docs, pairs = [], 0
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        twin = list(words)
+        for at in (20, 60, 100, 150):  # 20 of 196 shingles change
+            twin[at] = "other"
+        assert 0.8 <= _jaccard(words, twin) < 0.83
+        far = list(words)
+        for at in (20, 60, 100, 130, 150, 180):
+            far[at] = "farther"
+        assert _jaccard(words, far) < 0.8
+        docs += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(twin)), (3 * k + 2, " ".join(far))]
+        pairs += 1
+    got = {r["doc_id"] for r in similar.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {x for x, _ in docs if x % 3 != 1}
+
+
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_groups_of_near_copies_are_whole(spark, monkeypatch, rounds):
+    """Chains, stars and exact copies against all pairs, by star rounds and by all pairs at once."""
+    monkeypatch.setattr(similar, "STAR_ROUNDS", rounds)
+    rng = random.Random(8)
+    docs = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(12):
+            docs.append((len(docs), " ".join(words)))
+            words = [f"w{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in words]
+        docs.append((len(docs), docs[-1][1].upper()))
+    docs += [(900, None), (901, " "), (None, "alone with no id at all"), (None, docs[0][1])]
+    up = list(range(len(docs)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    words = [brute.lower(t or "").split() for _, t in docs]
+    for i in range(len(docs)):
+        for j in range(i):
+            if words[i] and words[j] and _jaccard(words[i], words[j]) >= 0.8 or words[i] == words[j]:
+                up[root(i)] = root(j)
+    want: dict = {}
+    for i, (d, _) in enumerate(docs):
+        want.setdefault(root(i), []).append(d)
+    want = sorted(str(min((x for x in g if x is not None), default=None)) for g in want.values())
+    got = similar.keep_first(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == want
