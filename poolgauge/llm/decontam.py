@@ -160,12 +160,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def n_blocks(benchmark: DataFrame, block_words: int) -> int:
+    # octets bound the words: a word and its separator take at least two
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 2
+    return max(1, -(-total // block_words))
+
+
 def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[ItemAutomaton]:
     """Automata of bounded blocks of items; each block is collected and released in turn."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    # octets bound the words: a word and its separator take at least two
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 2
-    blocks = max(1, -(-total // block_words))
+    blocks = n_blocks(benchmark, block_words)
     spread = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for b in range(blocks):
         rows = (items.where(spread == b) if blocks > 1 else items).collect()
@@ -213,7 +217,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     sparse = every.where(F.size("spans") > 0)
     for x in more:
         sparse = sparse.unionByName(x)
-    by_doc = sparse.groupBy(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th")).agg(F.flatten(F.collect_list("spans")).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("all_items"))
+    by_doc = sparse.groupBy(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th")).agg(F.flatten(F.collect_set("spans")).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("all_items"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,28 +255,52 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with hit spans cut from ``text``; rows hit over more than ``max_coverage`` of their words go.
 
-    Columns stay as they are; clean rows pass untouched. Each block of items is
-    one pass over the texts as the former pass left them.
+    Columns stay as they are; clean rows pass untouched. Coverage is judged and
+    spans are cut once, on the text as it came, so the number of blocks changes
+    nothing: one block is matched where it is cut, with more of them the rows
+    meet their spans merged over all blocks.
     """
-    spark = docs.sparkSession
-    ship_code(spark)
+    ship_code(docs.sparkSession)
     where = docs.columns.index("text")
-    for automaton in item_blocks(benchmark, window, block_words):
-        shared = spark.sparkContext.broadcast(automaton)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def cut_out(text: str, n_words: int, spans: list[tuple[int, int]]) -> tuple[bool, str]:
+        keep = sum(b - a for a, b in spans) <= max_coverage * n_words
+        return keep, without_spans(text, spans) if keep else text
+
+    def cleaned(batch: pa.RecordBatch, found: Iterator[tuple[int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+        keep, texts = [], []
+        for value, (n_words, spans) in zip(batch.column(where), found, strict=True):
+            stays, text = cut_out(value.as_py(), n_words, spans) if spans else (True, value.as_py())
+            keep.append(stays)
+            texts.append(text)
+        columns = list(batch.columns)
+        columns[where] = pa.array(texts, batch.schema.field(where).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+
+    if n_blocks(benchmark, block_words) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(item_blocks(benchmark, window, block_words)))
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = shared.value
+
+            def of(text: str | None) -> tuple[int, list[tuple[int, int]]]:
+                words = words_of(text)
+                return len(words), find.match(words)[0] if find.vocab else []
+
             for batch in batches:
-                keep, texts = [], []
-                for value in batch.column(where):
-                    text = value.as_py()
-                    words = words_of(text)
-                    spans, _ = find.match(words) if find.vocab else ([], set())
-                    keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * len(words))
-                    texts.append(without_spans(text, spans) if spans and keep[-1] else text)
-                columns = list(batch.columns)
-                columns[where] = pa.array(texts, batch.schema.field(where).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                yield cleaned(batch, (of(value.as_py()) for value in batch.column(where)))
+
+        return docs.mapInArrow(match, docs.schema)
+
+    def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, spans = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            rows = pa.RecordBatch.from_arrays(batch.columns[:-2], schema=pa.schema(list(batch.schema)[:-2]))
+            yield cleaned(rows, ((n, [(x["start"], x["end"]) for x in s or []]) for n, s in zip(n_words, spans, strict=True)))
+
+    # one row for rows that repeat doc_id and text: their spans are alike
+    hit = hits(docs, benchmark, window, block_words).where(F.size("spans") > 0).dropDuplicates(["doc_id", "th"])
+    hit = cut(hit.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), F.col("n_words").alias("hit_words"), F.col("spans").alias("hit_spans")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), text_key(F.col("text")).alias("row_th"))
+    met = rows.join(hit, F.col("row_id").eqNullSafe(F.col("hit_id")) & (F.col("row_th") == F.col("hit_th")), "left")
+    return met.select("row.*", "hit_words", "hit_spans").mapInArrow(cut_spans, docs.schema)

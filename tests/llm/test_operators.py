@@ -205,3 +205,26 @@ def test_groups_of_near_copies_are_whole(spark, monkeypatch, rounds):
     want = sorted(str(min((x for x in g if x is not None), default=None)) for g in want.values())
     got = similar.keep_first(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(str(r["doc_id"]) for r in got.collect()) == want
+
+
+def test_leaks_go_alike_in_one_block_and_many(spark):
+    rng = random.Random(6)
+    fresh = iter(range(10**6))
+    clean = lambda n: " ".join(f"c{next(fresh)}" for _ in range(n))
+    passage = clean(15).split()
+    items = [(i, clean(30)) for i in range(20)] + [(50, " ".join(passage[:10])), (51, " ".join(passage[5:])), (52, clean(10)), (53, "")]
+    split = items[22][1].split()
+    docs = [
+        (1, f"{items[0][1]} {clean(40)} {items[1][1]} {items[2][1]}"),  # 90 of 130 words
+        (2, f"{clean(20)} {' '.join(passage)} {clean(20)}"),
+        (3, f"{clean(20)} {' '.join(split[:5])} {items[3][1]} {' '.join(split[5:])} {clean(60)}"),
+        (None, f"{items[4][1]} {clean(70)}"),
+        (5, None),
+        (6, clean(12)),
+    ] + [(7, f"{clean(50)} {rng.choice(items)[1]} tail")] * 3
+    docs += [(10 + i, f"{items[i][1]} {clean(40)} {items[i + 1][1]}") for i in range(19)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, decontam.remove_leaks(d, b, block_words=w).collect())) for w in (10**6, 40))
+    assert one == many
+    want = [(x, brute.cleaned(t or "", items) if t is not None else None) for x, t in docs]
+    assert sorted(map(str, decontam.remove_leaks(d, b, block_words=40).collect())) == sorted(str(r) for r in spark.createDataFrame([w for w in want if w[1] is not ...], "doc_id long, text string").collect())
