@@ -5,7 +5,8 @@ their own format, so equal values stay linked across documents, different
 values stay different, and the text keeps its shape:
 
 * card numbers of 13 to 19 digits, if their check digit is right: the digits
-  before it are permuted and the check digit is set anew; separators stay;
+  before it are permuted and the check digit is set anew; separators stay, and
+  so do numbers that a separator divides from the card (date, code, count);
 * dates that the calendar has (``YYYY-MM-DD``, ``DD.MM.YYYY``, ``MM/DD/YYYY``;
   1830 to 2129): permuted among the days of the same hundred years, each of
   which is a product of two numbers, so the network needs no cycle walking;
@@ -39,7 +40,7 @@ ROUNDS = 8
 KINDS = ("email", "ip", "date", "card", "ssn", "phone", "token")
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 
-#: Alternatives in the order in which a place of the text tries them; no one can run on into another's match.
+#: Alternatives in the order in which a place of the text tries them; a card's may run on into a number after it, see :func:`_card`.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
@@ -104,13 +105,41 @@ def _bare(m: Column) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
-    def whole(digits: Column) -> Column:
+    """``m`` with the pseudonym of its longest reading that has a right check digit (of equal ones the first).
+
+    A reading takes 13 to 19 digits and starts and ends at a separator or an end of ``m``.
+    """
+
+    def whole(r: Column, digits: Column) -> Column:
         body = _permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", (_DIGITS,))
         checked = let(body, lambda b: F.concat(b, ((10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
-        place = lambda i: F.length(_bare(F.substring(m, F.lit(1), i + 1)))  # noqa: E731  digits up to here
-        return let(checked, lambda d: F.array_join(F.transform(_chars(m), lambda c, i: F.when(F.instr(F.lit(_DIGITS), c) > 0, F.substring(d, place(i), F.lit(1))).otherwise(c)), ""))
+        place = lambda i: F.length(_bare(F.substring(r, F.lit(1), i + 1)))  # noqa: E731  digits up to here
+        return let(checked, lambda d: F.array_join(F.transform(_chars(r), lambda c, i: F.when(F.instr(F.lit(_DIGITS), c) > 0, F.substring(d, place(i), F.lit(1))).otherwise(c)), ""))
+
+    def right(digits: Column) -> Column:
+        return F.when(F.length(digits).between(13, 19), _luhn_sum(digits) % 10 == 0).otherwise(F.lit(False))
+
+    # the groups of digits: one is as long as all before it with their separators, and itself
+    groups = F.split(m, "[ -]")
+    upto = lambda g, k: F.aggregate(F.slice(g, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x) + 1)
+
+    def readings(g: Column) -> Column:
+        def ending(s: Column) -> Column:
+            def reading(e: Column) -> Column:
+                at = upto(g, s - 1) + 1
+                part = F.substring(m, at, upto(g, e) - at)
+                return F.struct((-F.length(_bare(part))).alias("less"), at.alias("at"), part.alias("part"))
+
+            return F.transform(F.sequence(s, F.size(g)), reading)
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(g)), ending))
+
+    def woven(best: Column) -> Column:
+        done = let(_bare(best["part"]), lambda d: whole(best["part"], d))
+        return F.concat(F.substring(m, F.lit(1), best["at"] - 1), done, F.substring(m, best["at"] + F.length(best["part"]), F.length(m)))
 
-    return F.when(let(_bare(m), _luhn_sum) % 10 == 0, let(_bare(m), whole)).otherwise(m)
+    best = F.array_min(F.filter(let(groups, readings), lambda x: let(_bare(x["part"]), right)))
+    return let(best, lambda b: F.when(b.isNull(), m).otherwise(woven(b)))
 
 
 def _ip(m: Column, key: Column) -> Column:

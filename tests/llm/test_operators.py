@@ -228,3 +228,12 @@ def test_leaks_go_alike_in_one_block_and_many(spark):
     assert one == many
     want = [(x, brute.cleaned(t or "", items) if t is not None else None) for x, t in docs]
     assert sorted(map(str, decontam.remove_leaks(d, b, block_words=40).collect())) == sorted(str(r) for r in spark.createDataFrame([w for w in want if w[1] is not ...], "doc_id long, text string").collect())
+
+
+def test_cards_beside_other_numbers(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    got = pseudonymised(spark, [card, f"{card} 12/27", f"{spaced} 123", f"{card} 12 times", f"12 {card}", f"{spaced}-9", f"{card} {card}", "4111111111111112 12", f"7 {spaced} 4"])
+    new = got[0]
+    parted = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert new != card
+    assert got[1:] == [f"{new} 12/27", f"{parted} 123", f"{new} 12 times", f"12 {new}", f"{parted}-9", f"{new} {new}", "4111111111111112 12", f"7 {parted} 4"]
