@@ -14,15 +14,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds: every node's greater
     neighbours, then every node's smaller ones, are linked to its smallest
     neighbour. Each round is two groupings whose minimum is pre-aggregated and
-    two joins on a checkpointed side, so a hub's edges are never gathered in
-    one task; edges only shrink towards stars. Ends when a round changes
+    two joins, whose hot keys adaptive execution splits, so a hub's edges are
+    never gathered in one task; edges only shrink towards stars. Ends when a round changes
     nothing, which a count and a hash of the edges tell.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         """``e`` holds (a, b) with a > b once per edge."""
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = cut(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m")))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
         met = both.join(least, F.col("a") == F.col("u"))
         if large:  # neighbours above u meet u's least neighbour (or u itself)
             out = met.where(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))

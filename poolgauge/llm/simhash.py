@@ -14,13 +14,15 @@ How that stays small:
   once per prefix within 2 bits of the fingerprint's own (79 rows of 16 bytes
   for 12 bits instead of 2081 variants), and the task that owns a prefix
   writes out the variants below it, sorts them and unites neighbours;
-* prefixes that a histogram (4096 counts, whatever the input) shows to be
-  loaded beyond ``split_load`` rows are dealt out by 12 further bits, so a
-  crowd of near copies with distinct fingerprints is spread over tasks;
+* a task reads its prefixes in order and holds ``most_rows`` of one at most: a
+  prefix with more rows (a crowd of near copies with distinct fingerprints) is
+  passed on, as it is read, to a further round on longer prefixes, up to whole
+  variants, which at most 2081 distinct fingerprints share;
 * a task never forms pairs: it unites the members of a variant in a
   union-find and emits one edge per fingerprint to its group's root, so a
   group of n near copies costs n edges;
-* edges meet in :mod:`components`, which is distributed.
+* edges meet in :mod:`components`, which is distributed; a component's
+  smallest doc_id is sent back to its members in ``SALTS`` parts.
 
 Defined cases: words are runs without ASCII white space after lower-casing
 A-Z; under ``shingle`` words the whole sequence is one shingle; no words or a
@@ -31,7 +33,9 @@ component_id unless its component has no other (then null).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +51,12 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 PREFIX_BITS = 12
-SPLIT_LOAD = 1 << 18
-#: Variants that a task holds at once (8 bytes each, and as much for their owners).
-CHUNK_VARIANTS = 1 << 21
+#: Rows of one key that a task joins; a key with more goes on to a round on longer keys.
+MOST_ROWS = 1 << 18
+#: Rows of whole keys, and variants of theirs, that a task holds at once (24 bytes each).
+CHUNK_ROWS, CHUNK_VARIANTS = 1 << 19, 1 << 21
+#: Parts that the members of one component are dealt out to.
+SALTS = 32
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -102,25 +109,11 @@ def flips(bits: int, most: int) -> list[np.ndarray]:
     return out[: most + 1]
 
 
-def spread(keys: np.ndarray, fps: np.ndarray, spent: np.ndarray, done: int, bits: int, half: int) -> tuple[np.ndarray, ...]:
-    """Lengthen variants' prefixes of ``done`` bits by ``bits`` more, in every way that ``half`` flips allow.
-
-    ``keys`` holds the prefix in its leading bits and zeros below; ``spent`` the
-    flips it took. Returns longer (keys, fps, spent).
-    """
-    own = (fps >> np.uint64(64 - done - bits)) & np.uint64((1 << bits) - 1)
-    shift = np.uint64(64 - done - bits)
-    parts = []
-    for k, masks in enumerate(flips(bits, half)):
-        may = spent + k <= half
-        if may.any():
-            key = keys[may, None] | ((own[may, None] ^ masks) << shift)
-            parts.append((key.ravel(), np.repeat(fps[may], len(masks)), np.repeat(spent[may] + k, len(masks))))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (keys[:0], fps[:0], spent[:0])
+Rows = tuple[np.ndarray, ...]
 
 
 class Forest:
-    """Union-find over the fingerprints that one task has seen linked."""
+    """Union-find over the fingerprints of the keys that a task holds at once."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -139,108 +132,210 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
             self.up.setdefault(min(a, b), min(a, b))
 
-
-def unite_variants(keys: np.ndarray, fps: np.ndarray, spent: np.ndarray, done: int, half: int, forest: Forest) -> None:
-    """Unite the fingerprints of rows that share a full variant; rows that share none of its prefix never meet."""
-    if len(fps) < 2:
-        return
-    order = np.argsort(keys, kind="stable")
-    keys, fps, spent = keys[order], fps[order], spent[order]
-    if done < 64:  # a prefix that only one fingerprint reached links nothing
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
+    def edges(self) -> np.ndarray:
+        """(fingerprint, its group's root) of all that are linked and no root."""
+        pairs = np.array([(x, self.root(x)) for x in self.up], dtype=np.uint64).reshape(-1, 2)
+        return pairs[pairs[:, 0] != pairs[:, 1]]
+
+
+@dataclass(frozen=True)
+class Ball:
+    """What may differ: ``bits`` bits after ``fixed`` leading ones, within ``radius`` of them."""
+
+    radius: int = RADIUS
+    fixed: int = 0
+    bits: int = 64
+
+    @property
+    def half(self) -> int:
+        return self.radius // 2
+
+    def lengthen(self, rows: Rows, done: int, more: int) -> Rows:
+        """Lengthen variants' prefixes of ``done`` bits by ``more``, in every way that half the radius allows.
+
+        ``rows``: keys, which hold the prefix in their leading bits and zeros
+        below, fingerprints and what they stand for.
+        """
+        keys, fps, nodes = rows
+        shift = np.uint64(64 - done - more)
+        own = (fps >> shift) & np.uint64((1 << more) - 1)
+        free = max(0, min(done + more, self.fixed + self.bits) - max(done, self.fixed))
+        lowest = np.uint64(max(0, done + more - self.fixed - self.bits))
+        spent = np.bitwise_count((keys ^ fps) >> np.uint64(64 - done)) if done else np.zeros(len(keys), np.uint8)
+        parts = []
+        for k, masks in enumerate(flips(free, self.half)):
+            may = spent + k <= self.half
+            if may.any() and len(masks):
+                key = keys[may, None] | ((own[may, None] ^ (masks << lowest)) << shift)
+                parts.append((key.ravel(), np.repeat(fps[may], len(masks)), np.repeat(nodes[may], len(masks))))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(x[:0] for x in rows)
+
+    def shared(self, rows: Rows, done: int) -> Iterator[Rows]:
+        """Rows (variant, fingerprint, node) of variants that several rows share, sorted by variant, in bounded parts of whole variants.
+
+        Rows that share none of a variant's prefix never meet.
+        """
+        end = min(64, self.fixed + self.bits)
+        if len(rows[0]) < 2:
+            return
+        order = np.argsort(rows[0], kind="stable")
+        rows = tuple(x[order] for x in rows)
+        first = np.concatenate(([True], rows[0][1:] != rows[0][:-1]))
         group = np.cumsum(first) - 1
-        many = np.bincount(group)[group] > 1
-        keys, fps, spent = keys[many], fps[many], spent[many]
-        step = min(8, 64 - done)
-        widest = sum(len(x) for x in flips(step, half))
+        many = np.bincount(group)[group] > 1  # a prefix that only one row reached links nothing
+        rows = tuple(x[many] for x in rows)
+        if done >= end:
+            if len(rows[0]):
+                yield rows
+            return
+        keys = rows[0]
+        bounds = [*np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys)] if len(keys) else [0]
+        step = min(8, end - done)
+        take = max(1, CHUNK_VARIANTS // sum(len(x) for x in flips(step, self.half)))
         at = 0
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else []
-        bounds = [*starts, len(keys)]
-        take = max(1, CHUNK_VARIANTS // widest)
         while at < len(bounds) - 1:
             stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + take, side="right")) - 1)
-            a, b = bounds[at], bounds[stop]
-            unite_variants(*spread(keys[a:b], fps[a:b], spent[a:b], done, step, half), done + step, half, forest)
+            yield from self.shared(self.lengthen(tuple(x[bounds[at] : bounds[stop]] for x in rows), done, step), done + step)
             at = stop
-        return
-    same = (keys[1:] == keys[:-1]) & (fps[1:] != fps[:-1])
-    links = np.unique(np.stack((fps[:-1][same], fps[1:][same]), axis=1), axis=0)
-    for a, b in links.tolist():
-        forest.unite(a, b)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+def united(parts: Iterator[Rows]) -> Iterator[np.ndarray]:
+    """Edges to the roots of groups that share variants: all of a group lies within the radius of each step, so the search itself verifies it."""
+    forest = Forest()
+    for keys, fps, _ in parts:
+        same = (keys[1:] == keys[:-1]) & (fps[1:] != fps[:-1])
+        for a, b in np.unique(np.stack((fps[:-1][same], fps[1:][same]), axis=1), axis=0).tolist():
+            forest.unite(a, b)
+    yield forest.edges()
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, prefix_bits: int = PREFIX_BITS, split_load: int = SPLIT_LOAD) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints ``nodes.fp`` exactly as distance <= radius does."""
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x, dtype=np.uint64).view(np.int64))
+
+
+def _rows(batch: pa.RecordBatch) -> Rows:
+    return tuple(batch.column(k).to_numpy().view(np.uint64) for k in range(3))
+
+
+def _batches(rows: Rows, edge: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, node), or edges in place of key and fp, in batches of bounded size."""
+    for at in range(0, len(rows[0]), 1 << 18):
+        part = [_signed(c[at : at + (1 << 18)]) for c in rows]
+        yield pa.RecordBatch.from_arrays([*part, pa.array(np.full(len(part[0]), edge))], names=["key", "fp", "node", "edge"])
+
+
+class Keys:
+    """Rows of a task in the order of their keys, given in memory of a chunk: (False, rows of whole keys) and, of keys of over ``most`` rows, (True, rows)."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.ended: list[Rows] = []
+        self.open: list[Rows] = []  # the last key, which may go on
+        self.last: np.uint64 | None = None
+        self.crowded = False
+
+    @staticmethod
+    def _size(parts: list[Rows]) -> int:
+        return sum(len(p[0]) for p in parts)
+
+    def add(self, rows: Rows) -> Iterator[tuple[bool, Rows]]:
+        keys = rows[0]
+        part = lambda a, b: tuple(x[a:b] for x in rows)
+        changes = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        goes_on = int(changes[0] if len(changes) else len(keys)) if keys[0] == self.last else 0
+        last = max(goes_on, int(changes[-1]) if len(changes) else 0)
+        if goes_on:
+            if self.crowded:
+                yield True, part(0, goes_on)
+            else:
+                self.open.append(part(0, goes_on))
+        if last < len(keys):
+            self.ended += [*self.open, part(goes_on, last)]
+            self.open, self.last, self.crowded = [part(last, len(keys))], keys[-1], False
+        if self._size(self.open) > self.most:
+            for p in self.open:
+                yield True, p
+            self.open, self.crowded = [], True
+        if self._size(self.ended) >= CHUNK_ROWS:
+            yield from self._whole()
+
+    def _whole(self) -> Iterator[tuple[bool, Rows]]:
+        if self._size(self.ended):
+            yield False, tuple(np.concatenate(x) for x in zip(*self.ended, strict=True))
+        self.ended = []
+
+    def rest(self) -> Iterator[tuple[bool, Rows]]:
+        self.ended += self.open
+        self.open = []
+        yield from self._whole()
+
+
+def links(nodes: DataFrame, ball: Ball = Ball(), prefix_bits: int = PREFIX_BITS, most_rows: int = MOST_ROWS, joined: Callable[[Iterator[Rows]], Iterator[np.ndarray]] = united) -> DataFrame:
+    """Edges (a, b) among ``nodes`` (fp, node) that ``joined`` makes of the rows sharing a variant; checkpointed.
+
+    With :func:`united` the edges connect distinct fingerprints exactly as a
+    distance within the radius does. Keys of more than ``most_rows`` rows are
+    not joined: their rows go on with ``prefix_bits`` further bits in another
+    round, to other tasks, up to whole variants.
+    """
     ship_code(nodes.sparkSession)
-    half = radius // 2
-    if radius % 2:
+    if ball.radius % 2:
         raise ValueError("the radius is even: both sides meet half-way")
-    # at most 2^prefix_bits rows: how many fingerprints lead with which prefix
-    counts = nodes.groupBy(F.shiftrightunsigned("fp", 64 - prefix_bits).alias("p")).count().collect()
-    load = np.zeros(1 << prefix_bits, dtype=np.int64)
-    for r in counts:
-        for masks in flips(prefix_bits, half):
-            load[(np.uint64(r["p"]) ^ masks).astype(np.int64)] += r["count"]
-    hot = load > split_load
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(every), 4096):
-                fps = every[at : at + 4096]
-                keys, own, spent = spread(np.zeros(len(fps), np.uint64), fps, np.zeros(len(fps), np.int64), 0, prefix_bits, half)
-                far = hot[(keys >> np.uint64(64 - prefix_bits)).astype(np.int64)]
-                k2, f2, s2 = spread(keys[far], own[far], spent[far], prefix_bits, prefix_bits, half)
-                near = ~far
-                # the low bits of a key are free: bit 0 tells a prefix of twice the length
-                key = np.concatenate((keys[near], k2 | np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([_signed(key), _signed(np.concatenate((own[near], f2))), pa.array(np.concatenate((spent[near], s2)).astype(np.int8))], names=["key", "fp", "spent"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held, n = Forest(), [], 0
-
-        def flush(final: bool) -> None:
-            """Work on all whole keys read so far; rows come sorted by key, and the last key may go on."""
-            nonlocal held, n
-            if not held:
-                return
-            keys, fps, spent = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(keys) if final else int(np.flatnonzero(keys == keys[-1])[0])
-            for long in (False, True):
-                at = np.flatnonzero((keys[:end] & np.uint64(1)).astype(bool) == long)
-                unite_variants(keys[at] & ~np.uint64(1), fps[at], spent[at], prefix_bits * (1 + long), half, forest)
-            held = [(keys[end:], fps[end:], spent[end:])] if end < len(keys) else []
-            n = len(keys) - end
-
-        for batch in batches:
-            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.int64)))
-            n += batch.num_rows
-            if n >= CHUNK_VARIANTS // 4:
-                flush(False)
-        flush(True)
-        pairs = np.array([(x, forest.root(x)) for x in forest.up], dtype=np.uint64).reshape(-1, 2)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        for at in range(0, len(pairs), 65_536):
-            yield pa.RecordBatch.from_arrays([_signed(pairs[at : at + 65_536, 0].copy()), _signed(pairs[at : at + 65_536, 1].copy())], names=["a", "b"])
-
-    sent = nodes.select("fp").mapInArrow(emit, "key long, fp long, spent byte")
-    dealt = sent.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(meet, "a long, b long")
+    end = min(64, ball.fixed + ball.bits)
+
+    def lengthened(done: int, more: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    yield from _batches(ball.lengthen(_rows(batch.slice(at, 4096)), done, more))
+
+        return run
+
+    def meet(done: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Keys(most_rows if done < end else 1 << 62)
+
+            def handled(given: Iterator[tuple[bool, Rows]]) -> Iterator[pa.RecordBatch]:
+                for crowded, rows in given:
+                    if crowded:
+                        yield from _batches(rows)
+                    else:
+                        for edges in joined(ball.shared(rows, done)):
+                            yield from _batches((edges[:, 0], edges[:, 1], edges[:, 0]), edge=True)
+
+            for batch in batches:
+                if batch.num_rows:
+                    yield from handled(held.add(_rows(batch)))
+            yield from handled(held.rest())
+
+        return run
+
+    schema = "key long, fp long, node long, edge boolean"
+    begin = nodes.select(F.lit(0).cast("long").alias("key"), "fp", "node", F.lit(False).alias("edge"))
+    sent, done, found = begin.mapInArrow(lengthened(0, prefix_bits), schema), prefix_bits, []
+    while True:
+        met = cut(sent.select("key", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(meet(done), schema))
+        found.append(met.where("edge").select(F.col("key").alias("a"), F.col("fp").alias("b")))
+        more = min(prefix_bits, end - done)
+        if more <= 0 or met.where("NOT edge").isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        sent, done = met.where("NOT edge").mapInArrow(lengthened(done, more), schema), done + more
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, th, fp and component_id (the smallest doc_id reachable) of every row of ``docs``."""
     rows = cut(fingerprints(docs, shingle))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = cut(components(cut(links(nodes, radius))))
-    rooted = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = components(links(nodes.select("fp", F.col("fp").alias("node")), Ball(radius))).withColumnRenamed("node", "fp")
+    met = cut(nodes.join(linked, "fp", "left"))
+    rooted = met.where(F.col("root").isNotNull())
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return rows.join(of, "fp")
+    # a component may hold a third of all fingerprints: its one row goes to every part of them
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    every = least.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of = rooted.withColumn("salt", salt).join(every, ["root", "salt"]).select("fp", "component_id")
+    lone = met.where(F.col("root").isNull()).select("fp", F.col("first").alias("component_id"))
+    return rows.join(cut(of.unionByName(lone)), "fp")
 
 
 def digest(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -264,7 +359,12 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
 
 
 def only_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each (stay_id, stay_th)."""
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", text_key(F.col("text")).alias("th"))
-    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("th") == F.col("stay_th")), "left_semi")
-    return kept.groupBy("doc_id", "th").agg(F.first("row").alias("row")).select("row.*")
+    """One row of ``docs`` for each (stay_id, stay_th); of rows alike in both the one with the smallest hash of all its columns.
+
+    Texts are shuffled once: join and grouping are on the same plain keys.
+    """
+    keys = lambda d, th: [F.coalesce(F.xxhash64(d), F.lit(0)).alias("k_id"), d.isNull().alias("k_none"), th.alias("k_th")]
+    names = ["k_id", "k_none", "k_th"]
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("*").alias("rh"), *keys(F.col("doc_id"), text_key(F.col("text"))))
+    kept = rows.join(stay.select(*keys(F.col("stay_id"), F.col("stay_th"))), names, "left_semi")
+    return kept.groupBy(*names).agg(F.min_by("row", "rh").alias("row")).select("row.*")

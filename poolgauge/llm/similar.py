@@ -1,23 +1,41 @@
-"""Near copies by exact shingle similarity: the near-dedup stage of the pipeline.
+"""Near copies by SimHash balls under many seeds, verified by exact shingle similarity: the near-dedup stage of the pipeline.
 
 Two texts are near copies if the Jaccard similarity of their sets of
 five-word shingles is at least 4/5; groups are the components of that relation
-and keep one row each. Every link is verified on whole shingle sets. Candidates
-are texts that agree in one of ``BANDS`` bands of ``BAND_ROWS`` minwise hashes:
-a pair at similarity 0.8 is no candidate with a chance of (1 - 0.8**4)**32,
-about 5 in 10**8, and less above.
+and keep one row each. One 64-bit fingerprint differs in about ten bits at that
+similarity, out of reach of a ball of radius 4. So a text has ``SEEDS``
+independently seeded SimHash fingerprints of ``PRINT_BITS`` bits, and the
+meet-in-the-middle search of :mod:`simhash` runs over all of them at once
+(the seed's number leads the fingerprint and may not differ): texts are
+candidates if they come within ``RADIUS`` bits under any seed. At a similarity
+of 0.8 a bit differs with a chance of 0.152, one seed finds the pair with 0.116
+and all 48 with 0.997; at 0.85 with 0.9999.
+
+Colliding pairs are verified three times, each time with less of them left:
+
+* a fingerprint carries ``CHECK_BITS`` further bits that are not searched: a
+  pair that differs in more than ``MOST_CHECK`` of them is no candidate;
+* all 1536 bits of both nodes may differ in at most ``MOST_BITS`` (a pair at
+  0.8 fails that with a chance below 1 in 10,000), and their sizes must allow
+  the similarity;
+* what is left is compared by whole shingle sets.
+
+Two unrelated texts become candidates with a chance of about 2 in 10**7, so
+their number stays below that of the texts up to some ten millions; beyond,
+``PRINT_BITS`` and ``SEEDS`` have to grow with its logarithm.
 
 How that stays small:
 
-* texts with equal shingle sets are one node from the start; only a node's
-  id, its 32 band keys and its first row's (doc_id, th) are kept;
-* shingle sets are made only for nodes that share a band with another;
-* in a star round each node is compared with one node only, the centre of one
-  of its bands, so a group of n near copies costs n comparisons. Pairs of a
-  band that are still in different components are then all compared, at once
-  if they are few, at the latest after ``STAR_ROUNDS`` rounds: nothing is
-  dropped, but a crowd of texts that agree in bands without being similar
-  costs up to all its pairs.
+* texts with equal shingle sets are one node from the start; only a node's id,
+  its fingerprints and its first row's (doc_id, th) are kept;
+* of rows that share a variant the node of the smallest id leads and is paired
+  with all that pass its check; those that do not choose a leader among
+  themselves, and so on until none is left. Groups of a crowd mostly share
+  their leaders, so a node of many near copies has some dozens of candidates,
+  however many they are;
+* each node's nearest candidate is compared first, and afterwards only pairs
+  that this has not brought into one component: about one comparison of sets
+  for each near copy.
 
 Defined cases: words and shingles are those of :mod:`simhash`; texts without
 words are alike; rows repeating a doc_id each take part; a null doc_id comes
@@ -27,27 +45,33 @@ after all others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolgauge.llm.common import cut, text_key
 from poolgauge.llm.components import components
-from poolgauge.llm.simhash import SEED, only_rows, shingle_hashes
+from poolgauge.llm.simhash import MOST_ROWS, SEED, Ball, Rows, links, only_rows, shingle_hashes
 from poolgauge.shipping import ship_code
 
 SHINGLE = 5
-BANDS, BAND_ROWS = 32, 4
-STAR_ROUNDS = 3
-#: Pairs left, for each row of (band, node), that are all compared at once.
-FEW_PAIRS = 2
+#: Two fingerprints of 32 bits to a word of 64; a fingerprint as searched has the seed's number, its bits, and bits of the word's other half.
+SEEDS, SEED_BITS, PRINT_BITS, CHECK_BITS, RADIUS = 48, 6, 32, 26, 2
+WORDS = SEEDS // 2
+NEAR = Ball(RADIUS, fixed=SEED_BITS, bits=PRINT_BITS)
+#: Of the check bits: 0.152 of 26 at a similarity of 0.8, and 2.2 standard deviations more; unrelated texts pass with 0.04.
+MOST_CHECK = 8
+#: Of the bits of all seeds: 0.152 of 1536 at a similarity of 0.8, and four standard deviations more.
+MOST_BITS = 289
 
 _RNG = np.random.default_rng(SEED)
-_FLIP, _ODD, _MIX = (_RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(3))
+_FLIP, _ODD, _MIX = (_RNG.integers(0, 1 << 64, (WORDS, 1), dtype=np.uint64) | np.uint64(1) for _ in range(3))
+_LANES = np.uint64(0x0101010101010101)
+#: Shingles whose bits a lane of a byte counts.
+_AT_ONCE = 240
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -55,11 +79,18 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(least, ((shingles[at : at + 1024] ^ _FLIP[:, None]) * _ODD[:, None]).min(axis=1), out=least)
-    return (least * _MIX).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+def prints_of(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprints of all seeds: a bit is 1 if set in over half of the shingles' hashes under that seed."""
+    ones = np.zeros((WORDS, 8, 8), dtype=np.int64)
+    for at in range(0, len(shingles), _AT_ONCE):
+        x = (shingles[at : at + _AT_ONCE] ^ _FLIP) * _ODD
+        x ^= x >> np.uint64(32)
+        x *= _MIX
+        x ^= x >> np.uint64(29)
+        for k in range(8):
+            # a byte of the sum counts bit k of the same byte of all hashes
+            ones[:, :, k] += ((x >> np.uint64(k)) & _LANES).sum(axis=1).view(np.uint8).reshape(WORDS, 8)
+    return np.packbits(2 * ones.reshape(WORDS, 64) > len(shingles), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _id_type(docs: DataFrame) -> str:
@@ -67,20 +98,21 @@ def _id_type(docs: DataFrame) -> str:
 
 
 def nodes_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """node (a hash of the shingle set), bands, and first: order, doc_id and th of its first row."""
+    """node (a hash of the shingle set), its size, prints, and first: order, doc_id and th of its first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, bands = [], []
+            ids, sizes, prints = [], [], []
             for t in batch.column(2):
                 found = shingle_set(t.as_py(), shingle)
                 ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                bands.append(band_keys(found).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "bands"])
+                sizes.append(len(found))
+                prints.append(prints_of(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "size", "prints"])
 
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("th"), "text").mapInArrow(run, f"doc_id {_id_type(docs)}, th long, node long, bands array<long>")
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("th"), "text").mapInArrow(run, f"doc_id {_id_type(docs)}, th long, node long, size int, prints array<long>")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
-    return rows.groupBy("node").agg(F.min(order).alias("first"), F.first("bands").alias("bands"))
+    return rows.groupBy("node").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("prints").alias("prints"))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -99,56 +131,80 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return met.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
+def candidates(parts: Iterator[Rows]) -> Iterator[np.ndarray]:
+    """Pairs of nodes from rows that share a variant and pass the check bits."""
+    check = np.uint64((1 << CHECK_BITS) - 1)
+    for keys, fps, nodes in parts:
+        found = []
+        # by variant and node: the first row of a group leads it
+        order = np.lexsort((nodes, keys))
+        keys, fps, nodes = keys[order], fps[order], nodes[order]
+        left = np.arange(len(keys))
+        while len(left):
+            first = np.concatenate(([True], keys[left][1:] != keys[left][:-1]))
+            leader = left[np.flatnonzero(first)][np.cumsum(first) - 1]
+            good = np.bitwise_count((fps[leader] ^ fps[left]) & check) <= MOST_CHECK
+            met = good & (nodes[leader] != nodes[left])
+            found.append(np.stack((nodes[leader[met]], nodes[left[met]]), axis=1))
+            left = left[~good]
+        yield np.unique(np.concatenate(found), axis=0)
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    """In how many bits of all seeds two arrays of prints differ."""
+    of = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WORDS)]
+    return sum(of[1:], of[0])
+
+
+def dealt_bits(prints: int) -> int:
+    """Leading bits of a variant, the seed's among them, by which keys of evenly spread fingerprints have at most half of MOST_ROWS rows."""
+    k = 3
+    while prints * (1 + k) > SEEDS * 2**k * MOST_ROWS // 2 and k < PRINT_BITS:
+        k += 1
+    return SEED_BITS + k
+
+
+def plausible_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b, apart): pairs of nodes that may be similar by fingerprints and sizes; a is the smaller node."""
+    word = F.col("word")
+    part = lambda bits, at, n: F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << n) - 1))
+    seeded = lambda seed, own, other: F.shiftleft(seed.cast("long"), 64 - SEED_BITS).bitwiseOR(F.shiftleft(own, CHECK_BITS)).bitwiseOR(other)
+    both = F.array(seeded(2 * F.col("k"), part(word, 0, 32), part(word, 32, CHECK_BITS)), seeded(2 * F.col("k") + 1, part(word, 32, 32), part(word, 0, CHECK_BITS)))
+    prints = nodes.select("node", F.posexplode("prints").alias("k", "word")).select("node", F.explode(both).alias("fp"))
+    found = links(prints, NEAR, dealt_bits(nodes.count() * SEEDS), joined=candidates).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("prints").alias(f"p{x}"))
+    met = found.join(side("a"), "a").join(side("b"), "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    return cut(met.select("a", "b", bits_apart(F.col("pa"), F.col("pb")).alias("apart")).where(F.col("apart") <= MOST_BITS))
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a similarity of at least 4/5."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     # both / (a + b - both) >= 4/5
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def groups(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and root: components of the similar pairs among ``members`` (band, node)."""
-    size = members.count()
-    good = members.sparkSession.createDataFrame([], "a long, b long")
-    tried, roots = good, members.sparkSession.createDataFrame([], "node long, root long")
-    for turn in count():
-        placed = cut(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
-        by_root = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-        mixed = cut(by_root.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where(F.col("n") * F.col("n") > F.col("same")))
-        left = mixed.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0)).alias("x")).first()["x"] // 2
-        if not left:
-            return roots
-        placed = placed.join(mixed.select("band"), "band", "left_semi")
-        last = turn >= STAR_ROUNDS or (turn > 0 and left <= FEW_PAIRS * size)
-        if last:
-            other = placed.select("band", F.col("node").alias("b"), F.col("root").alias("other"))
-            pairs = placed.withColumnRenamed("node", "a").join(other, "band").where(F.col("root") < F.col("other"))
-        else:
-            centre = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("c"))
-            pairs = placed.join(centre, "band").where(F.col("root") != F.col("c.root")).groupBy(F.col("node").alias("a")).agg(F.min("c")["node"].alias("b"))
-        pairs = cut(_ordered(pairs).join(tried, ["a", "b"], "left_anti"))
-        found = cut(similar(pairs, sets))
-        tried = tried.union(pairs)
-        if not found.isEmpty():
-            good = good.union(found)
-            roots = cut(components(good))
-        if last:
-            return roots
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+
+
+def groups(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node and root of every node that is similar to another: components of the similar pairs."""
+    pairs = plausible_pairs(nodes)
+    either = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart").unionAll(pairs.select("b", "a", "apart"))
+    sets = cut(sets_of(docs, nodes.join(either.select(F.col("x").alias("node")).distinct(), "node", "left_semi"), shingle))
+    nearest = either.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+    first = cut(nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    good = similar(first, sets)
+    roots = components(good)
+    at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    apart = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    rest = cut(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    more = similar(rest, sets)
+    return roots if more.isEmpty() else components(good.unionAll(more))
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` per group of near copies: the one with the smallest doc_id (then the smallest text hash)."""
     ship_code(docs.sparkSession)
     nodes = cut(nodes_of(docs, shingle))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = cut(banded.join(shared, "band", "left_semi").select("band", "node"))
-    met = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    roots = groups(members, cut(sets_of(docs, met, shingle)))
-    stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("s"))
+    placed = nodes.join(groups(nodes, docs, shingle), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = placed.groupBy("root").agg(F.min("first").alias("s"))
     return only_rows(docs, cut(stay.select(F.col("s.doc_id").alias("stay_id"), F.col("s.th").alias("stay_th"))))
