@@ -12,7 +12,8 @@ cutoffs:
   Tests of one (s, r) run from the most lenient cutoff downwards, where the
   tail only grows (fixed-sequence testing), so Bonferroni over (s, r) holds
   the family-wise error: with probability 1 - delta every stratum loses at
-  most ``alpha`` of its good texts to all rules together;
+  most ``alpha`` of its good texts that pass the base test to all rules
+  together (the base test itself is fixed and not calibrated);
 * of the admissible cutoffs the one that rejects most bad minus good labelled
   texts is taken (ties: the most lenient). A stratum with too few good labels
   has no admissible cutoff and that rule rejects nothing there.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from poolgauge.llm.common import ASCII_SPACE, cut, let
+from poolgauge.llm.common import ASCII_SPACE, cut, let, text_key
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -172,8 +173,14 @@ def rate(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are.
 
-    Texts are measured a second time instead of being shuffled to their verdict.
+    Every text is measured once: its counts are checkpointed under doc_id,
+    text hash and stratum, calibrated and judged, and the rows join the keys
+    of those that stay. A shuffle of the texts costs a small part of what
+    measuring them again does.
     """
-    limits = _limits(scored(docs, "doc_id"), labels, alpha, delta)
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), measures(F.col("text")).alias("m"))
-    return rows.join(limits, "stratum", "left").where(verdict(F.col("m"), F.col("cutoff"))).select("row.*")
+    names = ["k_id", "k_none", "k_th", "stratum"]
+    keys = [F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_none"), text_key(F.col("text")).alias("k_th"), F.coalesce("lang", F.lit("")).alias("stratum")]
+    measured = cut(docs.select("doc_id", *keys, measures(F.col("text")).alias("m")))
+    judged = measured.join(_limits(measured, labels, alpha, delta), "stratum", "left").where(verdict(F.col("m"), F.col("cutoff")))
+    rows = docs.select(F.struct("*").alias("row"), *keys)
+    return rows.join(judged.select(*names), names, "left_semi").select("row.*")
