@@ -6,6 +6,7 @@ columns or names a folder.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,16 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local default only if unset.
+    """The folder named by ``spark.checkpoint.dir`` or ``setCheckpointDir``; a local default only in local mode.
 
     Lineage cuts and intermediate files go here because driver and executors
     all see it.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = "/tmp/checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
