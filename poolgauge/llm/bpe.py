@@ -16,6 +16,11 @@ Scale: one pass, no shuffle; memory is a batch, the bounded stores and the
 tokenizer. Reuse across tasks is left aside on purpose: to send every chunk of
 every text through a shuffle and its ids back would cost more than encoding.
 
+Which tokenizers: what ends a piece follows from the byte-level pattern of the
+vocabulary, so :func:`require_known` reads normalizer, pre-tokenizer, model and
+added tokens from the file and refuses any other kind. A text stretch that
+holds an added token goes to the library as it is.
+
 Defined cases: a null text is empty and has no ids; an unpaired surrogate
 cannot occur in Spark strings; rows repeating a doc_id are each encoded.
 """
@@ -23,6 +28,7 @@ cannot occur in Spark strings; rows repeating a doc_id are each encoded.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -116,6 +122,23 @@ def chunks(text: str, bits: int = CHUNK_BITS) -> list[str]:
     return out
 
 
+def require_known(spec: dict) -> list[str]:
+    """The added tokens of a tokenizer's description; ValueError unless its pieces end where this module says."""
+    pre, model, decoder = spec.get("pre_tokenizer") or {}, spec.get("model") or {}, spec.get("decoder") or {}
+    known = {
+        "normalizer": spec.get("normalizer") is None,
+        "pre_tokenizer": pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"),
+        "model": model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"),
+        "decoder": decoder.get("type") == "ByteLevel",
+    }
+    added = spec.get("added_tokens") or []
+    # white space within one, or swallowed around it, would move the places where pieces end
+    known["added_tokens"] = all(t["content"] and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+    if wrong := sorted(k for k, good in known.items() if not good):
+        raise ValueError(f"chunks cannot be joined exactly for this tokenizer: {', '.join(wrong)}")
+    return [t["content"] for t in added]
+
+
 class Store:
     """Ids by text in two generations: when the young one is full it becomes the old one, and the old one goes."""
 
@@ -164,6 +187,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.added = require_known(json.loads(self.tokenizer.to_str()))
         self.bits = bits
         self.chunks, self.pieces = Store(store_bytes // 2), Store(store_bytes)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -171,8 +195,14 @@ class Codec:
         self.sizes = np.array([len(x) for x in self.bytes_of], dtype=np.int64)
 
     def _bytes(self, i: int) -> bytes:
+        """As the library: a token with any character outside the byte alphabet stands for itself as a whole."""
         token = self.tokenizer.id_to_token(i)
-        return b"" if token is None else b"".join(_BYTE_OF.get(c, c.encode()) for c in token)
+        if token is None:
+            return b""
+        return b"".join(map(_BYTE_OF.__getitem__, token)) if all(c in _BYTE_OF for c in token) else token.encode()
+
+    def _has_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -195,10 +225,11 @@ class Codec:
 
     def _encode_chunks(self, new: list[str]) -> None:
         """Put chunks into the store. Their pieces, each beginning with the space at an exact place, are learned together."""
-        special = [c for c in new if "<|" in c]
+        special = [c for c in new if self._has_added(c)]
         for c, ids in zip(special, self._library(special), strict=True):
             self.chunks.put(c, ids)
-        split = [(c, _pieces(c)) for c in new if "<|" not in c]
+        held = set(special)
+        split = [(c, _pieces(c)) for c in new if c not in held]
         if missing := self.pieces.missing(set(chain.from_iterable(keys for _, keys in split))):
             self._learn(missing)
         ids_of = self.pieces.young.__getitem__
@@ -223,7 +254,7 @@ class Codec:
 
     def encode_by_piece(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts from the store of pieces alone, where chunks need not be kept."""
-        plain = [None if not t or "<|" in t else _pieces(t) for t in texts]
+        plain = [None if not t or self._has_added(t) else _pieces(t) for t in texts]
         if missing := self.pieces.missing(set(chain.from_iterable(p for p in plain if p))):
             self._learn(missing)
         ids_of = self.pieces.young.__getitem__
@@ -363,3 +394,29 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def reuse(docs: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
+    """One row: chunks and their characters over all texts, distinct ones, and chunks that a worker process had to encode anew.
+
+    The distinct ones are what a table of chunks shared by all tasks would
+    have to encode; the last column tells what the stores of single tasks do.
+    """
+    ship_code(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Store(STORE_BYTES // 2)
+        for batch in batches:
+            keys, sizes, new = [], [], []
+            for text in batch.column(0).to_pylist():
+                for c in chunks(text or "", bits):
+                    absent = bool(seen.missing({c}))
+                    if absent:
+                        seen.put(c, b"")
+                    keys.append(hashlib.blake2b(c.encode(), digest_size=16).digest())
+                    sizes.append(len(c))
+                    new.append(absent)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(new, pa.bool_())], names=["k", "size", "new"])
+
+    found = docs.select("text").mapInArrow(run, "k binary, size long, new boolean").groupBy("k").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.count_if("new").alias("new"))
+    return found.agg(F.sum("n").alias("chunks"), F.sum(F.col("n") * F.col("size")).alias("characters"), F.count("*").alias("distinct_chunks"), F.sum("size").alias("distinct_characters"), F.sum("new").alias("encoded_chunks"), F.sum(F.col("new") * F.col("size")).alias("encoded_characters"))
