@@ -6,7 +6,9 @@ first, each plane stably sorted by the planes above it. Planes are cut into
 blocks of 2**16 bits that are compressed one by one and found by an index with
 the number of ones before each block, so a token, a count of a token up to a
 place (rank), and the place of its k-th occurrence (select) are answered by
-inflating one block per plane.
+inflating one block per plane. An inflated block has the number of ones before
+every 512 of its bits, so rank looks at 512 bits at most; all occurrences of a
+token are selected together, plane by plane.
 
 Scale: documents are range-partitioned by (doc_id, text hash) and streamed; a
 task closes a file whenever it holds ``shard_tokens``, so memory is one shard.
@@ -17,7 +19,8 @@ one partition or one row per partition.
 
 Defined cases: a null text is empty and yields the end id alone; a null doc_id
 sorts first; rows repeating a doc_id follow each other in order of their
-text's hash; an empty table writes no file.
+text's hash; an empty table writes no file; doc_id is a whole number (a file
+holds 64-bit ids): number rows of other ids first.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ from poolgauge.shipping import ship_code
 
 END_ID = 0
 SHARD_TOKENS = 1 << 22
-BLOCK_BITS = 1 << 16
+BLOCK_BITS, RANK_BITS = 1 << 16, 512
 READ_TASKS = 20_000
 _MAGIC = b"WVMX0001"
 
@@ -89,7 +92,8 @@ class WaveletFile:
         self.ends = np.frombuffer(self._inflate(*self.index["ends"]), "<i8")
         known = np.frombuffer(self._inflate(*self.index["known"]), bool)
         self.doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(self._inflate(*self.index["ids"]), "<i8"), known, strict=True)]
-        self._block = lru_cache(256)(self._bits_of)
+        self._block = lru_cache(256)(self._ranked)
+        self._before = lru_cache(64)(lambda plane: np.array(self.planes[plane]["before"], dtype=np.int64))
 
     def _inflate(self, at: int, size: int) -> bytes:
         return zstandard.ZstdDecompressor().decompress(self.data[at : at + size])
@@ -98,12 +102,20 @@ class WaveletFile:
         width = min(BLOCK_BITS, self.n - block * BLOCK_BITS)
         return np.unpackbits(np.frombuffer(self._inflate(*self.planes[plane]["blocks"][block]), np.uint8), count=width, bitorder="little")
 
+    def _ranked(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bits of a block, and the ones before every RANK_BITS of them."""
+        bits = self._bits_of(plane, block)
+        ones = np.add.reduceat(bits, np.arange(0, len(bits), RANK_BITS), dtype=np.int64)
+        return bits, np.concatenate(([0], np.cumsum(ones)))
+
     def _ones(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         if i >= self.n:
             return self.n - self.planes[plane]["zeros"]
         block, rest = divmod(i, BLOCK_BITS)
-        return self.planes[plane]["before"][block] + int(np.count_nonzero(self._block(plane, block)[:rest]))
+        bits, ranks = self._block(plane, block)
+        group = rest // RANK_BITS
+        return self.planes[plane]["before"][block] + int(ranks[group]) + int(np.count_nonzero(bits[group * RANK_BITS : rest]))
 
     def access(self, i: int) -> int:
         """The token at place i."""
@@ -111,7 +123,7 @@ class WaveletFile:
             raise IndexError(i)
         value = 0
         for p in range(self.bits):
-            one = int(self._block(p, i // BLOCK_BITS)[i % BLOCK_BITS])
+            one = int(self._block(p, i // BLOCK_BITS)[0][i % BLOCK_BITS])
             value = value << 1 | one
             i = self.planes[p]["zeros"] + self._ones(p, i) if one else i - self._ones(p, i)
         return value
@@ -136,31 +148,35 @@ class WaveletFile:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
-    def _select_bit(self, plane: int, one: int, k: int) -> int:
-        """The place of the k-th (from 0) one or zero of a plane."""
-        before = self.planes[plane]["before"]
-        lo, hi = 0, len(before) - 1
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if (before[mid] if one else mid * BLOCK_BITS - before[mid]) <= k:
-                lo = mid
-            else:
-                hi = mid - 1
-        rest = k - (before[lo] if one else lo * BLOCK_BITS - before[lo])
-        return lo * BLOCK_BITS + int(np.flatnonzero(self._block(plane, lo) == one)[rest])
+    def _select_bits(self, plane: int, one: int, k: np.ndarray) -> np.ndarray:
+        """The places of the k-th (from 0, ascending) ones or zeros of a plane."""
+        before = self._before(plane)
+        if not one:
+            before = np.arange(len(before)) * BLOCK_BITS - before
+        block = np.searchsorted(before, k, side="right") - 1
+        out = np.empty_like(k)
+        for b in np.unique(block).tolist():
+            mine = slice(*np.searchsorted(block, (b, b + 1)).tolist())
+            out[mine] = b * BLOCK_BITS + np.flatnonzero(self._block(plane, b)[0] == one)[k[mine] - before[b]]
+        return out
+
+    def _places(self, token: int, k: np.ndarray) -> np.ndarray:
+        """The places of a token's k-th occurrences, ascending."""
+        i = self._range(token, self.n)[0] + k
+        for p in range(self.bits - 1, -1, -1):
+            one = token >> (self.bits - 1 - p) & 1
+            i = self._select_bits(p, one, i - self.planes[p]["zeros"] if one else i)
+        return i
 
     def select(self, token: int, k: int) -> int:
         """The place of the token's k-th occurrence, from 0; IndexError if there are fewer."""
-        if not 0 <= token < 1 << self.bits:
+        if not 0 <= k < self.count(token):
             raise IndexError(k)
-        a, b = self._range(token, self.n)
-        if not 0 <= k < b - a:
-            raise IndexError(k)
-        i = a + k
-        for p in range(self.bits - 1, -1, -1):
-            one = token >> (self.bits - 1 - p) & 1
-            i = self._select_bit(p, one, i - self.planes[p]["zeros"] if one else i)
-        return i
+        return int(self._places(token, np.array([k], dtype=np.int64))[0])
+
+    def occurrences(self, token: int) -> np.ndarray:
+        """All places of a token, ascending."""
+        return self._places(token, np.arange(self.count(token), dtype=np.int64)) if self.count(token) else np.zeros(0, dtype=np.int64)
 
     def tokens(self) -> np.ndarray:
         """All tokens, by merging the planes from the last to the first."""
@@ -240,7 +256,7 @@ def occurrences(manifest: DataFrame, token: int) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = WaveletFile(read_whole(uri))
-                at = np.array([shard.select(token, k) for k in range(shard.count(token))], dtype=np.int64)
+                at = shard.occurrences(token)
                 doc = np.searchsorted(shard.ends, at, side="right")
                 starts = np.concatenate(([0], shard.ends[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array([shard.doc_ids[d] for d in doc], pa.int64()), pa.array(at - starts[doc]), pa.array(at + base)], names=["doc_id", "place", "at"])
