@@ -15,14 +15,17 @@ neighbouring offsets into one table over pairs of classes, so a convolution is
 one or two table rows added per byte. The tables are a few MB whatever the
 corpus, and are broadcast.
 
-Scale: training reads a sample of at most ``per_language`` texts (in
-expectation) of each of at most ``max_languages`` languages, four windows
-each; applying is one pass without shuffle.
+Scale: training reads a sample of distinct texts of every learnable language:
+``per_language`` of each, less if that would exceed ``sample_texts`` together,
+but ``least_texts`` of each in any case; four windows of each text, drawn by
+a hash of the text, so a text that a third of all rows repeat counts once.
+Applying is one pass without shuffle.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 1;
 without any labelled text every text with letters is ``und`` with score 0;
 a null doc_id is not held out and not learned from; rows that repeat a doc_id
-are each labelled; lang, source and doc_id take no part in a prediction.
+are each labelled; of languages with equal means the first by name wins; lang,
+source and doc_id take no part in a prediction.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from poolgauge.shipping import ship_code
 
@@ -42,9 +46,10 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 12
-#: Bounds of the labelled sample.
+#: Bounds of the labelled sample, in distinct texts: of a language, of all together, and what each language has in any case.
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 64
+SAMPLE_TEXTS = 24_000
+LEAST_TEXTS = 100
 WINDOWS_PER_TEXT = 4
 EPOCHS = 6
 BATCH_WINDOWS = 256
@@ -186,26 +191,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> list[tuple[bytes, str]]:
-    """Windows of a bounded sample of the learnable texts, chosen by a hash of doc_id, in a fixed order.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_texts: int = SAMPLE_TEXTS, least_texts: int = LEAST_TEXTS) -> list[tuple[bytes, str]]:
+    """Windows of a bounded sample of the learnable texts, chosen by a hash of the text, in a fixed order.
 
-    At most ``max_languages`` languages (the most frequent) and, in
-    expectation, ``per_language`` texts of each; of every text
-    :data:`WINDOWS_PER_TEXT` windows spread over its whole length are brought
-    to the driver, never the text.
+    Every language is learned. :data:`WINDOWS_PER_TEXT` windows spread over the
+    whole length of each chosen text are brought to the driver, never the
+    text; a language gives at most its share of distinct texts.
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    th = F.xxhash64("text", F.lit("sample"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(th).alias("n")).orderBy("lang").collect()
     if not sizes:
         return []
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    picked = known.where(F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(-1.0)) > draw)
+    most = min(per_language, max(least_texts, sample_texts // len(sizes)))
+    # half as many again are drawn, so that an estimate of the count cannot leave too few
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * most / max(1, r["n"]))))])
+    draw = F.pmod(th, F.lit(1_000_000)) / 1_000_000
+    picked = known.select("lang", "text", th.alias("th"), draw.alias("draw")).where(F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(-1.0)) > F.col("draw"))
     last = F.greatest(F.length("text") - WINDOW, F.lit(0))
-    at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_TEXT - 1)), lambda k: F.floor(last * k / (WINDOWS_PER_TEXT - 1)).cast("int"))))
-    cut_out = picked.select("doc_id", "lang", "text", at.alias("at")).select("doc_id", "lang", "at", F.substring("text", F.col("at") + 1, F.lit(WINDOW)).alias("part"))
-    rows = sorted(cut_out.collect(), key=lambda r: (r["doc_id"], r["at"], r["lang"], r["part"]))
-    return [(r["part"].encode("utf-8")[:WINDOW], r["lang"]) for r in rows if r["part"]]
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_TEXT - 1)), lambda k: F.floor(last * k / (WINDOWS_PER_TEXT - 1)).cast("int")))
+    parts = F.transform(places, lambda at: F.substring(F.col("text"), at + 1, F.lit(WINDOW)))
+    each = picked.select("lang", "th", "draw", parts.alias("parts")).groupBy("lang", "th", "draw").agg(F.min("parts").alias("parts"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "th"))
+    rows = each.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "rank", "parts").collect()
+    rows.sort(key=lambda r: (r["lang"], r["rank"]))
+    return [(p.encode("utf-8")[:WINDOW], r["lang"]) for r in rows for p in r["parts"] if p]
 
 
 def classify(texts: list[str | None], net: Network | None, tables: list) -> tuple[list[str], np.ndarray]:
