@@ -11,15 +11,19 @@ values stay different, and the text keeps its shape:
   1830 to 2129): permuted among the days of the same hundred years, each of
   which is a product of two numbers, so the network needs no cycle walking;
 * IPv4 addresses with octets up to 255: permuted as 32-bit values;
-* telephone numbers with a country code: digits after it;
-* ``ddd-dd-dddd`` numbers; hexadecimal tokens of 32 to 64 digits;
+* ``ddd-dd-dddd`` numbers whose parts can be issued (area 001 to 899 but 666,
+  group and serial not zero): permuted among those numbers, which are a product
+  of two numbers as well;
+* telephone numbers with a country code: digits after it (by form alone: plans
+  of many countries have no check); hexadecimal tokens of 32 to 64 digits,
+  which carry nothing to check either;
 * e-mail addresses: letters and digits of the local part, class by class.
 
 The network has :data:`ROUNDS` rounds over the halves of the value; a round
 shifts every character of one half, within its own class, by a stream that
 SHA-256 derives from key, kind, round and the other half. Numbers that fail
-validation (wrong check digit, 31 February, octet 300) are not personal data
-of that format and stay.
+validation (wrong check digit, 31 February, octet 300, area 666) are not
+personal data of that format and stay.
 
 The key's digest is a literal of the plan; pass a column (say, from a one-row
 table that only this job may read) to keep it out of plans and logs.
@@ -155,19 +159,41 @@ def _ip(m: Column, key: Column) -> Column:
 CENTURIES = (("1830-01-01", 92, 397), ("1930-01-01", 75, 487), ("2030-01-01", 92, 397))
 
 
-def _day_of(n: Column, key: Column, first: str, a: int, b: int) -> Column:
-    """The n-th day from ``first`` permuted among a * b days: an additive network over Z_a and Z_b."""
+def _paired(x: Column, y: Column, a: int, b: int, key: Column, *label: str) -> Column:
+    """A pair (x, y) permuted among a * b of them: an additive network over Z_a and Z_b."""
 
     def draw(r: Column, other: Column, most: int) -> Column:
-        return _number(F.substring(_prf(key, "date", first, r.cast("string"), other.cast("string")), F.lit(1), F.lit(12))) % most
+        return _number(F.substring(_prf(key, *label, r.cast("string"), other.cast("string")), F.lit(1), F.lit(12))) % most
 
     def rounds(s: Column, r: Column) -> Column:
         x = ((s["x"] + draw(r, s["y"], a)) % a).cast("long")
         return let(x, lambda x: F.struct(x.alias("x"), ((s["y"] + draw(r, x, b)) % b).cast("long").alias("y")))
 
-    start = F.struct(F.floor(n / b).cast("long").alias("x"), (n % b).cast("long").alias("y"))
-    moved = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, rounds, lambda s: (s["x"] * b + s["y"]).cast("int"))
-    return F.date_add(F.lit(first).cast("date"), moved)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), rounds)
+
+
+def _day_of(n: Column, key: Column, first: str, a: int, b: int) -> Column:
+    """The n-th day from ``first`` permuted among a * b days."""
+    day = lambda s: F.date_add(F.lit(first).cast("date"), (s["x"] * b + s["y"]).cast("int"))
+    return let(_paired(F.floor(n / b), n % b, a, b, key, "date", first), day)
+
+
+#: Areas that can be issued, groups to each of them, and serials to each group.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+
+
+def _ssn(m: Column, key: Column) -> Column:
+    area, group, serial = (F.substring(m, F.lit(at), F.lit(n)).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    # 000 and 666 are left out of the count
+    place = (area - F.when(area > 666, 2).otherwise(1)) * GROUPS + group - 1
+
+    def written(s: Column) -> Column:
+        nth = F.floor(s["x"] / GROUPS)
+        padded = lambda c, n: F.lpad(c.cast("long").cast("string"), n, "0")
+        return F.concat_ws("-", padded(nth + F.when(nth >= 665, 2).otherwise(1), 3), padded(s["x"] % GROUPS + 1, 2), padded(s["y"] + 1, 4))
+
+    issued = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    return F.when(issued, let(_paired(place, serial - 1, AREAS * GROUPS, SERIALS, key, "ssn"), written)).otherwise(m)
 
 
 def _day(d: Column, key: Column) -> Column:
@@ -213,7 +239,7 @@ def pseudonym(m: Column, key: Column) -> Column:
         F.when(m.contains("@"), _email(m, key))
         .when(m.rlike(r"^\d+(?:\.\d+){3}\z"), _ip(m, key))
         .when(m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})\z"), _date(m, key))
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}\z"), _permuted(m, key, "ssn", (_DIGITS,)))
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}\z"), _ssn(m, key))
         .when(m.rlike(r"^\d(?:[ -]?\d){12,18}\z"), _card(m, key))
         .when(m.rlike(r"^[0-9a-f]{32,64}\z"), _permuted(m, key, "token", (_HEX,)))
         .otherwise(_phone(m, key))
