@@ -16,7 +16,8 @@ undoes the chunked framing and checks the payload against the record's digest.
 Scale: the smallest page_id of every payload digest is found on (digest,
 length, page_id) rows, pre-aggregated and checkpointed; the html is shuffled
 once, to meet it, in a join whose hot digests adaptive execution splits.
-Segments of one origin are all that is ever grouped, and they make one page.
+Segments of one origin and stored copy are all that is ever grouped, and they
+make one page, also where a third of all rows repeat a page.
 
 Defined cases: null html is an empty payload; payloads under ``min_bytes`` are
 always responses; rows that repeat page_id and payload are all responses if
@@ -86,8 +87,12 @@ def _urn(page_id: int | None, digest: str) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one page; ``first`` is the page that it revisits, or itself."""
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, segment_bytes: int, copy: str = "0") -> Iterator[bytes]:
+    """The records of one page; ``first`` is the page that it revisits, or itself.
+
+    ``copy`` names this stored copy of the page: segments of two rows with the
+    same page_id and payload are told apart by it.
+    """
     plain = [("WARC-Date", "2024-01-01T00:00:00Z"), *([("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))] if url else []), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
     name = _urn(page_id, digest)
     if first is not None and first != page_id:
@@ -99,10 +104,10 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
     if len(block) <= segment_bytes:
         yield record(fields, block)
         return
-    yield record([*fields, ("WARC-Segment-Number", "1")], block[:segment_bytes])
+    yield record([*fields, ("WARC-Segment-Number", "1"), ("X-Stored-Copy", copy)], block[:segment_bytes])
     for k, a in enumerate(range(segment_bytes, len(block), segment_bytes), 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if a + segment_bytes >= len(block) else []
-        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k)), *last], block[a : a + segment_bytes])
+        yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k)), ("X-Stored-Copy", copy), *last], block[a : a + segment_bytes])
 
 
 def with_first(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -121,7 +126,7 @@ def write(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, arc
     ship_code(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), []
+        part, done, rows = TaskContext.get().partitionId(), [], 0
         held, n = [], 0
 
         def close() -> None:
@@ -135,7 +140,8 @@ def write(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, arc
         for batch in batches:
             for page_id, url, payload, digest, first in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 name = base64.b32encode(bytes.fromhex(digest)).decode()
-                for r in page_records(page_id, url, payload, name, first, segment_bytes):
+                rows += 1
+                for r in page_records(page_id, url, payload, name, first, segment_bytes, f"{part}-{rows}"):
                     held.append(r)
                     n += len(r)
                     if n >= archive_bytes:
@@ -201,7 +207,7 @@ def read(spark: SparkSession, folder: str, html: bool = False) -> DataFrame:
     ship_code(spark)
     schema = _ROW + (", html string" if html else "")
     out_arrow = pa.schema([*_ROW_ARROW, *([("html", pa.string())] if html else [])])
-    segment_arrow = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("fields", pa.string()), ("block", pa.binary())])
+    segment_arrow = pa.schema([("origin", pa.string()), ("copy", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("fields", pa.string()), ("block", pa.binary())])
 
     def finished(row: dict) -> dict:
         payload = row.pop("payload")
@@ -209,7 +215,7 @@ def read(spark: SparkSession, folder: str, html: bool = False) -> DataFrame:
 
     def segment(fields: dict[str, str], block: bytes) -> dict:
         first, total = fields["warc-type"] != "continuation", fields.get("warc-segment-total-length")
-        return {"origin": fields["warc-record-id" if first else "warc-segment-origin-id"], "number": int(fields["warc-segment-number"]), "total": None if total is None else int(total), "fields": "\n".join(f"{k}:{v}" for k, v in fields.items()) if first else None, "block": block}
+        return {"origin": fields["warc-record-id" if first else "warc-segment-origin-id"], "copy": fields.get("x-stored-copy", ""), "number": int(fields["warc-segment-number"]), "total": None if total is None else int(total), "fields": "\n".join(f"{k}:{v}" for k, v in fields.items()) if first else None, "block": block}
 
     def cutter(parts: bool):
         """Rows of whole records, or of segments: archives are inflated for either rather than kept between."""
@@ -240,13 +246,13 @@ def read(spark: SparkSession, folder: str, html: bool = False) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
     whole = files.mapInArrow(cutter(False), schema)
-    parts = files.mapInArrow(cutter(True), "origin string, number int, total long, fields string, block binary")
-    segments = parts.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "fields", "block")).alias("segments"))
+    parts = files.mapInArrow(cutter(True), "origin string, copy string, number int, total long, fields string, block binary")
+    segments = parts.groupBy("origin", "copy").agg(F.collect_list(F.struct("number", "total", "fields", "block")).alias("segments"))
     return whole.unionByName(segments.select("segments").mapInArrow(join, schema))
 
 
 def reassembled(segments: list[dict]) -> list[dict]:
-    """Rows of the pages that the segments of one origin make: more than one only if the same page was stored again."""
+    """Rows of the pages that the segments of one origin make: more than one only if an archive stores a page again without naming its copies."""
     copies = sum(s["number"] == 1 for s in segments)
     by_number = {s["number"]: s for s in segments}
     if sorted(by_number) != list(range(1, len(by_number) + 1)) or len(segments) != copies * len(by_number):
