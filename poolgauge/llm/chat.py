@@ -20,7 +20,8 @@ Defined cases: a turn stored twice (same conv_id, turn, role, text) counts
 once; turns of equal number are ordered by role and text, nulls first; a null
 turn number comes last, in a block of its own; a null role is rendered as
 ``unknown`` and a null text as empty, and both differ from those values in the
-hash; all rows without a conv_id are one conversation. A snapshot must number
+hash; a turn without a conv_id is a conversation of its own, so such rows are
+never gathered, and equal ones are one. A snapshot must number
 its turns as the longer log does. Control marks inside a text are broken up so
 that no text can open or close a turn. Empty tables give empty results.
 """
@@ -42,34 +43,36 @@ def turns(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame
     number = F.col("turn").cast("long")
     rows = conversations.select("conv_id", number.alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(2**62)))
-    order = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_last("turn"), "role", "text")
+    # 128 bits of a turn without conversation stand for its conv_id
+    own = [F.when(F.col("conv_id").isNull(), F.xxhash64(F.lit(k), *[x for c in ("turn", "role", "text") for x in (F.col(c).isNull(), F.col(c))])) for k in ("a", "b")]
+    rows = rows.withColumn("conv", F.struct("conv_id", own[0].alias("own_a"), own[1].alias("own_b")))
+    order = Window.partitionBy("conv", "block").orderBy(F.asc_nulls_last("turn"), "role", "text")
     same = [F.lag(c).over(order).eqNullSafe(F.col(c)) for c in ("turn", "role", "text")]
     rows = rows.withColumn("again", (F.row_number().over(order) > 1) & same[0] & same[1] & same[2]).where(~F.col("again")).drop("again")
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("tie", F.row_number().over(Window.partitionBy("conv_id", "block", "turn").orderBy("role", "text")))
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("tie", F.row_number().over(Window.partitionBy("conv", "block", "turn").orderBy("role", "text")))
     parts = [F.coalesce("turn", F.lit(-(2**62))), F.col("tie"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    return rows.select("conv_id", "block", "at", "turn", "role", "text", F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit("turn"), *parts).alias("g2"))
+    return rows.select("conv", "block", "at", "turn", "role", "text", F.xxhash64(*parts).alias("g1"), F.xxhash64(F.lit("turn"), *parts).alias("g2"))
 
 
 def prefixes(hashed: DataFrame) -> DataFrame:
-    """conv_id, block, at, n (turns up to here), last, h1 and h2 (rolling hash up to here) of every turn."""
-    blocks = hashed.groupBy("conv_id", "block").agg(F.count("*").alias("own"), F.bit_xor("g1").alias("x1"), F.bit_xor("g2").alias("x2"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("conv_id")
-    carried = blocks.select("conv_id", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("n0"), F.coalesce(F.bit_xor("x1").over(before), F.lit(0)).alias("c1"), F.coalesce(F.bit_xor("x2").over(before), F.lit(0)).alias("c2"), F.sum("own").over(whole).alias("size"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = hashed.select("conv_id", "block", "at", F.bit_xor("g1").over(inside).alias("r1"), F.bit_xor("g2").over(inside).alias("r2"))
-    carried = carried.withColumnsRenamed({"conv_id": "c_id", "block": "c_block"})
-    met = rolled.join(carried, F.col("conv_id").eqNullSafe(F.col("c_id")) & (F.col("block") == F.col("c_block")))
+    """conv, block, at, n (turns up to here), last, h1 and h2 (rolling hash up to here) of every turn."""
+    blocks = hashed.groupBy("conv", "block").agg(F.count("*").alias("own"), F.bit_xor("g1").alias("x1"), F.bit_xor("g2").alias("x2"))
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("conv")
+    carried = blocks.select("conv", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("n0"), F.coalesce(F.bit_xor("x1").over(before), F.lit(0)).alias("c1"), F.coalesce(F.bit_xor("x2").over(before), F.lit(0)).alias("c2"), F.sum("own").over(whole).alias("size"))
+    inside = Window.partitionBy("conv", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rolled = hashed.select("conv", "block", "at", F.bit_xor("g1").over(inside).alias("r1"), F.bit_xor("g2").over(inside).alias("r2"))
+    met = rolled.join(carried, ["conv", "block"])
     n = F.col("n0") + F.col("at")
-    return met.select("conv_id", "block", "at", n.alias("n"), (n == F.col("size")).alias("last"), F.col("r1").bitwiseXOR(F.col("c1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("c2")).alias("h2"))
+    return met.select("conv", "block", "at", n.alias("n"), (n == F.col("size")).alias("last"), F.col("r1").bitwiseXOR(F.col("c1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("c2")).alias("h2"))
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
-    """conv_id and n of the conversations that no longer one begins with, the first of equal ones."""
+    """conv and n of the conversations that no longer one begins with, the first of equal ones (one without conv_id last)."""
     key = ["n", "h1", "h2"]
-    whole = rolled.where("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
+    whole = rolled.where("last").groupBy(*key).agg(F.min(F.struct(F.col("conv.conv_id").isNull().alias("none"), "conv"))["conv"].alias("conv"))
     inner = rolled.where(~F.col("last")).select(*key).distinct()
-    return whole.join(inner, key, "left_anti").select("conv_id", "n")
+    return whole.join(inner, key, "left_anti").select("conv", "n")
 
 
 def _safe(text: Column) -> Column:
@@ -83,8 +86,8 @@ def rendered_turn(role: Column, text: Column) -> Column:
 def format_chats(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """One row per part of each maximal conversation: conv_id, part (from 0), n_turns of the whole, text of the part."""
     hashed = turns(conversations, block_turns)
-    kept = cut(maximal(prefixes(cut(hashed.select("conv_id", "block", "at", "g1", "g2"))))).withColumnsRenamed({"conv_id": "k_id", "n": "n_turns"})
+    kept = cut(maximal(prefixes(cut(hashed.select("conv", "block", "at", "g1", "g2"))))).withColumnRenamed("n", "n_turns")
     piece = F.struct("at", rendered_turn(F.col("role"), F.col("text")).alias("said"))
-    parts = hashed.groupBy("conv_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["said"]), "").alias("text"))
-    parts = parts.join(kept, F.col("conv_id").eqNullSafe(F.col("k_id")), "inner")
-    return parts.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1).cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), "text")
+    parts = hashed.groupBy("conv", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["said"]), "").alias("text"))
+    parts = parts.join(kept, "conv")
+    return parts.select(F.col("conv.conv_id").alias("conv_id"), (F.row_number().over(Window.partitionBy("conv").orderBy("block")) - 1).cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), "text")

@@ -13,16 +13,18 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 _SAFE = "replace(coalesce({0}, '{1}'), '<|', '< |')"
 
+# a turn without conv_id is a conversation of its own; of equal conversations one without conv_id comes last
 OP1 = f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS l FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS l FROM t WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT NULL, [struct_pack(turn := turn, role := role, text := text)] FROM t WHERE conv_id IS NULL),
 k AS (SELECT l, min(conv_id) AS conv_id FROM c GROUP BY l),
 p AS (SELECT DISTINCT l[1:i] AS l FROM (SELECT l, unnest(generate_series(1, len(l) - 1)) AS i FROM k WHERE len(l) > 1)),
-m AS (SELECT conv_id, len(l) AS n_turns FROM k WHERE l NOT IN (SELECT l FROM p))
-SELECT m.conv_id, CAST(row_number() OVER (PARTITION BY m.conv_id ORDER BY b) - 1 AS BIGINT) AS part, CAST(m.n_turns AS BIGINT) AS n_turns, s AS text
-FROM m JOIN (SELECT conv_id, turn // {chat.BLOCK_TURNS} AS b,
-  string_agg('{chat.OPEN}' || {_SAFE.format("role", "unknown")} || chr(10) || {_SAFE.format("text", "")} || '{chat.CLOSE}' || chr(10), '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS s
-  FROM t GROUP BY ALL) USING (conv_id)
+m AS (SELECT row_number() OVER () AS r, conv_id, l, len(l) AS n_turns FROM k WHERE l NOT IN (SELECT l FROM p)),
+s AS (SELECT r, conv_id, n_turns, i, e.turn // {chat.BLOCK_TURNS} AS b, '{chat.OPEN}' || {_SAFE.format("e.role", "unknown")} || chr(10) || {_SAFE.format("e.text", "")} || '{chat.CLOSE}' || chr(10) AS said
+  FROM (SELECT r, conv_id, n_turns, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM m))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY r ORDER BY b) - 1 AS BIGINT) AS part, CAST(n_turns AS BIGINT) AS n_turns, string_agg(said, '' ORDER BY i) AS text
+FROM s GROUP BY r, conv_id, n_turns, b
 """
 
 OP8 = f"""
