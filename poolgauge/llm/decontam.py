@@ -7,8 +7,9 @@ longest suffix that occurs in an item is tracked: whenever it reaches
 when it occurs whole. Runs of words that no item contains are skipped without
 touching the automaton, because no match can span them.
 
-Scale: documents are never shuffled to be matched; each block of items is
-broadcast, and a block is bounded by ``block_words`` (an aggregate sizes the
+Scale: documents are never shuffled to be matched; items are made distinct and
+an item longer than a block is cut into overlapping pieces; each block of them
+is broadcast, and a block is bounded by ``block_words`` (an aggregate sizes the
 blocks before anything is collected). A larger benchmark takes more blocks,
 each of which scans the documents; their sparse hits are merged by document.
 
@@ -160,20 +161,47 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def n_blocks(benchmark: DataFrame, block_words: int) -> int:
+def pieces(benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """item_id, piece, octets: each distinct item once; one longer than a block in pieces that overlap by a window less one word.
+
+    Every window of an item lies in a piece, and a longer match is the union
+    of windows, so pieces hit what the item does.
+    """
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                step = max(1, block_words)
+                for at in range(0, max(1, len(words) - window + 1), step):
+                    part = b" ".join(words[at : at + step + window - 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()], batch.schema.field(0).type), pa.array([part], pa.binary()), pa.array([len(part)], pa.int64())], names=["item_id", "piece", "octets"])
+
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
+    return items.mapInArrow(run, f"item_id {kind}, piece binary, octets long")
+
+
+def n_blocks(parts: DataFrame, block_words: int) -> int:
     # octets bound the words: a word and its separator take at least two
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 2
+    total = parts.agg(F.coalesce(F.sum(F.col("octets") + 1), F.lit(0)).alias("n")).first()["n"] // 2
     return max(1, -(-total // block_words))
 
 
-def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[ItemAutomaton]:
-    """Automata of bounded blocks of items; each block is collected and released in turn."""
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    blocks = n_blocks(benchmark, block_words)
-    spread = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for b in range(blocks):
-        rows = (items.where(spread == b) if blocks > 1 else items).collect()
-        yield ItemAutomaton([(r["item_id"], words_of(r["text"])) for r in rows], window)
+def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[int, Iterator[ItemAutomaton]]:
+    """How many blocks there are, and their automata: each bounded block of items is collected and released in turn."""
+    parts = cut(pieces(benchmark, window, block_words))
+    blocks = n_blocks(parts, block_words)
+    spread = F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks))
+
+    def each() -> Iterator[ItemAutomaton]:
+        for b in range(blocks):
+            rows = (parts.where(spread == b) if blocks > 1 else parts).collect()
+            # in a fixed order: the automaton's states depend on it, what it tells does not
+            items = sorted(((r["item_id"], bytes(r["piece"])) for r in rows), key=lambda x: (x[0] is None, str(x[0]), x[1]))
+            yield ItemAutomaton([(item, piece.split()) for item, piece in items], window)
+
+    return blocks, each()
 
 
 _HITS = "struct<start:int,end:int>"
@@ -208,12 +236,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
 
         return rows.mapInArrow(run, schema)
 
-    automata = item_blocks(benchmark, window, block_words)
-    first = next(automata)
-    every = scan(first, only_hit=False)
-    more = [cut(scan(a, only_hit=True)) for a in automata]
-    if not more:
+    blocks, automata = item_blocks(benchmark, window, block_words)
+    every = scan(next(automata), only_hit=False)
+    if blocks == 1:
         return every
+    every = cut(every)
+    more = [cut(scan(a, only_hit=True)) for a in automata]
     sparse = every.where(F.size("spans") > 0)
     for x in more:
         sparse = sparse.unionByName(x)
@@ -277,8 +305,9 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
         columns[where] = pa.array(texts, batch.schema.field(where).type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    if n_blocks(benchmark, block_words) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(next(item_blocks(benchmark, window, block_words)))
+    blocks, automata = item_blocks(benchmark, window, block_words)
+    if blocks == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(automata))
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = shared.value
@@ -292,6 +321,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
         return docs.mapInArrow(match, docs.schema)
 
+    del automata
+
     def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
