@@ -53,18 +53,18 @@ def simhash(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(prints: list[int], ids: list, radius: int = 4) -> list:
-    """The smallest id reachable from each, by comparing all pairs."""
-    up = list(range(len(prints)))
+def grouped(ids: list, linked) -> list:
+    """The smallest id reachable from each, by asking ``linked(i, j)`` of all pairs."""
+    up = list(range(len(ids)))
 
     def root(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for i in range(len(prints)):
+    for i in range(len(ids)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius:
+            if linked(i, j):
                 up[root(i)] = root(j)
     least: dict = {}
     for i, x in enumerate(ids):
@@ -72,6 +72,17 @@ def components(prints: list[int], ids: list, radius: int = 4) -> list:
     return [min((x for x in least[root(i)] if x is not None), default=None) for i in range(len(ids))]
 
 
+def components(prints: list[int], ids: list, radius: int = 4) -> list:
+    return grouped(ids, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= radius)
+
+
+def near_copies(texts: list, ids: list, shingle: int = 5) -> list:
+    """By the Jaccard similarity of shingle sets, 0.8 or more; texts without words are alike."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for t in texts]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in words]
+    return grouped(ids, lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+
+
 def line_dedup(rows):
     """(doc_id, lines, kept lines) of (doc_id, text); a doc_id of None is after all others."""
     key = lambda line: lower(line.strip(WHITE))
@@ -158,3 +169,147 @@ def permuted(s: str, key: str, kind: str, classes: tuple[str, ...], rounds: int
             moved += c if alphabet is None else alphabet[(alphabet.index(c) + stream[i % 32]) % len(alphabet)]
         left, right = moved, left
     return left + right
+
+
+def paired(x: int, y: int, a: int, b: int, key: str, *label: str, rounds: int = 4) -> tuple[int, int]:
+    """The additive network over Z_a and Z_b."""
+    draw = lambda r, other: int(hashlib.sha256("|".join([key, *label, str(r), str(other)]).encode()).hexdigest()[:12], 16)
+    for r in range(1, rounds + 1):
+        x = (x + draw(r, y)) % a
+        y = (y + draw(r, x)) % b
+    return x, y
+
+
+def issued(s: str) -> bool:
+    area, group, serial = (int(x) for x in s.split("-"))
+    return 1 <= area <= 899 and area != 666 and group > 0 and serial > 0
+
+
+def ssn(s: str, key: str) -> str:
+    if not issued(s):
+        return s
+    areas = [n for n in range(1, 900) if n != 666]
+    area, group, serial = (int(x) for x in s.split("-"))
+    x, y = paired(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+    return f"{areas[x // 99]:03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+
+
+def luhn(digits: str) -> int:
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10
+
+
+def card(m: str, key: str) -> str:
+    cuts = [0, *(i + 1 for i, c in enumerate(m) if c in " -")]
+    ends = [*(i for i, c in enumerate(m) if c in " -"), len(m)]
+    spans = [(a, b) for a in cuts for b in ends if a < b]
+    bare = lambda t: re.sub("[ -]", "", t)
+    good = [(a, b) for a, b in spans if 13 <= len(bare(m[a:b])) <= 19 and luhn(bare(m[a:b])) == 0]
+    if not good:
+        return m
+    a, b = min(good, key=lambda s: (-len(bare(m[s[0] : s[1]])), s[0]))
+    body = permuted(bare(m[a:b])[:-1], key, "card", ("0123456789",))
+    new = iter(body + str(-luhn(body + "0") % 10))
+    return m[:a] + "".join(c if c in " -" else next(new) for c in m[a:b]) + m[b:]
+
+
+def date(m: str, key: str) -> str:
+    from datetime import date as day
+    from datetime import datetime, timedelta
+
+    layout = "%Y-%m-%d" if m[4] == "-" else "%d.%m.%Y" if m[2] == "." else "%m/%d/%Y"
+    try:
+        d = datetime.strptime(m, layout).date()
+    except ValueError:
+        return m
+    for first, a, b in ((day(1830, 1, 1), 92, 397), (day(1930, 1, 1), 75, 487), (day(2030, 1, 1), 92, 397)):
+        n = (d - first).days
+        if 0 <= n < a * b:
+            x, y = paired(n // b, n % b, a, b, key, "date", first.isoformat())
+            return (first + timedelta(days=x * b + y)).strftime(layout)
+    return m
+
+
+def address(m: str, key: str) -> str:
+    octets = m.split(".")
+    if any(int(o) > 255 for o in octets):
+        return m
+    new = permuted("".join(f"{int(o):02x}" for o in octets), key, "ip", ("0123456789abcdef",))
+    return ".".join(str(int(new[i : i + 2], 16)) for i in range(0, 8, 2))
+
+
+def phone(m: str, key: str) -> str:
+    found = re.match(r"\+(?:1|[2-9][0-9]{0,2}?)(?=[ .(-]|[0-9])", m)
+    code = found.group() if found else ""
+    return code + permuted(m[len(code) :], key, "phone", ("0123456789",))
+
+
+def email(m: str, key: str) -> str:
+    local = m.split("@")[0]
+    return permuted(local, key, "email", ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) + m[len(local) :]
+
+
+def ascii_classes(pattern: str) -> str:
+    """``\\w`` and ``\\d`` written out as ASCII, in and outside of brackets."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two in (r"\w", r"\d"):
+            chars = "A-Za-z0-9_" if two == r"\w" else "0-9"
+            out += chars if inside else f"[{chars}]"
+            i += 2
+            continue
+        if two[0] == "\\":
+            out += two
+            i += 2
+            continue
+        inside = True if two[0] == "[" else False if two[0] == "]" else inside
+        out += two[0]
+        i += 1
+    return out
+
+
+def pseudonymised(text, key, pii):
+    """Text with pseudonyms, and how many values of each kind changed; patterns are the operator's, all else is plain code."""
+    import regex
+
+    if text is None:
+        return (None, *[0] * len(pii.KINDS))
+    key = hashlib.sha256(key.encode()).hexdigest()
+    kinds = {"email": email, "ip": address, "date": date, "ssn": ssn, "card": card, "phone": phone, "token": lambda m, k: permuted(m, k, "token", ("0123456789abcdef",))}
+    counts = dict.fromkeys(pii.KINDS, 0)
+    every = "|".join(f"(?P<{k}>{ascii_classes(p)})" for k, p in pii.PATTERNS.items())
+
+    def new(m):
+        kind = next(k for k, v in m.groupdict().items() if v is not None)
+        done = kinds[kind](m.group(), key)
+        counts[kind] += done != m.group()
+        return done
+
+    return (regex.sub(every, new, text), *(counts[k] for k in pii.KINDS))
+
+
+def log_probabilities(net, classes):
+    """One window through embedding, convolutions, ReLU, max pooling and softmax, layer by layer."""
+    e = net.embedding[classes]
+    features = []
+    for f, bias in zip(net.filters, net.biases, strict=True):
+        w = len(f)
+        z = np.array([sum(e[i + k] @ f[k] for k in range(w)) for i in range(len(classes) - w + 1)])
+        features.append(np.maximum(z + bias, 0).max(axis=0))
+    logits = np.concatenate(features) @ net.out + net.out_bias
+    return logits - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+
+
+def language(net, text):
+    from poolgauge.llm import langid
+
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 1.0
+    data, total = text.encode(), 0
+    for at in range(0, len(data), langid.WINDOW):
+        part = data[at : at + langid.WINDOW]
+        classes = np.zeros(langid.WINDOW, dtype=np.int64)
+        classes[: len(part)] = [langid.CLASSES[b] for b in part]
+        total = total + log_probabilities(net, classes) * len(part)
+    share = np.exp(total / len(data) - (total / len(data)).max())
+    return net.languages[int(share.argmax())], float((share / share.sum()).max())

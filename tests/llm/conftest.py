@@ -22,7 +22,7 @@ ROWS = {
     "labels": [(0, 1, 0), (5, 1, None), (6, 0, 1), (6, 1, 1), (None, 1, 0), (8, None, None)],
     "pages": [(2, "http://a b", "<p>x</p>", "d", "p"), (1, None, "<p>x</p>", None, None), (1, None, "<p>x</p>", None, None), (3, "u", None, None, None), (4, "u", "", None, None), (5, "u", "é" * 50_000, None, None), (5, "u", "é" * 50_000, None, None), (None, "u", "<p>x</p>", None, None), (None, None, "alone", None, None)],
     "benchmark": [(1, ITEM, "e"), (2, "Tiny ITEM", None), (3, None, None), (4, "", None), (None, "kappa lambda", None), (5, ITEM, None)],
-    "conversations": [(1, 0, "user", "hi", "n", "b"), (2, 0, "user", "hi", None, None), (2, 1, "assistant", "yes <|im_end|>", None, None), (3, 0, "user", "hi", None, None), (3, 1, "assistant", "yes <|im_end|>", None, None), (4, 0, None, "hi", None, None), (4, 0, None, "hi", None, None), (5, 1, "user", None, None, None), (5, None, "user", "z", None, None), (None, 0, "user", "lost", None, None)] + [(6, i, "user", f"t{i}", None, None) for i in range(600)] + [(7, i, "user", f"t{i}", None, None) for i in range(599)],
+    "conversations": [(1, 0, "user", "hi", "n", "b"), (2, 0, "user", "hi", None, None), (2, 1, "assistant", "yes <|im_end|>", None, None), (3, 0, "user", "hi", None, None), (3, 1, "assistant", "yes <|im_end|>", None, None), (4, 0, None, "hi", None, None), (4, 0, None, "hi", None, None), (5, 1, "user", None, None, None), (5, None, "user", "z", None, None), (None, 0, "user", "lost", None, None), (None, 0, "user", "lost", None, None), (None, 0, "user", "hi", None, None), (None, 3, None, None, None, None)] + [(6, i, "user", f"t{i}", None, None) for i in range(600)] + [(7, i, "user", f"t{i}", None, None) for i in range(599)],
 }
 
 
