@@ -102,6 +102,19 @@ def check_transitions(audit: DataFrame) -> dict:
     return gate("transitions", audit, lambda r: not r["error_unmatched_records"])
 
 
+def check_unique(flow_totals: DataFrame) -> dict:
+    """No loan twice in a pool, deal and period (``repeated_records`` of the flow's totals)."""
+    return gate("unique loans", flow_totals.agg(F.coalesce(F.sum("repeated_records"), F.lit(0)).alias("repeated_records")), lambda r: not r["repeated_records"])
+
+
+def check_append_only(diff: DataFrame) -> dict:
+    """An offer keeps all that is committed: nothing missing, nothing changed; the counts by change."""
+    counts = {r["change"]: r["n"] for r in diff.groupBy("change").agg(F.count("*").alias("n")).collect()}
+    if counts.get("missing") or counts.get("changed"):
+        raise GateError(f"append only: {counts}")
+    return counts
+
+
 def check_identity(variance: DataFrame, limit: float = 0.01) -> dict:
     found = variance.agg(F.max("variance_bps").alias("maximum_variance_bps"))
     return gate("decomposition", found, lambda r: r["maximum_variance_bps"] is not None and r["maximum_variance_bps"] <= limit)

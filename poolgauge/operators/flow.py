@@ -2,8 +2,14 @@
 
 Each loan's rows are ordered once and every row looks one row ahead: a loan is
 matched if its next row is one step later. That is one shuffle of the panel by
-loan; :func:`pairs_by_join` is the two-join form, kept to test against.
-Valid where (deal, pool, loan, period) is unique, which intake enforces.
+loan and one aggregation; loans that are new in a period are its records less
+the matched ones. :func:`pairs_by_join` is the two-join form, kept to test
+against.
+
+Defined cases: a row without deal, pool or loan id matches nothing, as in a
+join on equal keys, and such rows are dealt out by their hash instead of
+meeting in one group. (deal, pool, loan, period) is unique: the gates of the
+store refuse repeated ones, which :func:`totals` counts as it goes.
 """
 
 from __future__ import annotations
@@ -27,18 +33,25 @@ def observed_dates(rows: DataFrame) -> DataFrame:
     return rows.select("deal_id", "period_date").distinct()
 
 
-def _with_neighbours(rows: DataFrame, step: str) -> DataFrame:
-    order = Window.partitionBy(*LOAN).orderBy("period_date")
-    needed = rows.select(*LOAN, "period_date", *_AHEAD)
-    ahead = F.lead(F.struct("period_date", *_AHEAD)).over(order)
-    return needed.select("*", ahead.alias("next"), F.lag("period_date").over(order).alias("before"))
+def _ahead(rows: DataFrame) -> DataFrame:
+    """Rows with ``next`` (the loan's following row; null without ids) and ``again`` (the loan was in the same period before)."""
+    named = F.lit(True)
+    for c in LOAN:
+        named = named & F.col(c).isNotNull()
+    lone = F.when(~named, F.xxhash64("period_date", *_AHEAD)).alias("lone")
+    order = Window.partitionBy(*LOAN, "lone").orderBy("period_date")
+    needed = rows.select(*LOAN, "period_date", *_AHEAD, lone)
+    again = F.coalesce(F.lag("period_date").over(order) == F.col("period_date"), F.lit(False)) & F.col("lone").isNull()
+    return needed.select("*", F.when(F.col("lone").isNull(), F.lead(F.struct("period_date", *_AHEAD)).over(order)).alias("next"), again.alias("again"))
 
 
-def pairs(rows: DataFrame, step: str = "month") -> DataFrame:
-    """Prior rows whose deal was observed one step later, with the loan's row there if it has one."""
-    seen = _with_neighbours(rows, step)
-    dates = observed_dates(rows).select(F.col("deal_id").alias("d_id"), F.col("period_date").alias("cur_date"))
-    met = seen.withColumn("cur", shifted(F.col("period_date"), 1, step)).join(dates, (F.col("deal_id") == F.col("d_id")) & (F.col("cur") == F.col("cur_date")))
+def pairs(rows: DataFrame, step: str = "month", dates: DataFrame | None = None) -> DataFrame:
+    """Prior rows whose deal was observed one step later, with the loan's row there if it has one.
+
+    ``dates``: deal_id and period_date of what was observed, if a table knows them.
+    """
+    later = (observed_dates(rows) if dates is None else dates).select(F.col("deal_id").alias("d_id"), F.col("period_date").alias("cur_date"))
+    met = _ahead(rows).withColumn("cur", shifted(F.col("period_date"), 1, step)).join(later, (F.col("deal_id") == F.col("d_id")) & (F.col("cur") == F.col("cur_date")))
     matched = F.coalesce(F.col("next.period_date") == F.col("cur_date"), F.lit(False))
     return met.select(
         *LOAN,
@@ -47,6 +60,7 @@ def pairs(rows: DataFrame, step: str = "month") -> DataFrame:
         *[F.col(c).alias(n) for c, n in _PRIOR.items()],
         matched.alias("is_matched"),
         *[F.when(matched, F.col("next")[c]).alias(c) for c in _AHEAD],
+        "again",
     )
 
 
@@ -62,31 +76,37 @@ def pairs_by_join(rows: DataFrame, step: str = "month") -> DataFrame:
     return met.select(*LOAN, period_of(F.col("cur_date"), step).alias("reporting_period"), F.col("cur_date").alias("period_date"), *_PRIOR.values(), F.col("n_date").isNotNull().alias("is_matched"), *_AHEAD)
 
 
-def new_records(rows: DataFrame, step: str = "month") -> DataFrame:
-    """Rows of a deal and period, observed one step before too, whose loan was not there then."""
-    seen = _with_neighbours(rows, step).select("deal_id", "period_date", "before")
-    dates = observed_dates(rows).select(F.col("deal_id").alias("d_id"), F.col("period_date").alias("prior_date"))
-    met = seen.withColumn("prior", shifted(F.col("period_date"), -1, step)).join(dates, (F.col("deal_id") == F.col("d_id")) & (F.col("prior") == F.col("prior_date")))
-    new = ~F.coalesce(F.col("before") == F.col("prior_date"), F.lit(False))
-    return met.groupBy("deal_id", period_of(F.col("period_date"), step).alias("reporting_period")).agg(F.count_if(new).alias("new_records"))
+def observed(rows: DataFrame) -> DataFrame:
+    """deal_id, period_date and records of each deal and period."""
+    return rows.groupBy("deal_id", "period_date").agg(F.count("*").alias("records"))
 
 
-def flow_metrics(rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER, by_join: bool = False) -> DataFrame:
-    """Counts, balances and rates of movement per deal and period."""
-    found = pairs_by_join(rows, step) if by_join else pairs(rows, step)
+def totals(rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER, seen: DataFrame | None = None, by_join: bool = False) -> DataFrame:
+    """Measures per deal and period, ``new_records``, and ``repeated_records`` for the gate. ``seen``: as :func:`observed`, if a table knows it."""
+    seen = observed(rows) if seen is None else seen
+    found = pairs_by_join(rows, step).withColumn("again", F.lit(False)) if by_join else pairs(rows, step, seen.select("deal_id", "period_date"))
     name, value, when = LOSS_INCREMENT
     increment = F.sum(F.when(F.expr(when), F.expr(value))).cast("decimal(24,2)").alias(name)
-    totals = found.groupBy("deal_id", "reporting_period", "period_date").agg(*[aggregate(m) for m in flow_measures(cutover)], increment)
-    met = totals.join(new_records(rows, step), ["deal_id", "reporting_period"])
-    return met.select("*", *ratios(FLOW_RATES), F.lit(METRIC_VERSION).alias("metric_version"))
+    sums = found.groupBy("deal_id", "reporting_period", "period_date").agg(*[aggregate(m) for m in flow_measures(cutover)], increment, F.count_if("again").alias("repeated_records"))
+    met = sums.join(seen, ["deal_id", "period_date"])
+    return met.select(*sums.columns, (F.col("records") - F.col("matched_records")).alias("new_records"))
+
+
+def measured(sums: DataFrame) -> DataFrame:
+    """:func:`totals` with rates, as the flow table has them."""
+    return sums.drop("repeated_records").select("*", *ratios(FLOW_RATES), F.lit(METRIC_VERSION).alias("metric_version"))
+
+
+def flow_metrics(rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER, by_join: bool = False) -> DataFrame:
+    """Counts, balances and rates of movement per deal and period."""
+    return measured(totals(rows, step, cutover, by_join=by_join))
 
 
 def prior_row_classes(rows: DataFrame, step: str = "month") -> DataFrame:
     """How many prior rows were matched, left with a code, or left without one; and new rows. One row per class."""
-    kind = F.when(F.col("is_matched"), "matched").when(F.col("prior_zero_balance_code").isNotNull(), "approved_exit").otherwise("error_unmatched")
-    old = pairs(rows, step).groupBy(kind.alias("row_class")).agg(F.count("*").alias("records"))
-    new = new_records(rows, step).agg(F.coalesce(F.sum("new_records"), F.lit(0)).alias("records")).select(F.lit("new").alias("row_class"), "records")
-    return old.unionByName(new)
+    sums = totals(rows, step).agg(F.sum("matched_records").alias("matched"), F.sum("approved_exit_records").alias("approved_exit"), F.sum("error_unmatched_records").alias("error_unmatched"), F.sum("new_records").alias("new"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("row_class"), F.coalesce(k, F.lit(0)).alias("records")) for k in ("matched", "approved_exit", "error_unmatched", "new")])).alias("x")
+    return sums.select(kinds).select("x.*").where((F.col("records") > 0) | (F.col("row_class") == "new"))
 
 
 def transition_matrix(rows: DataFrame, step: str = "month") -> DataFrame:

@@ -1,90 +1,92 @@
-"""Append-only refresh: new periods only, history untouched and checked to be so."""
+"""Append-only refresh: new (deal, period) keys only, whenever they fall; history untouched and checked to be so."""
 
 from __future__ import annotations
 
 import json
 import time
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from poolgauge import storage
+from poolgauge.functions.columns import period_of, shifted
 from poolgauge.functions.measures import CREDIT_CUTOVER
-from poolgauge.operators import attribution, components, control, flow
+from poolgauge.operators import components, control, flow
 from poolgauge.operators.control import GateError
-from poolgauge.plans.tables import NAMES, Store, Tables, build
+from poolgauge.plans.tables import NAMES, Store, Tables, build, derived, inventory, seen_in
+from poolgauge.storage import cut
 
-#: Prior observations that lags need.
-LOOKBACK = 3
+KEYS = ["deal_id", "reporting_period"]
 
 
-def needed(rows: DataFrame, cutoff: str, lookback: int = LOOKBACK) -> DataFrame:
-    """Rows after ``cutoff`` and of each deal's ``lookback`` last periods up to it.
-
-    Counted per deal and in periods it was observed in, so deals with gaps get
-    the same lags as a full build. Only a table of (deal, period) is windowed.
-    """
-    seen = rows.where(F.col("reporting_period") <= cutoff).select("deal_id", "reporting_period").distinct()
-    rank = F.row_number().over(Window.partitionBy("deal_id").orderBy(F.desc("reporting_period")))
-    kept = seen.withColumn("n", rank).where(F.col("n") <= lookback).drop("n")
-    before = rows.where(F.col("reporting_period") <= cutoff).join(kept, ["deal_id", "reporting_period"], "left_semi")
-    return rows.where(F.col("reporting_period") > cutoff).unionByName(before)
+def moved(keys: DataFrame, step: str) -> DataFrame:
+    """Keys of flow that new (deal, period, date) keys touch: their own, and the next period's, whose prior they are."""
+    after = F.col("period_date")
+    return keys.select(*KEYS).unionByName(keys.select("deal_id", period_of(shifted(after, 1, step), step).alias("reporting_period"))).distinct()
 
 
-def merged(history: Tables, rows: DataFrame, cutoff: str, step: str = "month", cutover: str = CREDIT_CUTOVER) -> Tables:
-    """Tables of all periods: history up to ``cutoff`` and what the delta gives after it.
+def merged(history: Tables, rows: DataFrame, keys: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER) -> tuple[Tables, DataFrame]:
+    """Tables of history and of ``keys`` (deal_id, reporting_period, period_date: new ones, late or not), and the totals of the flow that was taken anew.
 
-    Rows of the panel are aggregated for new periods only. Lags are taken over
-    stored components together with new ones; flow reads one prior period.
+    Rows of the panel are aggregated for new keys only. Flow reads the rows of
+    new keys and of their neighbours one step away. Portfolio sums, lags and
+    the decomposition are taken over components, a row per pool and period.
     """
-    old = lambda d: d.where(F.col("reporting_period") <= cutoff)
-    new = lambda d: d.where(F.col("reporting_period") > cutoff)
-    fresh = new(rows)
-    pool_c = old(history.pool_components).unionByName(components.pool_components(fresh))
-    deal_c = old(history.deal_components).unionByName(components.rolled_up(new(pool_c), components.DEAL))
-    portfolio_c = old(history.portfolio_components).unionByName(components.rolled_up(new(deal_c), components.PORTFOLIO))
-    pool = old(history.pool).unionByName(new(components.metrics(pool_c, components.POOL)))
-    deal = old(history.deal).unionByName(new(components.metrics(deal_c, components.DEAL)))
-    portfolio = old(history.portfolio).unionByName(new(components.metrics(portfolio_c, components.PORTFOLIO)))
-    flows = old(history.flow).unionByName(new(flow.flow_metrics(needed(rows, cutoff), step, cutover)))
-    layers = old(history.layers).unionByName(components.risk_layers(fresh))
-    effects = old(history.decomposition).unionByName(new(attribution.decomposition(deal, portfolio)))
-    return Tables(pool_c, deal_c, portfolio_c, pool, deal, portfolio, flows, layers, effects, history.catalog)
-
-
-def differences(rows: DataFrame, cutoff: str, step: str = "month", cutover: str = CREDIT_CUTOVER) -> DataFrame:
-    """(table_name, differing_rows) where a merge after ``cutoff`` differs from a full build; no rows if nowhere."""
-    full = build(rows, step, cutover)
-    both = merged(build(rows.where(F.col("reporting_period") <= cutoff), step, cutover), rows, cutoff, step, cutover)
+    fresh = rows.join(keys.select(*KEYS), KEYS, "left_semi")
+    new_pool_c = cut(components.pool_components(fresh))
+    pool_c = history.pool_components.unionByName(new_pool_c)
+    deal_c = cut(history.deal_components.unionByName(components.rolled_up(new_pool_c, components.DEAL)))
+    portfolio_c = components.rolled_up(deal_c, components.PORTFOLIO)
+    pool, deal, portfolio, effects = derived(pool_c, deal_c, portfolio_c)
+    touched = cut(moved(keys, step))
+    shift = lambda n: keys.select("deal_id", period_of(shifted(F.col("period_date"), n, step), step).alias("reporting_period"))
+    around = keys.select(*KEYS).unionByName(shift(-1)).unionByName(shift(1)).distinct()
+    sums = flow.totals(rows.join(around, KEYS, "left_semi"), step, cutover, seen_in(deal_c))
+    sums = cut(sums.join(touched, KEYS, "left_semi"))
+    flows = history.flow.join(touched, KEYS, "left_anti").unionByName(flow.measured(sums))
+    layers = history.layers.unionByName(components.risk_layers(fresh))
+    return Tables(pool_c, deal_c, portfolio_c, pool, deal, portfolio, flows, layers, effects, history.catalog), sums
+
+
+#: What is added up of each table to compare two of them beyond their rows.
+DIGESTS = {"pool": "eligible_current_upb", "deal": "d60_change_3m_bps", "portfolio": "d60_change_1m_bps", "flow": "cured_upb", "layers": "eligible_current_upb", "decomposition": "rate_effect_bps"}
+
+
+def digests(tables: Tables) -> DataFrame:
+    """table_name, rows and, per table, the sum of one of its measures."""
     out = None
-    for n in ("deal", "portfolio", "flow", "layers", "decomposition"):
-        a, b = getattr(full, n), getattr(both, n)
-        sums = [c for c, t in a.dtypes if t == "double"]
-        near = lambda d, s=tuple(sums): d.select(*[F.round(c, 9).alias(c) if c in s else F.col(c) for c in sorted(d.columns)])
-        tagged = near(a).withColumn("side", F.lit(1)).unionByName(near(b).withColumn("side", F.lit(-1)))
-        gap = tagged.groupBy(*sorted(a.columns)).agg(F.sum("side").alias("side")).where(F.col("side") != 0)
-        one = gap.agg(F.count("*").alias("differing_rows")).select(F.lit(n).alias("table_name"), "differing_rows").where(F.col("differing_rows") > 0)
+    for n, c in DIGESTS.items():
+        one = getattr(tables, n).agg(F.count("*").alias("rows"), F.round(F.sum(F.col(c).cast("double")), 4).alias("total")).select(F.lit(n).alias("table_name"), "rows", "total")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def split_and_merged(rows: DataFrame, is_history, step: str = "month", cutover: str = CREDIT_CUTOVER) -> Tables:
+    """Tables of a build over the rows that ``is_history`` names, and a merge of all other keys into it."""
+    history = build(rows.where(is_history), step, cutover)
+    keys = cut(rows.where(~is_history).select(*KEYS, "period_date").distinct())
+    return merged(history, rows, keys, step, cutover)[0]
+
+
 class Journal:
     """Run records as JSON files: running, then pass or failed; a run found running by a later one is recovered."""
 
     def __init__(self, root: str, keep: int = 12):
-        self.folder, self.keep = Path(root) / "runs", keep
+        self.folder, self.keep = storage.joined(root, "runs"), keep
 
     def _write(self, run: dict) -> dict:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        beside = self.folder / f".{run['run_id']}.{uuid.uuid4().hex}"
-        beside.write_text(json.dumps(run, sort_keys=True, default=str))
-        beside.replace(self.folder / f"{run['run_id']}.json")
+        storage.write_text(storage.joined(self.folder, f"{run['run_id']}.json"), json.dumps(run, sort_keys=True, default=str))
         return run
 
     def runs(self) -> list[dict]:
-        return sorted((json.loads(p.read_text()) for p in self.folder.glob("*.json")), key=lambda r: r["started"]) if self.folder.exists() else []
+        found = [json.loads(storage.read_text(storage.joined(self.folder, n))) for n in storage.names(self.folder) if n.endswith(".json") and not n.startswith(".")]
+        return sorted(found, key=lambda r: r["started"])
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The run records as a table: run_id, kind, status, started, ended, version and error."""
+        names = ("run_id", "kind", "status", "started", "ended", "version", "error")
+        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in self.runs()], "run_id string, kind string, status string, started long, ended long, version string, error string")
 
     def start(self, **facts) -> dict:
         return self._write({"run_id": f"run-{time.time_ns()}-{uuid.uuid4().hex[:6]}", "started": time.time_ns(), "status": "running", **facts})
@@ -92,55 +94,59 @@ class Journal:
     def end(self, run: dict, status: str, **facts) -> dict:
         done = self._write({**run, "status": status, "ended": time.time_ns(), **facts})
         for old in self.runs()[: -self.keep]:
-            (self.folder / f"{old['run_id']}.json").unlink(missing_ok=True)
+            storage.remove(storage.joined(self.folder, f"{old['run_id']}.json"))
         return done
 
     def recover(self, store: Store) -> list[str]:
-        """Mark interrupted runs; versions that no pointer names are dropped if they lie below the store's root."""
-        import shutil
-
+        """Mark interrupted runs; versions that no pointer names go."""
         done = []
         for run in self.runs():
             if run["status"] == "running":
                 self._write({**run, "status": "recovered"})
                 done.append(run["run_id"])
-        root = store.root.resolve()
-        for p in store.root.glob("v-*"):
-            if p.resolve().parent != root:
-                raise GateError(f"{p} lies outside the store")
-            if done and p.name != store.current():
-                shutil.rmtree(p)
+        for n in storage.names(store.root):
+            if done and n.startswith("v-") and n != store.current():
+                storage.remove(storage.joined(store.root, n))
         return done
 
 
-def refresh(spark: SparkSession, store: Store, rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER) -> dict:
-    """Bring the store up to ``rows`` (typed): a full version first, deltas after it; a no-op without new periods."""
-    journal = Journal(str(store.root))
+def refresh(spark: SparkSession, store: Store, rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER, source: DataFrame | None = None) -> dict:
+    """Bring the store up to ``rows`` (typed): a full version first, deltas after it; a no-op without new keys.
+
+    ``rows`` are all rows so far. A committed (deal, period) that lacks or
+    differs among them fails the run; new ones are taken whenever they fall,
+    also before periods that other deals already have. ``source`` (the
+    foundation of ``rows``) has the metrics reconciled with the control path.
+    """
+    journal = Journal(store.root)
     recovered = journal.recover(store)
     current = store.current()
     if current is None:
         run = journal.start(kind="full")
         try:
-            return journal.end(run, "pass", recovered=recovered, **store.write(rows, step, cutover))
+            return journal.end(run, "pass", recovered=recovered, **store.write(rows, step, cutover, source=source))
         except Exception as e:
             journal.end(run, "failed", error=str(e)[:500])
             raise
-    history = store.load()
-    cutoff = history.portfolio.agg(F.max("reporting_period")).first()[0]
-    if rows.where(F.col("reporting_period") > cutoff).isEmpty():
-        return {"status": "pass", "kind": "no-op", "version": current}
-    run = journal.start(kind="delta", cutoff=cutoff)
+    run = journal.start(kind="delta")
     try:
-        control.check_inputs(control.input_gate_counts(rows.where(F.col("reporting_period") > cutoff)))
+        offered = cut(inventory(rows))
+        diff = cut(control.append_only_diff(store.inventory(current), offered))
+        if not control.check_append_only(diff).get("new"):
+            return journal.end(run | {"kind": "no-op"}, "pass", version=current, recovered=recovered)
+        new = diff.where("change = 'new'").select(*KEYS)
+        keys = cut(rows.join(new, KEYS, "left_semi").select(*KEYS, "period_date").distinct())
         version = f"v-{uuid.uuid4().hex[:12]}"
-        both = merged(history, rows, cutoff, step, cutover)
+        both, sums = merged(store.load(current), rows, keys, step, cutover)
         for n in NAMES:
-            getattr(both, n).write.parquet(store.path(version, n))
-        if store.fingerprints(current, cutoff) != store.fingerprints(version, cutoff):
-            raise GateError("history changed")
-        done = store.load(version)
-        control.check_transitions(control.transition_audit(done.flow))
-        control.check_identity(attribution.identity_variance(done.decomposition, done.portfolio))
+            store.put(version, n, getattr(both, n))
+        stock = store.put(version, "inventory", offered)
+        for n in ("pool_components", "deal_components", "layers"):
+            old = lambda v, n=n: tuple(control.fingerprint(store.table(v, n).join(keys, KEYS, "left_anti")).first())
+            if old(current) != old(version):
+                raise GateError(f"history changed: {n}")
+        fresh = rows.join(keys, KEYS, "left_semi")
+        store.check(version, fresh, sums, stock, None if source is None else control.release_aggregate(source))
         store.publish(version)
         return journal.end(run, "pass", version=version, recovered=recovered)
     except Exception as e:

@@ -32,10 +32,25 @@ def _frames(t: Tables) -> dict[str, tuple[DataFrame, list[str]]]:
     }
 
 
-def sections(t: Tables) -> DataFrame:
-    """(section, position, body): every row of every section as JSON, decimals as strings, in export order."""
+#: Columns of the sections that are counts and amounts, and those written as strings to keep their cents.
+COUNTS = {
+    "portfolio_periods": ["reporting_period", "eligible_active_loans", "eligible_current_upb", "excluded_ra_records", "excluded_ra_upb", "d30_plus_upb", "d60_plus_upb", "d90_plus_upb", "metric_version"],
+    "pool_periods": ["deal_id", "reference_pool_number", "reporting_period", "eligible_active_loans", "eligible_current_upb", "d60_plus_upb", "metric_version"],
+}
+AMOUNTS = ("eligible_current_upb", "excluded_ra_upb", "d30_plus_upb", "d60_plus_upb", "d90_plus_upb")
+
+
+def sections(t: Tables, only: dict[str, list[str]] | None = None) -> DataFrame:
+    """(section, position, body): every row of every section as JSON, decimals as strings, in export order.
+
+    ``only``: the sections and columns to take, all if left out.
+    """
     out = None
     for name, (df, order) in _frames(t).items():
+        if only is not None:
+            if name not in only:
+                continue
+            df = df.select(*only[name])
         plain = [F.col(c).cast("string").alias(c) if k.startswith("decimal") else F.col(c) for c, k in df.dtypes]
         body = df.select(F.lit(name).alias("section"), F.concat_ws("|", *order).alias("position"), F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("body"))
         out = body if out is None else out.unionByName(body)

@@ -6,15 +6,16 @@ import json
 import time
 import uuid
 from dataclasses import dataclass, fields
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from poolgauge import storage
 from poolgauge.functions.catalog import catalog
 from poolgauge.functions.measures import CREDIT_CUTOVER
 from poolgauge.operators import attribution, components, control, flow
 from poolgauge.operators.typed import typed
+from poolgauge.storage import cut
 
 
 @dataclass
@@ -37,25 +38,32 @@ class Tables:
 NAMES = [f.name for f in fields(Tables)]
 
 
+def derived(pool_c: DataFrame, deal_c: DataFrame, portfolio_c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pool, deal and portfolio metrics and the decomposition, from components."""
+    deal = cut(components.metrics(deal_c, components.DEAL))
+    portfolio = cut(components.metrics(portfolio_c, components.PORTFOLIO))
+    return components.metrics(pool_c, components.POOL), deal, portfolio, attribution.decomposition(deal, portfolio)
+
+
+def seen_in(deal_c: DataFrame) -> DataFrame:
+    """What :func:`flow.observed` gives, from deal components instead of the panel."""
+    return deal_c.select("deal_id", "period_date", F.col("in_scope_records").alias("records"))
+
+
 def build(rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER) -> Tables:
-    """Tables over typed rows; coarser grains read finer ones, so the panel is aggregated once for all three."""
-    pool_c = components.pool_components(rows)
-    deal_c = components.rolled_up(pool_c, components.DEAL)
+    """Tables over typed rows: the panel is read for components, for flow and for layers; all else comes from checkpointed components."""
+    pool_c = cut(components.pool_components(rows))
+    deal_c = cut(components.rolled_up(pool_c, components.DEAL))
     portfolio_c = components.rolled_up(deal_c, components.PORTFOLIO)
-    deal = components.metrics(deal_c, components.DEAL)
-    portfolio = components.metrics(portfolio_c, components.PORTFOLIO)
-    return Tables(
-        pool_c,
-        deal_c,
-        portfolio_c,
-        components.metrics(pool_c, components.POOL),
-        deal,
-        portfolio,
-        flow.flow_metrics(rows, step, cutover),
-        components.risk_layers(rows),
-        attribution.decomposition(deal, portfolio),
-        catalog(rows.sparkSession),
-    )
+    pool, deal, portfolio, effects = derived(pool_c, deal_c, portfolio_c)
+    moved = flow.measured(flow.totals(rows, step, cutover, seen_in(deal_c)))
+    return Tables(pool_c, deal_c, portfolio_c, pool, deal, portfolio, moved, components.risk_layers(rows), effects, catalog(rows.sparkSession))
+
+
+def inventory(rows: DataFrame) -> DataFrame:
+    """What a foundation holds of each deal and period: records, balance and an order-free hash of all typed columns."""
+    content = F.bit_xor(F.xxhash64(*sorted(rows.columns)))
+    return rows.groupBy("deal_id", "reporting_period").agg(F.count("*").alias("records"), F.sum("current_upb").cast("decimal(24,2)").alias("upb"), content.alias("content"))
 
 
 class Store:
@@ -63,63 +71,86 @@ class Store:
 
     A version is written whole into a new folder and becomes current by one
     rename of the pointer, so readers see the old version or the new one. The
-    pointer and the journal are driver files; the tables are Parquet at any
-    path that Spark writes.
+    root is a path or URI that Spark and pyarrow both reach. Beside the tables
+    a version has the inventory of the rows it was made of.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, root.rstrip("/")
 
     @property
-    def pointer(self) -> Path:
-        return self.root / "current.json"
+    def pointer(self) -> str:
+        return storage.joined(self.root, "current.json")
 
     def current(self) -> str | None:
-        return json.loads(self.pointer.read_text())["version"] if self.pointer.exists() else None
+        return json.loads(storage.read_text(self.pointer))["version"] if storage.exists(self.pointer) else None
 
     def path(self, version: str, table: str) -> str:
-        return str(self.root / version / table)
+        return storage.joined(self.root, version, table)
+
+    def table(self, version: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(version, name))
 
     def load(self, version: str | None = None) -> Tables:
         version = version or self.current()
         if version is None:
             raise FileNotFoundError(f"no version below {self.root}")
-        return Tables(*[self.spark.read.parquet(self.path(version, n)) for n in NAMES])
+        return Tables(*[self.table(version, n) for n in NAMES])
+
+    def inventory(self, version: str | None = None) -> DataFrame:
+        return self.table(version or self.current(), "inventory")
 
-    def write(self, rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER, release: DataFrame | None = None, groups: int | None = None) -> dict:
-        """Write and check a version, then make it current. A failed gate leaves the former one current."""
+    def put(self, version: str, name: str, df: DataFrame) -> DataFrame:
+        """Write a table of a version and read it back."""
+        df.write.parquet(self.path(version, name))
+        return self.table(version, name)
+
+    def write(self, rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER, release: DataFrame | None = None, groups: int | None = None, source: DataFrame | None = None) -> dict:
+        """Write and check a version, then make it current. A failed gate leaves the former one current.
+
+        ``release`` is an outside aggregate to reconcile with; without one,
+        ``source`` (the foundation that ``rows`` were typed from) gives the
+        control path's own, and its count of records.
+        """
         began = time.perf_counter()
         version = f"v-{uuid.uuid4().hex[:12]}"
-        put = lambda df, name: df.write.parquet(self.path(version, name))
-        counts = control.check_inputs(control.input_gate_counts(rows))
-        put(components.pool_components(rows), "pool_components")
-        pool_c = self.spark.read.parquet(self.path(version, "pool_components"))
-        put(components.rolled_up(pool_c, components.DEAL), "deal_components")
-        deal_c = self.spark.read.parquet(self.path(version, "deal_components"))
-        put(components.rolled_up(deal_c, components.PORTFOLIO), "portfolio_components")
-        portfolio_c = self.spark.read.parquet(self.path(version, "portfolio_components"))
-        put(components.metrics(pool_c, components.POOL), "pool")
-        put(components.metrics(deal_c, components.DEAL), "deal")
-        put(components.metrics(portfolio_c, components.PORTFOLIO), "portfolio")
-        put(flow.flow_metrics(rows, step, cutover), "flow")
-        put(components.risk_layers(rows), "layers")
-        deal, portfolio = (self.spark.read.parquet(self.path(version, n)) for n in ("deal", "portfolio"))
-        put(attribution.decomposition(deal, portfolio), "decomposition")
-        put(catalog(self.spark), "catalog")
+        put = lambda name, df: self.put(version, name, df)
+        pool_c = put("pool_components", components.pool_components(rows))
+        deal_c = put("deal_components", components.rolled_up(pool_c, components.DEAL))
+        portfolio_c = put("portfolio_components", components.rolled_up(deal_c, components.PORTFOLIO))
+        stock = put("inventory", inventory(rows))
+        put("pool", components.metrics(pool_c, components.POOL))
+        deal = put("deal", components.metrics(deal_c, components.DEAL))
+        portfolio = put("portfolio", components.metrics(portfolio_c, components.PORTFOLIO))
+        sums = cut(flow.totals(rows, step, cutover, seen_in(deal_c)))
+        put("flow", flow.measured(sums))
+        put("layers", components.risk_layers(rows))
+        put("decomposition", attribution.decomposition(deal, portfolio))
+        put("catalog", catalog(self.spark))
+        if source is not None and release is None:
+            release = control.release_aggregate(source)
+        facts = self.check(version, rows, sums, stock, release, groups)
+        self.publish(version)
+        return {"version": version, **facts, "seconds": round(time.perf_counter() - began, 3)}
+
+    def check(self, version: str, rows: DataFrame, sums: DataFrame, stock: DataFrame, release: DataFrame | None, groups: int | None = None) -> dict:
+        """All gates over a written version; GateError if one fails."""
         done = self.load(version)
+        stored = stock.agg(F.sum("records").alias("n")).first()["n"] or 0
+        counts = control.check_inputs(control.input_gate_counts(rows))
+        control.check_unique(sums)
+        if (aggregated := done.portfolio_components.agg(F.sum("in_scope_records").alias("n")).first()["n"] or 0) != stored:
+            raise control.GateError(f"{stored} records came in, {aggregated} were aggregated")
         if release is not None:
-            control.check_reconciliation(control.reconciliation_summary(control.reconciliation(done.pool, release)), groups if groups is not None else release.count())
+            summary = control.reconciliation_summary(control.reconciliation(done.pool, release))
+            control.check_reconciliation(summary, groups if groups is not None else release.count())
         audit = control.check_transitions(control.transition_audit(done.flow))
         if not done.decomposition.isEmpty():
             control.check_identity(attribution.identity_variance(done.decomposition, done.portfolio))
-        self.publish(version)
-        return {"version": version, "records": counts["records"], "transitions": audit, "seconds": round(time.perf_counter() - began, 3)}
+        return {"records": counts["records"], "transitions": audit}
 
     def publish(self, version: str) -> None:
-        self.root.mkdir(parents=True, exist_ok=True)
-        beside = self.root / f".current.{uuid.uuid4().hex}"
-        beside.write_text(json.dumps({"version": version}))
-        beside.replace(self.pointer)
+        storage.write_text(self.pointer, json.dumps({"version": version}))
 
     def fingerprints(self, version: str, cutoff: str | None = None) -> dict[str, tuple]:
         tables = self.load(version)

@@ -1,19 +1,26 @@
 """Disclosure archives: ZIP files of headerless, ragged, pipe-delimited members.
 
-``disclosure_zip`` is a Python data source: one input partition per member,
-read as a stream in the executor that owns it. A ZIP cannot be split within a
-member, so parallelism is the number of members (deals times months). The
-archive path is read by tasks with pyarrow's file systems, so it is a path or
-URI that every executor reaches.
+``disclosure_zip`` is a Python data source over one archive or a folder of
+them. An input partition is a run of members of about ``partition_bytes``,
+read as a stream in the executor that owns it; a ZIP cannot be split within a
+member, so parallelism ends at the number of members (deals times months). The
+path is read by tasks with pyarrow's file systems, so it is a path or URI that
+every executor reaches.
+
+``write_archives`` goes the other way: archives of a foundation, one per deal
+and year, each written by one task, members streamed into it in order.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,6 +29,7 @@ from pyspark.sql.window import Window
 from poolgauge.functions.layout import FIELD_NAMES, LINEAGE, WIDTHS
 from poolgauge.operators.control import GateError, gate
 from poolgauge.shipping import ship_code
+from poolgauge.storage import cut, joined, located, move, names, remove, write_whole
 
 #: Member names: two digits of year, series, number; underscore; as-of date; suffix.
 MEMBER = r"^(\d{2})([A-Z]+\d+)_(\d{8})_lld\.txt$"
@@ -29,32 +37,55 @@ LINE_SCHEMA = "member string, line_no long, width int, fields array<string>"
 
 
 def _open(uri: str):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = located(uri)
     return system.open_input_file(path)
 
 
-class _Member(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+def archives(path: str) -> list[str]:
+    """The archives that a path names: itself, or those right below it."""
+    return [path] if path.endswith(".zip") else [joined(path, n) for n in names(path) if n.endswith(".zip")]
+
+
+def directory(path: str) -> list[tuple[str, str, int, int]]:
+    """(archive, member, crc32, bytes) of all members; only the directories are read."""
+    out = []
+    for uri in archives(path):
+        with _open(uri) as raw, zipfile.ZipFile(raw) as z:
+            out += [(uri, i.filename, i.CRC, i.file_size) for i in z.infolist() if not i.is_dir()]
+    return out
+
+
+#: Bytes of members that one task reads; a larger member has a task of its own.
+PARTITION_BYTES = 32 << 20
+
+
+class _Members(InputPartition):
+    def __init__(self, members: list[tuple[str, str]]):
+        self.members = members
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.only = options["path"], [m for m in options.get("members", "").split("\n") if m]
+        self.path, self.only = options["path"], {m for m in options.get("members", "").split("\n") if m}
+        self.most = int(options.get("partition_bytes", PARTITION_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        with _open(self.path) as raw, zipfile.ZipFile(raw) as z:
-            names = [i.filename for i in z.infolist() if not i.is_dir()]
-        return [_Member(n) for n in names if not self.only or n in self.only] or [_Member("")]
-
-    def read(self, partition: _Member) -> Iterator[tuple]:
-        if not partition.name:
-            return
-        with _open(self.path) as raw, zipfile.ZipFile(raw) as z, z.open(partition.name) as member:
-            for n, row in enumerate(csv.reader(io.TextIOWrapper(member, "utf-8", newline=""), delimiter="|"), 1):
-                yield partition.name, n, len(row), [v if v != "" else None for v in row]
+        out, held, size = [], [], 0
+        for uri, name, _, n in directory(self.path):
+            if self.only and name not in self.only:
+                continue
+            if held and size + n > self.most:
+                out.append(_Members(held))
+                held, size = [], 0
+            held.append((uri, name))
+            size += n
+        return [*out, _Members(held)]
+
+    def read(self, partition: _Members) -> Iterator[tuple]:
+        for uri, name in partition.members:
+            with _open(uri) as raw, zipfile.ZipFile(raw) as z, z.open(name) as member:
+                for n, row in enumerate(csv.reader(io.TextIOWrapper(member, "utf-8", newline=""), delimiter="|"), 1):
+                    yield name, n, len(row), [v if v != "" else None for v in row]
 
 
 class DisclosureZip(DataSource):
@@ -84,9 +115,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
     Only the directory is read, on the driver: a few hundred bytes per member.
     """
-    with _open(path) as raw, zipfile.ZipFile(raw) as z:
-        rows = [(i.filename, i.CRC, i.file_size) for i in z.infolist() if not i.is_dir()]
-    members = spark.createDataFrame(rows, "member string, crc32 long, bytes long")
+    members = spark.createDataFrame([row[1:] for row in directory(path)], "member string, crc32 long, bytes long")
     base = F.regexp_replace("member", r"^.*/", "")
     year, series, as_of = (F.regexp_extract(base, MEMBER, k) for k in (1, 2, 3))
     standard = base.rlike(MEMBER)
@@ -107,9 +136,11 @@ def padded(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "fields"], F.col("width").isin(*WIDTHS).alias("accepted"), *named)
 
 
-def foundation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(foundation rows of the accepted members, classified inventory)."""
+def foundation(spark: SparkSession, path: str, deals: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(foundation rows of the accepted members, classified inventory); ``deals`` limits both to some deals."""
     members = classified(inventory(spark, path))
+    if deals is not None:
+        members = members.where(F.col("deal_id").isin(deals))
     good = [r["member"] for r in members.where(F.col("rejection").isNull()).select("member").collect()]
     names = members.select("member", "deal_id", "reporting_period")
     rows = padded(lines(spark, path, good)) if good else padded(spark.createDataFrame([], LINE_SCHEMA))
@@ -159,11 +190,131 @@ def official_mismatches(totals: DataFrame, official: DataFrame) -> DataFrame:
     return totals.join(official.withColumnRenamed("records", "official_records"), keys).where(F.col("records") != F.col("official_records"))
 
 
+def official_totals(spark: SparkSession, path: str) -> DataFrame:
+    """deal_id, reporting_period and records of a JSON manifest: a list of them, or an object with such a list as ``files``."""
+    entry = "deal_id string, reporting_period string, records long"
+    text = spark.read.text(path, wholetext=True)
+    both = text.select(F.coalesce(F.from_json("value", f"array<struct<{entry}>>"), F.from_json("value", f"struct<files:array<struct<{entry}>>>")["files"]).alias("files"))
+    return both.select(F.explode("files").alias("f")).select("f.*")
+
+
+def write_archives(foundation: DataFrame, folder: str) -> DataFrame:
+    """Write foundation rows as disclosure archives, one ZIP per deal and year; checkpointed: archive, members, records.
+
+    A line has ``source_field_count`` fields. Deals are named as members are:
+    the year's two digits and the series.
+    """
+    spark = foundation.sparkSession
+    ship_code(spark)
+    deal = F.regexp_replace("deal_id", r"^20(\d{2})-", "$1")
+    rows = foundation.select(F.concat(deal, F.lit("_"), F.left("period", F.lit(4))).alias("archive"), F.concat(deal, F.lit("_"), "period", F.lit("01_lld.txt")).alias("member"), "loan_identifier", F.col("source_field_count").cast("int").alias("width"), F.array(*FIELD_NAMES).alias("fields"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, open_name, member, beside, z, text = [], None, None, None, None, None
+
+        def end_member() -> None:
+            if text is not None:
+                text.close()
+
+        def end_archive() -> None:
+            end_member()
+            if z is not None:
+                z.close()
+                with open(beside.name, "rb") as made:
+                    write_whole(joined(folder, f"{open_name}.zip"), made)
+                beside.close()
+
+        for batch in batches:
+            for archive, name, width, fields in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if archive != open_name:
+                    end_archive()
+                    beside = tempfile.NamedTemporaryFile(suffix=".zip")  # a task's own working file, sent to the folder when whole
+                    z, text, open_name, member = zipfile.ZipFile(beside.name, "w", zipfile.ZIP_DEFLATED), None, archive, None
+                    done.append([archive, 0, 0])
+                if name != member:
+                    end_member()
+                    text = io.TextIOWrapper(z.open(name, "w", force_zip64=True), "utf-8", newline="")
+                    lines, member = csv.writer(text, delimiter="|", lineterminator="\n"), name
+                    done[-1][1] += 1
+                lines.writerow(["" if v is None else v for v in fields[:width]])
+                done[-1][2] += 1
+        end_archive()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "members", "records"])
+
+    dealt = rows.repartition("archive").sortWithinPartitions("archive", "member", "loan_identifier")
+    return cut(dealt.mapInArrow(run, "archive string, members long, records long"))
+
+
+def read_lines(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """An unpacked member of one known width by Spark's own reader: a line that is not of that width fails the read."""
+    if width not in WIDTHS:
+        raise GateError(f"no layout has {width} fields")
+    schema = ", ".join(f"{n} string" for n in FIELD_NAMES[:width])
+    return spark.read.schema(schema).option("sep", "|").option("mode", "FAILFAST").csv(path)
+
+
+#: Positions of a line that a control total needs: period, pool, status and balance.
+CONTROL_POSITIONS = {"period": 1, "reference_pool_number": 2, "current_loan_delinquency_status": 37, "current_actual_upb": 40}
+
+
+def control_fields(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
+    """The four control fields of a loan-level text file of any width; ``short`` tells lines of under ``least`` fields."""
+    parts = F.split("value", r"\|", -1)
+    named = [F.nullif(F.get(parts, F.lit(k - 1)), F.lit("")).alias(n) for n, k in CONTROL_POSITIONS.items()]
+    return spark.read.text(path).select((F.size(parts) < least).alias("short"), *named)
+
+
+ROW_GROUP_ROWS = 100_000
+
+
 def write(rows: DataFrame, root: str, mode: str = "errorifexists") -> None:
-    """Parquet by deal and period, sorted by loan: one shuffle by partition, one file for each."""
+    """Parquet by deal and period, sorted by loan: one shuffle by partition, one file for each, row groups of about 100,000 rows."""
     stored = rows.select(*LINEAGE, *FIELD_NAMES).withColumn("reporting_period", F.col("period"))
     dealt = stored.repartition("deal_id", "reporting_period").sortWithinPartitions("deal_id", "reporting_period", "loan_identifier")
-    dealt.write.mode(mode).option("compression", "zstd").partitionBy("deal_id", "reporting_period").parquet(root)
+    dealt.write.mode(mode).option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP_ROWS).partitionBy("deal_id", "reporting_period").parquet(root)
+
+
+def stored_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("deal_id", F.col("period").alias("reporting_period")).agg(F.count("*").alias("records"))
+
+
+def append(spark: SparkSession, rows: DataFrame, root: str) -> dict:
+    """Stage, verify, take over: rows go to a folder of their own, are read back and counted per partition, and only then are its partitions renamed into place.
+
+    A stored partition is never written again. Returns partitions and records.
+    """
+    if names(root):
+        refuse_overlap(read(spark, root), rows.select("deal_id", F.col("period").alias("reporting_period")).distinct())
+    staged = joined(root, f"_staged-{uuid.uuid4().hex}")
+    try:
+        write(rows, staged)
+        counts = cut(stored_counts(read(spark, staged)))
+        check_same_counts(cut(stored_counts(rows)), counts)
+        facts = counts.agg(F.count("*").alias("partitions"), F.sum("records").alias("records")).first()
+        for deal in names(staged):
+            if deal.startswith("deal_id="):
+                for period in names(joined(staged, deal)):
+                    move(joined(staged, deal, period), joined(root, deal, period))
+        return facts.asDict()
+    finally:
+        remove(staged)
+
+
+def check_same_counts(offered: DataFrame, stored: DataFrame) -> None:
+    """Both have the same partitions with the same records, or GateError."""
+    if not offered.exceptAll(stored).isEmpty() or not stored.exceptAll(offered).isEmpty():
+        raise GateError("stored partitions have other records than the offered ones")
+
+
+def files_read(rows: DataFrame) -> DataFrame:
+    """One row: how many files the rows come from, and the rows. Shows what partition pruning left to read."""
+    return rows.select(F.input_file_name().alias("f")).agg(F.count_distinct("f").alias("files"), F.count("*").alias("records"))
+
+
+def column_scan(rows: DataFrame, name: str) -> DataFrame:
+    """One row: the characters of one column over the whole history; a probe of a scan that reads one column."""
+    return rows.agg(F.count("*").alias("records"), F.sum(F.length(name)).alias("characters"))
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
@@ -175,8 +326,8 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(root)
 
 
-def refuse_overlap(spark: SparkSession, root: str, offered: DataFrame) -> None:
+def refuse_overlap(stored: DataFrame, offered: DataFrame) -> None:
     """Stored partitions are never written again."""
-    stored = read(spark, root).select("deal_id", "reporting_period").distinct()
+    stored = stored.select("deal_id", "reporting_period").distinct()
     if not offered.join(stored, ["deal_id", "reporting_period"], "left_semi").isEmpty():
         raise GateError("the archive revises a stored partition")

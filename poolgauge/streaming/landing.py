@@ -12,28 +12,27 @@ from poolgauge.operators.typed import typed
 from poolgauge.plans.incremental import refresh
 from poolgauge.plans.tables import Store
 from poolgauge.sources import archive
+from poolgauge.storage import joined, names
 
 
 def intake(spark: SparkSession, landing: str, root: str, store: Store, checkpoint: str, step: str = "month", cutover: str = CREDIT_CUTOVER) -> StreamingQuery:
-    """Process all landed files and stop. Revisions of stored partitions fail the batch; a batch that runs again is a no-op."""
+    """Process all landed files and stop. Revisions of partitions that another batch stored fail the batch.
+
+    A batch owns one folder, named by its number, and overwrites it: wherever
+    a run breaks off, the batch that runs again writes the same rows to the
+    same place and the refresh finds them new, or committed already.
+    """
     source = spark.readStream.schema(FOUNDATION_SCHEMA).parquet(landing)
+    data = joined(root, "data")
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         if rows.isEmpty():
             return
         offered = rows.select("deal_id", F.col("period").alias("reporting_period")).distinct()
-        done = f"{root}/_batches/{batch_id}"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(done).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(done)):
-            if _exists(spark, f"{root}/data"):
-                archive.refuse_overlap(spark, f"{root}/data", offered)
-            archive.write(rows, f"{root}/data", mode="append")
-            fs.create(spark._jvm.org.apache.hadoop.fs.Path(done)).close()
-        refresh(spark, store, typed(archive.read(spark, f"{root}/data")), step, cutover)
+        if any(n.startswith("batch=") and n != f"batch={batch_id}" for n in names(data)):
+            archive.refuse_overlap(archive.read(spark, data).where(F.col("batch") != batch_id), offered)
+        archive.write(rows, joined(data, f"batch={batch_id}"), mode="overwrite")
+        stored = archive.read(spark, data).drop("batch")
+        refresh(spark, store, typed(stored, step), step, cutover, source=stored)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
