@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+import zipfile
 from collections.abc import Callable
 from functools import partial
+from io import BytesIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +18,10 @@ from poolgauge.functions.columns import LABELS, label
 from poolgauge.functions.layout import FIELD_NAMES
 from poolgauge.operators import attribution, baseline, components, control, flow, masking
 from poolgauge.operators.typed import typed
-from poolgauge.plans import endpoints, incremental, projection
-from poolgauge.plans.tables import Tables, build
-from poolgauge.sources import lens
+from poolgauge.plans import endpoints, incremental, projection, release
+from poolgauge.plans.tables import Store, Tables, build
+from poolgauge.sources import archive, lens
+from poolgauge.storage import joined, shared_dir, write_whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,8 +45,21 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(foundation(spark, sf_dir))
 
 
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The metric store over a folder's panel, written and gated once per application: what ranks, pages and explains reads its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        made = Store(spark, joined(shared_dir(spark), f"panel-{uuid.uuid4().hex}"))
+        made.write(panel(spark, sf_dir), cutover=CUTOVER)
+        _stores[key] = made
+    return _stores[key]
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return build(panel(spark, sf_dir), cutover=CUTOVER)
+    return store(spark, sf_dir).load()
 
 
 def query(sql: str | None):
@@ -164,6 +181,21 @@ def release_aggregate(spark, sf):
     return control.release_aggregate(foundation(spark, sf))
 
 
+def _release_folder(spark, sf):
+    return _made(spark, sf, "release", lambda folder: release.rebuilt_if_behind(spark, folder, foundation(spark, sf), "synthetic-fixture"))
+
+
+@query(o.q(o.LENS + o.RELEASE_ONLY, "SELECT reporting_period, deal_id, reference_pool_number, CAST(current_upb AS DOUBLE) AS current_upb, CAST(d30_plus_upb AS DOUBLE) AS d30_plus_upb, CAST(d60_plus_upb AS DOUBLE) AS d60_plus_upb, d30_plus_rate, d60_plus_rate, records_aggregated, ra_records, xx_records, 'synthetic-fixture' AS source_classification FROM release"))
+def release_csv(spark, sf):
+    """The release aggregate written as CSV and read by its fixed types."""
+    return release.read_csv(spark, _release_folder(spark, sf))
+
+
+@query(o.q(o.LENS + o.RELEASE_ONLY, "SELECT count(*) AS groups, CAST(0 AS BIGINT) AS unordered_balances, CAST(0 AS BIGINT) AS wrong_rates FROM release"))
+def release_rule_breaks(spark, sf):
+    return release.rule_breaks(release.read_csv(spark, _release_folder(spark, sf)))
+
+
 def _reconciled(spark, sf):
     return control.reconciliation(components.pool_metrics(panel(spark, sf)), control.release_aggregate(foundation(spark, sf)))
 
@@ -187,6 +219,20 @@ for _m in endpoints.SORTS:
     SQL[f"watchlist_{_m}"] = o.watchlist(_m)
 
 
+QUERIES["watchlist_ascending"] = lambda spark, sf: endpoints.watchlist(tables(spark, sf), sort="d60_plus_rate", descending=False)
+SQL["watchlist_ascending"] = o.watchlist("d60_plus_rate", "ASC")
+
+
+@query(o.q(o.FLOW_CTES, "SELECT * FROM flow WHERE deal_id = 'D3'"))
+def deal_flow(spark, sf):
+    return tables(spark, sf).flow.where("deal_id = 'D3'")
+
+
+@query(o.q(o.TYPED + o.LAYERS, "SELECT risk_layer_count, eligible_loans, eligible_current_upb, loan_share, upb_share, metric_version FROM layers WHERE deal_id = 'D3' AND reporting_period = '199807'"))
+def deal_layers(spark, sf):
+    return endpoints.deal_view(tables(spark, sf), "D3", "199807")["risk_layers"]
+
+
 @query(o.q(o.METRIC_CTES + o.DECOMPOSITION, "SELECT reporting_period, deal_id, total_contribution_bps, row_number() OVER (PARTITION BY reporting_period ORDER BY abs(total_contribution_bps) DESC, deal_id) AS rank FROM effects QUALIFY rank <= 10"))
 def driver_ranking(spark, sf):
     order = Window.partitionBy("reporting_period").orderBy(F.abs("total_contribution_bps").desc(), "deal_id")
@@ -223,6 +269,11 @@ def loan_page_private(spark, sf):
     return endpoints.loan_page(panel(spark, sf), "199807", "D3", limit=50, offset=10)[1]
 
 
+@query(o.q(o.TYPED, f"SELECT 'restricted-' || right(loan_identifier, 4) AS loan_identifier, {_ROWS} FROM (SELECT * FROM typed WHERE deal_id = 'D3' AND reporting_period = '199807' AND performance_state = 'D60' AND risk_layer_count = 1 ORDER BY risk_layer_count DESC NULLS LAST, delinquency_months DESC NULLS LAST, current_upb DESC NULLS LAST, loan_identifier LIMIT 50)"))
+def loan_page_filtered(spark, sf):
+    return endpoints.loan_page(panel(spark, sf), "199807", "D3", status="d60", layer=1)[1]
+
+
 def _public(spark, sf, status):
     here = foundation(spark, sf).where((F.col("deal_id") == "D3") & (F.col("period") == "199807"))
     return endpoints.public_page(masking.masked(here, DEMO_KEY), status)[1].select("deal_id", *o.FIELDS_OF_LENS)
@@ -260,19 +311,123 @@ def status_histogram(spark, sf):
     return rows.groupBy(F.col("current_loan_delinquency_status").alias("status")).agg(F.count("*").alias("records"), F.count_if(F.col("current_actual_upb").try_cast("decimal(20,2)") == 0).alias("zero_upb"))
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query(o.q(o.LENS, "SELECT deal_id, reference_pool_number, loan_identifier, left(period, 4) AS year, count(*) AS copies FROM panel GROUP BY ALL HAVING count(*) > 7"))
 def duplicate_keys(spark, sf):
-    return control.duplicate_keys(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+    """Loans that more than seven rows of a year share: the check that intake runs by month, on a key that repeats."""
+    rows = foundation(spark, sf).withColumn("year", F.left("period", F.lit(4)))
+    return control.duplicate_keys(rows, "deal_id", "reference_pool_number", "loan_identifier", "year").where("copies > 7")
+
+
+#: Widths by period: later disclosures have more fields. And what a delivery holds beside its regular members.
+_WIDTH = "CASE WHEN period < '199501' THEN 89 WHEN period < '199701' THEN 90 ELSE 93 END"
+_STRAY = ("notes.txt", "22D3_19980715_lld.txt")
+_MADE: dict[tuple[str, str, str], str] = {}
+
+
+def _made(spark: SparkSession, sf: str, what: str, make) -> str:
+    """A folder that is filled once per application."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _MADE:
+        folder = joined(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
+        make(folder)
+        _MADE[key] = folder
+    return _MADE[key]
+
+
+def delivery(spark: SparkSession, sf: str) -> str:
+    """The panel as a folder of disclosure archives, with a note and a revised member among them."""
+
+    def make(folder: str) -> None:
+        rows = foundation(spark, sf).withColumns({"deal_id": F.concat(F.lit("2022-"), "deal_id"), "source_field_count": F.expr(_WIDTH).cast("smallint")})
+        archive.write_archives(rows, folder)
+        stray = BytesIO()
+        with zipfile.ZipFile(stray, "w") as z:
+            for n in _STRAY:
+                z.writestr(n, "not for intake\n")
+        stray.seek(0)
+        write_whole(joined(folder, "stray.zip"), stray)
+
+    return _made(spark, sf, "delivery", make)
+
+
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The foundation that the delivery's accepted members were staged, verified and appended to."""
+
+    def make(folder: str) -> None:
+        rows, _ = archive.foundation(spark, delivery(spark, sf))
+        archive.append(spark, rows.drop("width_accepted", "member_period"), folder)
 
+    return archive.read(spark, _made(spark, sf, "foundation", make))
 
-@query(o.q(o.LENS, """SELECT * FROM (SELECT deal_id, reporting_period, member, count(*) OVER (PARTITION BY deal_id, reporting_period) AS candidates FROM (
-  SELECT deal_id, period AS reporting_period, deal_id || '_' || period || '_' || v || '.txt' AS member FROM (SELECT DISTINCT deal_id, period FROM panel) CROSS JOIN (SELECT unnest([1, 2]) AS v)
-  WHERE v = 1 OR right(period, 1) = '7')) WHERE candidates > 1"""))
+
+_MEMBERS = o.LENS + f""", members AS (SELECT '22' || deal_id || '_' || period || '01_lld.txt' AS member, '2022-' || deal_id AS deal_id, period AS reporting_period FROM panel GROUP BY ALL
+  UNION ALL SELECT 'notes.txt', NULL, NULL UNION ALL SELECT '{_STRAY[1]}', '2022-D3', '199807'),
+accepted AS (SELECT '2022-' || deal_id AS deal_id, * EXCLUDE (deal_id), {_WIDTH} AS width FROM panel WHERE NOT (deal_id = 'D3' AND period = '199807'))"""
+
+
+@query(o.q(_MEMBERS, "SELECT member, deal_id, reporting_period, CASE WHEN deal_id IS NULL THEN 'non-standard name' WHEN count(*) OVER (PARTITION BY deal_id, reporting_period) > 1 THEN 'duplicate or revised' END AS rejection FROM members"))
+def archive_inventory(spark, sf):
+    return archive.classified(archive.inventory(spark, delivery(spark, sf))).select("member", "deal_id", "reporting_period", "rejection")
+
+
+@query(o.q(_MEMBERS, "SELECT deal_id, reporting_period, candidates, member FROM (SELECT *, count(*) OVER (PARTITION BY deal_id, reporting_period) AS candidates FROM members WHERE deal_id IS NOT NULL) WHERE candidates > 1"))
 def duplicate_candidates(spark, sf):
-    groups = foundation(spark, sf).select("deal_id", F.col("period").alias("reporting_period")).distinct()
-    versions = F.when(F.right("reporting_period", F.lit(1)) == "7", F.array(F.lit("1"), F.lit("2"))).otherwise(F.array(F.lit("1")))
-    members = groups.select("*", F.explode(versions).alias("v")).select("deal_id", "reporting_period", F.concat_ws("_", "deal_id", "reporting_period", F.concat("v", F.lit(".txt"))).alias("member"))
-    return control.duplicate_candidates(members)
+    """Members that claim one deal and month together: all are refused."""
+    named = archive.inventory(spark, delivery(spark, sf)).where(F.col("deal_id").isNotNull()).select("member", "deal_id", "reporting_period")
+    return control.duplicate_candidates(named)
+
+
+@query(o.q(_MEMBERS, "SELECT deal_id, period AS reporting_period, CAST(width AS SMALLINT) AS source_field_count, count(*) AS records, CAST(sum(CAST(current_actual_upb AS DECIMAL(20,2))) AS DECIMAL(24,2)) AS upb, count(*) FILTER (WHERE width = 93 AND actual_loss IS NOT NULL) AS with_loss, count(DISTINCT loan_identifier) AS loans FROM accepted GROUP BY ALL"))
+def archive_foundation(spark, sf):
+    """The accepted members read from their archives, padded and typed by position."""
+    rows, _ = archive.foundation(spark, delivery(spark, sf))
+    return rows.groupBy("deal_id", F.col("period").alias("reporting_period"), "source_field_count").agg(F.count("*").alias("records"), F.sum(F.col("current_actual_upb").cast("decimal(20,2)")).cast("decimal(24,2)").alias("upb"), F.count("actual_loss").alias("with_loss"), F.count_distinct("loan_identifier").alias("loans"))
+
+
+@query(o.q(_MEMBERS, "SELECT '22' || right(deal_id, 2) || '_' || period || '01_lld.txt' AS source_member, count(*) AS records, count(DISTINCT width) AS widths, " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in archive.BROKEN) + " FROM accepted GROUP BY ALL"))
+def archive_member_gates(spark, sf):
+    return archive.member_gates(archive.foundation(spark, delivery(spark, sf))[0])
+
+
+@query(o.q(_MEMBERS, "SELECT deal_id, period AS reporting_period, count(*) AS records, CASE WHEN right(deal_id, 1) IN ('1', '2', '3') THEN 'official' ELSE 'intake' END AS origin FROM accepted GROUP BY ALL"))
+def control_totals(spark, sf):
+    """Official totals of a JSON manifest where it names a deal and month, intake's own elsewhere; both agree where both are."""
+
+    def make(folder: str) -> None:
+        some = archive.stored_counts(stored(spark, sf)).where(F.right("deal_id", F.lit(1)).isin("1", "2", "3"))
+        document = some.select(F.struct("deal_id", "reporting_period", "records").alias("f")).agg(F.to_json(F.struct(F.collect_list("f").alias("files"))).alias("value"))
+        document.coalesce(1).write.text(folder)  # a row per deal and month
+
+    official = archive.official_totals(spark, _made(spark, sf, "official", make))
+    counts = archive.stored_counts(stored(spark, sf))
+    if not archive.official_mismatches(counts, official).isEmpty():
+        raise control.GateError("intake differs from the official totals")
+    return release.best_totals(official, counts)
+
+
+@query(o.q(_MEMBERS, "SELECT CAST(1 AS BIGINT) AS files, count(*) AS records FROM accepted WHERE deal_id = '2022-D3' AND period = '199706'"))
+def stored_partition_scan(spark, sf):
+    """What a filter on deal and month leaves to read of the stored foundation: one file."""
+    return archive.files_read(stored(spark, sf).where("deal_id = '2022-D3' AND reporting_period = '199706'"))
+
+
+@query(o.q(_MEMBERS, "SELECT count(*) AS records, CAST(sum(length(loan_identifier)) AS BIGINT) AS characters FROM accepted"))
+def stored_column_scan(spark, sf):
+    return archive.column_scan(stored(spark, sf), "loan_identifier")
+
+
+@query(o.q(_MEMBERS, "SELECT deal_id, period AS reporting_period, count(*) AS records FROM accepted GROUP BY ALL"))
+def masked_publication(spark, sf):
+    """Masked rows published by deal and month, read back and audited."""
+    rows = stored(spark, sf).drop("reporting_period")
+    return release.publish_masked(spark, rows, joined(shared_dir(spark), f"public-{uuid.uuid4().hex}"), DEMO_KEY)
+
+
+@query(o.q(o.LENS, "SELECT deal_id, period AS reporting_period, CASE WHEN period > '199801' THEN 'planned' ELSE 'committed' END AS orphan FROM panel WHERE period > '199801' OR deal_id = 'D9' GROUP BY ALL"))
+def manifest_orphans(spark, sf):
+    """A plan without a deal against a manifest that ends early."""
+    keys = foundation(spark, sf).select("deal_id", F.col("period").alias("reporting_period"))
+    return release.orphans(keys.where("deal_id <> 'D9' OR reporting_period > '199801'"), keys.where("reporting_period <= '199801'"))
 
 
 _INVENTORY = "SELECT deal_id, period AS reporting_period, count(*) AS records, CAST(sum(CAST(current_actual_upb AS DECIMAL(20,2))) AS DECIMAL(24,2)) AS upb FROM panel"
@@ -287,15 +442,22 @@ def append_only_diff(spark, sf):
     return control.append_only_diff(stock(rows.where("period < '200001'")), stock(rows.where((F.col("period") >= "199603") & kept)))
 
 
-@query(None)
+@query(o.q(o.COMPONENT_CTES, "SELECT count(*) AS records, CAST(sum(CAST(('0x' || left(md5(concat_ws('|', deal_id, reporting_period, in_scope_records, eligible_active_loans, eligible_current_upb, d30_plus_upb, d60_plus_upb)), 12)) AS BIGINT)) AS BIGINT) AS fingerprint FROM deal_c WHERE reporting_period <= '199912'"))
 def history_fingerprint(spark, sf):
-    return control.fingerprint(tables(spark, sf).deal, "199912")
+    """Rows and an order-free sum of row digests of the deals' history: two stores with equal ones agree on it."""
+    names = ("deal_id", "reporting_period", "in_scope_records", "eligible_active_loans", "eligible_current_upb", "d30_plus_upb", "d60_plus_upb")
+    digest = F.conv(F.left(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in names])), F.lit(12)), 16, 10).cast("long")
+    return tables(spark, sf).deal_components.where("reporting_period <= '199912'").agg(F.count("*").alias("records"), F.sum(digest).alias("fingerprint"))
+
 
+_DIGEST_OF = {"pool": "pool_m", "deal": "deal_m", "portfolio": "portfolio_m", "flow": "flow", "layers": "layers", "decomposition": "effects"}
 
-@query("SELECT 'x' AS table_name, CAST(0 AS BIGINT) AS differing_rows WHERE FALSE")
+
+@query(o.q(o.ALL, " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows, round(sum(CAST({c} AS DOUBLE)), 4) AS total FROM {_DIGEST_OF[n]}" for n, c in incremental.DIGESTS.items())))
 def incremental_equals_full(spark, sf):
-    """Tables whose rows differ between a full build and a delta merged into history: none."""
-    return incremental.differences(panel(spark, sf), "200106", cutover=CUTOVER)
+    """Rows and a sum of every table after a merge of later periods, and of one deal's late ones, into history; the SQL builds all at once."""
+    known = (F.col("reporting_period") <= "199706") & ~((F.col("deal_id") == "D7") & F.col("reporting_period").between("199602", "199605"))
+    return incremental.digests(incremental.split_and_merged(panel(spark, sf), known, cutover=CUTOVER))
 
 
 @query(o.q(o.LENS + ", seen AS (SELECT DISTINCT CAST(strptime(period, '%Y%m') AS DATE) AS d FROM panel WHERE CAST(right(period, 2) AS INTEGER) % 5 <> 0)", "SELECT strftime(CAST(m AS DATE), '%Y%m') AS missing_period FROM (SELECT unnest(generate_series((SELECT min(d) FROM seen), (SELECT max(d) FROM seen), INTERVAL 1 MONTH)) AS m) WHERE CAST(m AS DATE) NOT IN (SELECT d FROM seen)"))
@@ -324,9 +486,25 @@ def metric_catalog(spark, sf):
     return catalog(spark)
 
 
-@query(None)
+@query(o.q(o.METRIC_CTES, "SELECT 'deal_periods' AS section, count(*) AS published, count(*) AS regenerated, CAST(0 AS BIGINT) AS differing FROM deal_m UNION ALL SELECT 'pool_periods', count(*), count(*), 0 FROM pool_m UNION ALL SELECT 'portfolio_periods', count(*), count(*), 0 FROM portfolio_m UNION ALL SELECT 'metric_catalog', " + f"{len(ENTRIES)}, {len(ENTRIES)}, 0"))
+def projection_parity(spark, sf):
+    """The published document against one made anew from a lazy build of the panel."""
+    published = _made(spark, sf, "projection", lambda folder: projection.sections(tables(spark, sf)).write.parquet(folder))
+    return release.parity(spark.read.parquet(published), projection.sections(build(panel(spark, sf), cutover=CUTOVER)))
+
+
+def _json(columns, order, source, section):
+    body = ", ".join(f"'{c}', {'CAST(' + c + ' AS VARCHAR)' if c in projection.AMOUNTS else c}" for c in columns)
+    return f"SELECT '{section}' AS section, concat_ws('|', {', '.join(order)}) AS position, CAST(json_object({body}) AS VARCHAR) AS body FROM {source}"
+
+
+_PLAIN = {"portfolio_periods": ("portfolio_m", ["reporting_period"]), "pool_periods": ("pool_m", ["reporting_period", "deal_id", "reference_pool_number"])}
+
+
+@query(o.q(o.METRIC_CTES, " UNION ALL ".join(_json(projection.COUNTS[n], order, source, n) for n, (source, order) in _PLAIN.items())))
 def projection_json(spark, sf):
-    return projection.sections(tables(spark, sf))
+    """Counts and amounts of the published sections as JSON, in export order."""
+    return projection.sections(tables(spark, sf), projection.COUNTS)
 
 
 @query(o.q(o.ALL, f"""SELECT CASE WHEN abs(round(sum(rate_effect_bps), 6)) >= abs(round(sum(mix_effect_bps), 6)) THEN 'rate_led_change' ELSE 'mix_led_change' END AS finding, CAST(NULL AS VARCHAR) AS deal_id, round(sum(rate_effect_bps), 6) AS figure FROM effects WHERE reporting_period = {LATEST}

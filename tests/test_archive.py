@@ -35,7 +35,7 @@ def test_widths_and_padding(spark, tmp_path):
     assert back.where("deal_id = '2022-HQA1' AND reporting_period = '202409'").count() == 1
     assert "PartitionFilters: [isnotnull(deal_id" in back.where("deal_id = 'x'")._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(control.GateError):
-        archive.refuse_overlap(spark, str(tmp_path / "f"), back.select("deal_id", "reporting_period"))
+        archive.refuse_overlap(back, back.select("deal_id", "reporting_period"))
 
 
 @pytest.mark.parametrize("rows", [[line(88, "202307")], [line(89, "202308")], [line(89, "202307", loan=" ")], [line(89, "202307")] * 2, [line(89, "202307"), line(90, "202307", "L2")], [line(89, "202307", upb="-1")], [line(89, "202307", status="Z")]])
@@ -91,3 +91,12 @@ def test_streaming_intake(spark, tmp_path):
     land("202307", 1)
     land("202308", 2)
     assert store.load().portfolio.count() == 2
+    # a batch that broke off after its rows were stored and runs again finds its own folder
+    offered = archive.read(spark, str(tmp_path / "root" / "data")).where("batch = 1").drop("batch")
+    archive.write(offered, str(tmp_path / "root" / "data" / "batch=1"), mode="append")
+    last = max((tmp_path / "cp" / "commits").glob("[0-9]*"))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    landing.intake(spark, str(tmp_path / "landing"), str(tmp_path / "root"), store, str(tmp_path / "cp")).awaitTermination()
+    assert archive.read(spark, str(tmp_path / "root" / "data")).groupBy("batch").count().where("count <> 3").isEmpty()
+    assert store.load().portfolio.count() == 2

@@ -165,6 +165,56 @@ def test_store_refresh_and_recovery(spark, foundation, tmp_path):
     assert store.current() == done["version"]
 
 
+def test_late_deals_are_taken(spark, foundation, tmp_path):
+    """A deal that comes with months already covered by another is added, not dropped."""
+    store = Store(spark, str(tmp_path))
+    whole = foundation()
+    incremental.refresh(spark, store, typed(whole.where("deal_id = 'HQA1'")), source=whole.where("deal_id = 'HQA1'"))
+    late = whole.where("deal_id = 'HQA1' OR period <> '202608'")
+    assert incremental.refresh(spark, store, typed(late), source=late)["kind"] == "delta"
+    assert incremental.refresh(spark, store, typed(whole), source=whole)["kind"] == "delta"
+    full = build(typed(whole))
+    for n in ("pool", "deal", "portfolio", "flow", "layers", "decomposition"):
+        a, b = getattr(store.load(), n), getattr(full, n)
+        assert a.exceptAll(b.select(a.columns)).isEmpty() and b.exceptAll(a.select(b.columns)).isEmpty(), n
+
+
+def test_revised_and_missing_partitions_are_refused(spark, foundation, tmp_path):
+    store = Store(spark, str(tmp_path))
+    whole = foundation()
+    version = incremental.refresh(spark, store, typed(whole))["version"]
+    revised = whole.withColumn("modification_flag", F.when(F.col("period") == "202607", "Y").otherwise(F.col("modification_flag")))
+    for offer in (revised, whole.where("period <> '202607'")):
+        with pytest.raises(control.GateError, match="append only"):
+            incremental.refresh(spark, store, typed(offer))
+    assert store.current() == version
+    assert [r.status for r in incremental.Journal(str(tmp_path)).frame(spark).orderBy("started").collect()] == ["pass", "failed", "failed"]
+
+
+def test_reconciliation_and_unique_loans_are_enforced(spark, foundation, tmp_path):
+    whole = foundation()
+    with pytest.raises(control.GateError, match="reconciliation"):
+        Store(spark, str(tmp_path / "a")).write(typed(whole), source=whole.where("loan_identifier <> 'A1'"))
+    with pytest.raises(control.GateError, match="unique"):
+        Store(spark, str(tmp_path / "b")).write(typed(whole.unionByName(whole.where("loan_identifier = 'A1' AND period = '202606'"))))
+
+
+def test_rows_without_ids_match_nothing(spark, foundation):
+    rows = typed(foundation().withColumn("loan_identifier", F.when(F.col("loan_identifier") != "A2", F.col("loan_identifier"))))
+    a, b = (flow.flow_metrics(rows, by_join=j) for j in (False, True))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    r = a.where("deal_id = 'HQA1' AND reporting_period = '202607'").first()
+    assert (r.prior_records, r.matched_records, r.error_unmatched_records, r.new_records) == (5, 4, 1, 1)
+
+
+def test_a_build_reads_the_panel_three_times(spark, foundation, tmp_path):
+    """Components, flow and layers; all else comes from components."""
+    foundation().write.parquet(str(tmp_path / "f"))
+    t = build(typed(spark.read.parquet(str(tmp_path / "f"))))
+    scans = {n: getattr(t, n)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") for n in ("pool", "deal", "portfolio", "flow", "layers", "decomposition")}
+    assert scans == {"pool": 0, "deal": 0, "portfolio": 0, "flow": 1, "layers": 1, "decomposition": 0}
+
+
 def test_append_only(spark):
     had = spark.createDataFrame([("D", "1", 5), ("D", "2", 6), ("D", "3", 7)], "deal_id string, reporting_period string, crc32 long")
     got = spark.createDataFrame([("D", "2", 6), ("D", "3", 8), ("D", "4", 9)], had.schema)
