@@ -72,11 +72,12 @@ class Store:
     A version is written whole into a new folder and becomes current by one
     rename of the pointer, so readers see the old version or the new one. The
     root is a path or URI that Spark and pyarrow both reach. Beside the tables
-    a version has the inventory of the rows it was made of.
+    a version has the inventory of the rows it was made of. ``most_unmatched``
+    is how many loans may be gone without a code; None leaves that gate out.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, most_unmatched: int | None = 0):
+        self.spark, self.root, self.most_unmatched = spark, root.rstrip("/"), most_unmatched
 
     @property
     def pointer(self) -> str:
@@ -144,7 +145,7 @@ class Store:
         if release is not None:
             summary = control.reconciliation_summary(control.reconciliation(done.pool, release))
             control.check_reconciliation(summary, groups if groups is not None else release.count())
-        audit = control.check_transitions(control.transition_audit(done.flow))
+        audit = control.check_transitions(control.transition_audit(done.flow), self.most_unmatched)
         if not done.decomposition.isEmpty():
             control.check_identity(attribution.identity_variance(done.decomposition, done.portfolio))
         return {"records": counts["records"], "transitions": audit}

@@ -52,7 +52,8 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     """The metric store over a folder's panel, written and gated once per application: what ranks, pages and explains reads its tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        made = Store(spark, joined(shared_dir(spark), f"panel-{uuid.uuid4().hex}"))
+        # loans of this lens end after eight months, with or without a code
+        made = Store(spark, joined(shared_dir(spark), f"panel-{uuid.uuid4().hex}"), most_unmatched=None)
         made.write(panel(spark, sf_dir), cutover=CUTOVER)
         _stores[key] = made
     return _stores[key]
