@@ -30,9 +30,12 @@ How that stays small:
   its fingerprints and its first row's (doc_id, th) are kept;
 * of rows that share a variant the node of the smallest id leads and is paired
   with all that pass its check; those that do not choose a leader among
-  themselves, and so on until none is left. Groups of a crowd mostly share
-  their leaders, so a node of many near copies has some dozens of candidates,
-  however many they are;
+  themselves, and so on until none is left;
+* a task sends on the minimum spanning forest of its pairs by the bits they
+  differ in: less than one pair a node, however many near copies it has. A
+  limit on the distance connects by the forest what it connects by all pairs,
+  so what a noisy distance may break in one task, the tasks of 47 other seeds
+  have again;
 * each node's nearest candidate is compared first, and afterwards only pairs
   that this has not brought into one component: about one comparison of sets
   for each near copy.
@@ -54,7 +57,7 @@ from pyspark.sql import functions as F
 
 from poolgauge.llm.common import cut, text_key
 from poolgauge.llm.components import components
-from poolgauge.llm.simhash import MOST_ROWS, SEED, Ball, Rows, links, only_rows, shingle_hashes
+from poolgauge.llm.simhash import MOST_ROWS, SEED, Ball, Forest, Rows, links, only_rows, shingle_hashes
 from poolgauge.shipping import ship_code
 
 SHINGLE = 5
@@ -131,11 +134,24 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return met.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
+def nearest_forest(pairs: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """A minimum spanning forest of the pairs by ``apart``: what any limit of it connects stays connected by the pairs that are left."""
+    forest, kept = Forest(), []
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], apart))
+    pairs = pairs[order]
+    _, first = np.unique(pairs, axis=0, return_index=True)
+    for k, (a, b) in zip(np.sort(first).tolist(), pairs[np.sort(first)].tolist(), strict=True):
+        if forest.root(a) != forest.root(b):
+            forest.unite(a, b)
+            kept.append(k)
+    return pairs[kept]
+
+
 def candidates(parts: Iterator[Rows]) -> Iterator[np.ndarray]:
-    """Pairs of nodes from rows that share a variant and pass the check bits."""
-    check = np.uint64((1 << CHECK_BITS) - 1)
+    """Pairs of nodes from rows that share a variant and pass the check bits; of each part the minimum spanning forest."""
+    check, whole = (np.uint64((1 << n) - 1) for n in (CHECK_BITS, CHECK_BITS + PRINT_BITS))
     for keys, fps, nodes in parts:
-        found = []
+        found, apart = [], []
         # by variant and node: the first row of a group leads it
         order = np.lexsort((nodes, keys))
         keys, fps, nodes = keys[order], fps[order], nodes[order]
@@ -143,11 +159,13 @@ def candidates(parts: Iterator[Rows]) -> Iterator[np.ndarray]:
         while len(left):
             first = np.concatenate(([True], keys[left][1:] != keys[left][:-1]))
             leader = left[np.flatnonzero(first)][np.cumsum(first) - 1]
-            good = np.bitwise_count((fps[leader] ^ fps[left]) & check) <= MOST_CHECK
+            differ = fps[leader] ^ fps[left]
+            good = np.bitwise_count(differ & check) <= MOST_CHECK
             met = good & (nodes[leader] != nodes[left])
             found.append(np.stack((nodes[leader[met]], nodes[left[met]]), axis=1))
+            apart.append(np.bitwise_count(differ[met] & whole))
             left = left[~good]
-        yield np.unique(np.concatenate(found), axis=0)
+        yield nearest_forest(np.concatenate(found), np.concatenate(apart))
 
 
 def bits_apart(a: Column, b: Column) -> Column:
