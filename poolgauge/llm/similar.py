@@ -28,14 +28,14 @@ How that stays small:
 
 * texts with equal shingle sets are one node from the start; only a node's id,
   its fingerprints and its first row's (doc_id, th) are kept;
-* of rows that share a variant the node of the smallest id leads and is paired
-  with all that pass its check; those that do not choose a leader among
-  themselves, and so on until none is left;
-* a task sends on the minimum spanning forest of its pairs by the bits they
-  differ in: less than one pair a node, however many near copies it has. A
-  limit on the distance connects by the forest what it connects by all pairs,
-  so what a noisy distance may break in one task, the tasks of 47 other seeds
-  have again;
+* a task pairs up to ``ALL_PAIRS`` rows of a variant with each other. In a
+  larger group the node of the smallest id leads and is paired with all that
+  pass its check; those that do not choose a leader among themselves, and so
+  on until none is left;
+* a task sends on the minimum spanning forest of each seed's pairs by the bits
+  they differ in: less than one pair a node, however many near copies it has.
+  A limit on the distance connects by the forest what it connects by all pairs;
+  what one seed's noisy distance may break, 47 other seeds have again;
 * each node's nearest candidate is compared first, and afterwards only pairs
   that this has not brought into one component: about one comparison of sets
   for each near copy.
@@ -69,6 +69,8 @@ NEAR = Ball(RADIUS, fixed=SEED_BITS, bits=PRINT_BITS)
 MOST_CHECK = 8
 #: Of the bits of all seeds: 0.152 of 1536 at a similarity of 0.8, and four standard deviations more.
 MOST_BITS = 289
+#: Rows of one variant that are all paired within the task; in larger groups pairs go through leaders.
+ALL_PAIRS = 8
 
 _RNG = np.random.default_rng(SEED)
 _FLIP, _ODD, _MIX = (_RNG.integers(0, 1 << 64, (WORDS, 1), dtype=np.uint64) | np.uint64(1) for _ in range(3))
@@ -135,37 +137,47 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
 
 def nearest_forest(pairs: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """A minimum spanning forest of the pairs by ``apart``: what any limit of it connects stays connected by the pairs that are left."""
+    """Of pairs (seed, a, b), each seed's minimum spanning forest by ``apart``: what any limit of it connects stays connected by the pairs that are left."""
     forest, kept = Forest(), []
-    order = np.lexsort((pairs[:, 1], pairs[:, 0], apart))
-    pairs = pairs[order]
-    _, first = np.unique(pairs, axis=0, return_index=True)
-    for k, (a, b) in zip(np.sort(first).tolist(), pairs[np.sort(first)].tolist(), strict=True):
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], apart))]
+    first = np.sort(np.unique(pairs, axis=0, return_index=True)[1])
+    for k, (seed, a, b) in zip(first.tolist(), pairs[first].tolist(), strict=True):
+        a, b = a << SEED_BITS | seed, b << SEED_BITS | seed
         if forest.root(a) != forest.root(b):
             forest.unite(a, b)
             kept.append(k)
-    return pairs[kept]
+    return pairs[kept, 1:]
 
 
 def candidates(parts: Iterator[Rows]) -> Iterator[np.ndarray]:
-    """Pairs of nodes from rows that share a variant and pass the check bits; of each part the minimum spanning forest."""
+    """Pairs of nodes from rows that share a variant and pass the check bits; of each part and seed the minimum spanning forest."""
     check, whole = (np.uint64((1 << n) - 1) for n in (CHECK_BITS, CHECK_BITS + PRINT_BITS))
     for keys, fps, nodes in parts:
-        found, apart = [], []
-        # by variant and node: the first row of a group leads it
+        # by variant and node: the first row of a large group leads it
         order = np.lexsort((nodes, keys))
         keys, fps, nodes = keys[order], fps[order], nodes[order]
-        left = np.arange(len(keys))
-        while len(left):
-            first = np.concatenate(([True], keys[left][1:] != keys[left][:-1]))
-            leader = left[np.flatnonzero(first)][np.cumsum(first) - 1]
-            differ = fps[leader] ^ fps[left]
+        found, apart = [], []
+
+        def weigh(i: np.ndarray, j: np.ndarray, fps=fps, nodes=nodes, found=found, apart=apart) -> np.ndarray:
+            differ = fps[i] ^ fps[j]
             good = np.bitwise_count(differ & check) <= MOST_CHECK
-            met = good & (nodes[leader] != nodes[left])
-            found.append(np.stack((nodes[leader[met]], nodes[left[met]]), axis=1))
+            met = good & (nodes[i] != nodes[j])
+            a, b = nodes[i[met]], nodes[j[met]]
+            found.append(np.stack((fps[i[met]] >> np.uint64(64 - SEED_BITS), np.minimum(a, b), np.maximum(a, b)), axis=1))
             apart.append(np.bitwise_count(differ[met] & whole))
-            left = left[~good]
-        yield nearest_forest(np.concatenate(found), np.concatenate(apart))
+            return good
+
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(keys)])))
+        small = np.repeat(sizes <= ALL_PAIRS, sizes)
+        for d in range(1, min(ALL_PAIRS, len(keys))):
+            i = np.flatnonzero(small[:-d] & (keys[d:] == keys[:-d]))
+            weigh(i, i + d)
+        left = np.flatnonzero(~small)
+        while len(left):
+            first = np.concatenate(([True], keys[left][1:] != keys[left][:-1]))
+            left = left[~weigh(left[np.flatnonzero(first)][np.cumsum(first) - 1], left)]
+        yield nearest_forest(np.concatenate(found), np.concatenate(apart)) if found else np.zeros((0, 2), np.uint64)
 
 
 def bits_apart(a: Column, b: Column) -> Column:
