@@ -43,7 +43,8 @@ def reconciliation(pools: DataFrame, release: DataFrame) -> DataFrame:
     m = pools.select(*[F.col(k).alias(f"m_{k}") for k in keys], *[F.col(c).alias(f"m_{c}") for c in ("reported_current_upb", "d30_plus_upb", "d60_plus_upb", "release_compatible_d30_plus_rate", "release_compatible_d60_plus_rate", "in_scope_records")])
     r = release.select(F.col("reporting_period").cast("string").alias("r_reporting_period"), *[F.col(k).alias(f"r_{k}") for k in keys[1:]], *[F.col(c).alias(f"r_{c}") for c in ("current_upb", "d30_plus_upb", "d60_plus_upb", "d30_plus_rate", "d60_plus_rate", "records_aggregated")])
     met = m.join(r, [F.col(f"m_{k}") == F.col(f"r_{k}") for k in keys], "full_outer")
-    gap = lambda a, b, n: F.round(F.round(F.col(a).cast("double"), n) - F.round(F.col(b).cast("double"), n), 9)
+    # adding zero leaves no negative one
+    gap = lambda a, b, n: F.round(F.round(F.col(a).cast("double"), n) - F.round(F.col(b).cast("double"), n), 9) + F.lit(0.0)
     return met.select(
         *[F.coalesce(f"m_{k}", f"r_{k}").alias(k) for k in keys],
         gap("m_reported_current_upb", "r_current_upb", 2).alias("current_upb_variance"),

@@ -194,7 +194,8 @@ def official_totals(spark: SparkSession, path: str) -> DataFrame:
     """deal_id, reporting_period and records of a JSON manifest: a list of them, or an object with such a list as ``files``."""
     entry = "deal_id string, reporting_period string, records long"
     text = spark.read.text(path, wholetext=True)
-    both = text.select(F.coalesce(F.from_json("value", f"array<struct<{entry}>>"), F.from_json("value", f"struct<files:array<struct<{entry}>>>")["files"]).alias("files"))
+    as_list, as_object = F.from_json("value", f"array<struct<{entry}>>"), F.from_json("value", f"struct<files:array<struct<{entry}>>>")["files"]
+    both = text.select(F.when(F.ltrim("value").startswith("["), as_list).otherwise(as_object).alias("files"))
     return both.select(F.explode("files").alias("f")).select("f.*")
 
 
