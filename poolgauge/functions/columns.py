@@ -53,8 +53,8 @@ def token(name: str, key: Column, prefix: str, digits: int) -> Column:
 
 # Meanings of the codes, as the disclosure layout lists them.
 LABELS = {
-    "loan_purpose": {"P": "Purchase", "C": "Cash-out refinance", "N": "No cash-out refinance", "R": "Refinance, not specified"},
-    "occupancy_status": {"P": "Primary residence", "S": "Second home", "I": "Investment property"},
+    "loan_purpose": {"P": "Purchase", "C": "Cash-out refinance", "N": "No cash-out refinance", "R": "Refinance, not specified", "9": "Unavailable"},
+    "occupancy_status": {"P": "Primary residence", "S": "Second home", "I": "Investment property", "O": "Owner occupied", "9": "Unavailable"},
     "modification_flag": {"Y": "Modified this period", "P": "Modified earlier", "N": "Not modified"},
     "borrower_assistance_plan": {"F": "Forbearance", "R": "Repayment plan", "T": "Trial period", "N": "None"},
     "payment_deferral_flag": {"C": "Deferred this period", "P": "Deferred earlier", "N": "None"},
@@ -67,3 +67,15 @@ def label(name: str, missing: str = "Not reported") -> Column:
     known = F.create_map(*[F.lit(x) for pair in LABELS[name].items() for x in pair])
     value = F.col(name)
     return F.when(value.isNull() | (value == ""), F.lit(missing)).otherwise(F.coalesce(F.try_element_at(known, value), value))
+
+
+# What a delinquency status of an exact code is called.
+STATUS_LABELS = {"00": "Current", "01": "D30", "02": "D60", "RA": "REO"}
+
+
+def record_status(status: Column, exit_code: Column) -> Column:
+    """The status of a record in words: by its code, D90+ from three months on, else the raw status, else how it left."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in STATUS_LABELS.items() for x in pair]), status)
+    late = F.when(status.rlike(r"^[0-9]{2}\z") & (status.try_cast("int") >= 3), F.lit("D90+"))
+    left = F.when(exit_code != "", F.concat(F.lit("Zero balance "), exit_code))
+    return F.coalesce(named, late, F.nullif(status, F.lit("")), left, F.lit("Unavailable"))

@@ -12,14 +12,20 @@ COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 PROHIBITED = ("borrower", "household", "property", "address", "loan_id", "fico")
 CLASSIFICATION = "synthetic-fixture"
 
-# Period, deal, program, pool balance and its delinquent, prepaid and credit-event parts; then tranches.
-POOLS = [
-    ("2025-01", "DEMO-2024-A", "STACR", 100000000.0, 1200000.0, 800000.0, 150000.0, [("M-1", 0.0325, 0.0425, 1000000.0), ("M-2", 0.0225, 0.0325, 1000000.0), ("B-1", 0.0150, 0.0225, 750000.0)]),
-    ("2025-02", "DEMO-2024-A", "STACR", 98700000.0, 1100000.0, 1200000.0, 170000.0, [("M-1", 0.0325, 0.0425, 987000.0), ("M-2", 0.0225, 0.0325, 987000.0), ("B-1", 0.0150, 0.0225, 740250.0)]),
-    ("2025-01", "DEMO-2024-B", "ACIS", 80000000.0, 700000.0, 600000.0, 80000.0, [("M-1", 0.0300, 0.0400, 800000.0), ("B-1", 0.0125, 0.0300, 1400000.0)]),
-    ("2025-02", "DEMO-2024-B", "ACIS", 79200000.0, 750000.0, 900000.0, 90000.0, [("M-1", 0.0300, 0.0400, 792000.0), ("B-1", 0.0125, 0.0300, 1386000.0)]),
-]
-ROWS = [(*pool, *tranche, CLASSIFICATION) for *pool, tranches in POOLS for tranche in tranches]
+# The columns of COLUMNS but the last, row by row.
+_ROWS = """
+2025-01 DEMO-2024-A STACR 100000000 1200000 800000 150000 M-1 0.0325 0.0425 1000000
+2025-01 DEMO-2024-A STACR 100000000 1200000 800000 150000 M-2 0.0225 0.0325 1000000
+2025-01 DEMO-2024-A STACR 100000000 1200000 800000 150000 B-1 0.0150 0.0225 750000
+2025-02 DEMO-2024-A STACR 98700000 1100000 1200000 170000 M-1 0.0325 0.0425 987000
+2025-02 DEMO-2024-A STACR 98700000 1100000 1200000 170000 M-2 0.0225 0.0325 987000
+2025-02 DEMO-2024-A STACR 98700000 1100000 1200000 170000 B-1 0.0150 0.0225 740250
+2025-01 DEMO-2024-B ACIS 80000000 700000 600000 80000 M-1 0.0300 0.0400 800000
+2025-01 DEMO-2024-B ACIS 80000000 700000 600000 80000 B-1 0.0125 0.0300 1400000
+2025-02 DEMO-2024-B ACIS 79200000 750000 900000 90000 M-1 0.0300 0.0400 792000
+2025-02 DEMO-2024-B ACIS 79200000 750000 900000 90000 B-1 0.0125 0.0300 1386000
+"""
+ROWS = [(*r[:3], *map(float, r[3:7]), r[7], *map(float, r[8:]), CLASSIFICATION) for r in map(str.split, _ROWS.strip().splitlines())]
 
 _PARTS = ("delinquent_upb", "prepayment_upb", "credit_event_upb")
 _POOL = ("reference_pool_upb", *_PARTS)

@@ -18,7 +18,9 @@ POOL = ("deal_id reference_pool_number reporting_period eligible_active_loans el
 CATALOG = ("metric_id metric_version definition method desired_direction baseline supported_decision limitation").split()
 
 #: Names that no published document may hold, at any depth.
-FORBIDDEN = ("loan_identifier", "postal_code_3_digit", "seller_name", "servicer_name", "property_state")
+FORBIDDEN = ("loan_identifier", "postal_code_3_digit", "payment_history", "seller_name", "servicer_name", "property_state", "classic_fico_value", "original_ltv_value", "original_dti_value")
+#: Texts that tell of places and rows that are not published: folders of the store and shown identifiers.
+FORBIDDEN_TEXT = ("deal_id=", "/foundation", "pool_components", "restricted-", "file:/", "s3a://", "hdfs://")
 
 
 def _frames(t: Tables) -> dict[str, tuple[DataFrame, list[str]]]:
@@ -69,7 +71,7 @@ def document(t: Tables) -> dict:
 
 
 def check_boundary(value, path: str = "$") -> None:
-    """Walk a document and refuse forbidden names."""
+    """Walk a document and refuse forbidden names and texts."""
     if isinstance(value, dict):
         for k, v in value.items():
             if k in FORBIDDEN:
@@ -78,3 +80,5 @@ def check_boundary(value, path: str = "$") -> None:
     elif isinstance(value, list):
         for i, v in enumerate(value):
             check_boundary(v, f"{path}[{i}]")
+    elif isinstance(value, str) and (found := [t for t in FORBIDDEN_TEXT if t in value]):
+        raise GateError(f"{path} may not hold {found[0]}")

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from poolgauge import oracle as o
 from poolgauge.functions.catalog import ENTRIES, catalog
-from poolgauge.functions.columns import LABELS, label
+from poolgauge.functions.columns import LABELS, label, record_status
 from poolgauge.functions.layout import FIELD_NAMES
 from poolgauge.operators import attribution, baseline, components, control, flow, masking
 from poolgauge.operators.typed import typed
@@ -529,6 +529,16 @@ def code_labels(spark, sf):
     return rows.groupBy(*_CODED).agg(F.count("*").alias("records"))
 
 
+@query(o.q(o.LENS, """SELECT CASE WHEN s IN ('00') THEN 'Current' WHEN s IN ('01', '02') THEN 'D' || 30 * CAST(s AS INTEGER) WHEN s = 'RA' THEN 'REO' WHEN try_cast(s AS INTEGER) > 2 THEN 'D90+' WHEN s <> '' THEN s
+  WHEN zero_balance_code <> '' THEN 'Zero balance ' || zero_balance_code ELSE 'Unavailable' END AS record_status, count(*) AS records
+  FROM (SELECT zero_balance_code, CASE WHEN zero_balance_code IS NULL OR CAST(loan_identifier AS BIGINT) % 3 <> 0 THEN current_loan_delinquency_status END AS s FROM panel) GROUP BY ALL"""))
+def record_statuses(spark, sf):
+    """Records by their status in words; a third of those that left are read without a status."""
+    shown = F.when(F.col("zero_balance_code").isNull() | (F.col("loan_identifier").cast("long") % 3 != 0), F.col("current_loan_delinquency_status"))
+    rows = foundation(spark, sf).select(record_status(shown, F.col("zero_balance_code")).alias("record_status"))
+    return rows.groupBy("record_status").agg(F.count("*").alias("records"))
+
+
 @query(baseline.RATES_SQL)
 def baseline_rates(spark, sf):
     return baseline.rates(baseline.fixture(spark))

@@ -146,6 +146,8 @@ def test_projection(tables):
     assert doc["controls"] == {"portfolio_periods": 3, "deal_periods": 6, "pool_periods": 6, "metric_catalog": 19}
     with pytest.raises(control.GateError):
         projection.check_boundary({"a": [{"loan_identifier": 1}]})
+    with pytest.raises(control.GateError):
+        projection.check_boundary({"a": ["see s3a://bucket/foundation"]})
 
 
 def test_store_refresh_and_recovery(spark, foundation, tmp_path):
