@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolgauge.llm import bpe, chat, crosstok, decontam, langid, linededup, packing, pii, quality, simhash, warc, wavelet
+from poolgauge.llm import bpe, chat, crosstok, decontam, langid, linededup, packing, pii, quality, repair, simhash, warc, wavelet
 from poolgauge.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.digest(table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_language_id, op3_wavelet, op4_pii, op5_simhash, op6_bpe, op7_warc, op8_line_dedup, op9_quality, op10_decontaminate, op12_cross_tokenizer, op13_packing)
+    f.__name__: f for f in (op1_chat_format, op2_language_id, op3_wavelet, op4_pii, op5_simhash, op6_bpe, op7_warc, op8_line_dedup, op9_quality, op10_decontaminate, op11_conversation_repair, op12_cross_tokenizer, op13_packing)
 }
