@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -313,3 +315,94 @@ def language(net, text):
         total = total + log_probabilities(net, classes) * len(part)
     share = np.exp(total / len(data) - (total / len(data)).max())
     return net.languages[int(share.argmax())], float((share / share.sum()).max())
+
+def repaired(rows):
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, hash) of (conv_id, turn, role, text), by trying every edit."""
+    convs: dict = {}
+    for conv, turn, role, text in rows:
+        kept = convs.setdefault(conv, [])
+        what = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if what == 1 else re.sub("[.!?]", "", text) if what == 2 else text
+        kept += [(turn, "user" if what == 4 else role, text)] * (0 if what == 0 else 2 if what == 3 else 1)
+    return [_repaired(conv, sorted(kept, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))) for conv, kept in convs.items()]
+
+
+def _repaired(conv, rows):
+    seen, faults = set(), []
+    for _, role, text in rows:
+        said = text.rstrip(WHITE)
+        faults.append("b" if not said else "d" if (role, text) in seen else "t" if said[-1] not in ".!?" else "g")
+        seen.add((role, text))
+    names = {"u": "user", "a": "assistant"}
+
+    @functools.cache
+    def best(i, state, inserted):
+        """(cost, audit, lines) of rows from i on, when ``state`` is the last initial said."""
+        new = "a" if state == "u" else "u"
+        ways = []
+        if i == len(rows):
+            if state in ("", "a"):
+                ways.append((0, "", ()))
+        else:
+            _, role, text = rows[i]
+            cost, audit, lines = best(i + 1, state, 0)
+            ways.append((cost + 2, "D" + audit, lines))
+            if faults[i] in "tg":
+                more = 5 * (faults[i] == "t")
+                if role[:1] == new or (role[:1], state) == ("s", ""):
+                    cost, audit, lines = best(i + 1, role[:1], 0)
+                    ways.append((cost + more, "K" + audit, (f"{role}:{text}", *lines)))
+                cost, audit, lines = best(i + 1, new, 0)
+                ways.append((cost + more + 1, "R" + audit, (f"{names[new]}:{text}", *lines)))
+        if inserted < 3:
+            cost, audit, lines = best(i, new, inserted + 1)
+            ways.append((cost + 5, "I" + audit, (f"{names[new]}:", *lines)))
+        return min(ways, key=lambda w: w[:2], default=(10**9, "", ()))
+
+    cost, audit, lines = best(0, "", 0)
+    turns = [t for t, *_ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (conv, gaps, *(faults.count(f) for f in "bdt"), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+def aligned(rows):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, hash) of (doc_id, text), from whole texts."""
+    import sentencepiece
+
+    from poolgauge.llm.bpe import _BYTE_OF
+
+    tok = tokenizer()
+    tok.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found, count = [], collections.Counter()
+    for doc_id, text in rows:
+        a = tok.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = pieces.encode(text) if text else []
+        of_a = [b"".join(_BYTE_OF[c] for c in tok.id_to_token(i)) for i in a]
+        of_b = [bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        whole = (" " + (text or "")).encode()
+        if b"".join(of_a) != whole or b"".join(of_b) != whole:
+            a = b = of_a = of_b = []
+        ends_a, ends_b = (np.cumsum([len(x) for x in side], dtype=int).tolist() for side in (of_a, of_b))
+        groups, i, j = [], 0, 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            x, y = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
+            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+            i, j = x, y
+        links, j = [], 0
+        for i, end in enumerate(ends_a):
+            while ends_b[j] <= end - len(of_a[i]):
+                j += 1
+            k = j
+            while k < len(b) and ends_b[k] - len(of_b[k]) < end:
+                links.append((a[i], b[k]))
+                k += 1
+        count.update(set(links))
+        found.append((doc_id, len(a), len(b), groups, links))
+    most: dict = {}
+    for (a, _), n in count.items():
+        most[a] = max(most.get(a, 0), n)
+    digest = lambda groups: hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+    return [(d, n_a, n_b, len(groups), len(links), sum(count[x] == most[x[0]] for x in links), sum(count[x] for x in links), digest(groups)) for d, n_a, n_b, groups, links in found]
