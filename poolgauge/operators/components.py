@@ -7,13 +7,16 @@ pool and period.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from poolgauge.functions.columns import ratio
 from poolgauge.functions.layout import METRIC_VERSION
 from poolgauge.functions.measures import COMPONENTS, KINDS, RATIOS, aggregate
+from poolgauge.storage import cut
 
 POOL = ("deal_id", "reference_pool_number")
 DEAL = ("deal_id",)
@@ -47,10 +50,46 @@ def metrics(components: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
     Without keys the window has one partition: it holds one row per period.
     """
-    levels = components.select("*", *ratios(RATIOS), F.lit(METRIC_VERSION).alias("metric_version"))
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("period_date")
-    change = lambda n: (F.col("d60_plus_rate") - F.lag("d60_plus_rate", n).over(order)) * 10000
-    return levels.select("*", change(1).alias("d60_change_1m_bps"), change(3).alias("d60_change_3m_bps"))
+    return levels(components).select("*", *changes(order))
+
+
+#: Rows behind a row that its changes look at.
+LAGS = {"d60_change_1m_bps": 1, "d60_change_3m_bps": 3}
+
+
+def levels(components: DataFrame) -> DataFrame:
+    """Components with their ratios."""
+    return components.select("*", *ratios(RATIOS), F.lit(METRIC_VERSION).alias("metric_version"))
+
+
+def changes(order: WindowSpec) -> list[Column]:
+    return [((F.col("d60_plus_rate") - F.lag("d60_plus_rate", n).over(order)) * 10000).alias(c) for c, n in LAGS.items()]
+
+
+def extended(history: DataFrame, fresh: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """Metrics of the periods that new components touch, and those periods.
+
+    Only what a change looks at is read of the history: rates of the entities
+    that have new rows. A new row touches the rows up to three behind it, which
+    a late one has; all other rows of touched periods are taken as they are.
+    """
+    new = cut(levels(fresh))
+    narrow = [*keys, *PERIOD, "d60_plus_rate"]
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    old = history.select(*narrow).alias("h").join(new.select(*keys).distinct().alias("n"), same("h", "n"), "left_semi")
+    order = Window.partitionBy(*keys).orderBy("period_date")
+    both = old.withColumn("is_new", F.lit(False)).unionByName(new.select(*narrow).withColumn("is_new", F.lit(True)))
+    moved = both.select(*keys, "reporting_period", "is_new", *changes(order), F.max("is_new").over(order.rowsBetween(-max(LAGS.values()), 0)).alias("moves")).where("moves").drop("moves")
+    moved = cut(moved)
+    periods = [r[0] for r in moved.select("reporting_period").distinct().collect()]  # at most one per period of the panel
+    kept = history.where(F.col("reporting_period").isin(periods)).alias("h")
+    met = same("h", "m") & (F.col("h.reporting_period") == F.col("m.reporting_period"))
+    rest = [c for c in history.columns if c not in LAGS]
+    untouched = kept.join(moved.alias("m"), met, "left_anti")
+    shifted = kept.join(moved.where("NOT is_new").alias("m"), met).select(*[F.col(f"h.{c}") for c in rest], *[F.col(f"m.{c}") for c in LAGS])
+    added = new.alias("h").join(moved.where("is_new").alias("m"), met).select(*[F.col(f"h.{c}") for c in rest], *[F.col(f"m.{c}") for c in LAGS])
+    return untouched.unionByName(shifted).unionByName(added), periods
 
 
 def pool_metrics(rows: DataFrame) -> DataFrame:

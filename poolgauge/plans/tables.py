@@ -7,8 +7,11 @@ import time
 import uuid
 from dataclasses import dataclass, fields
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolgauge import storage
 from poolgauge.functions.catalog import catalog
@@ -66,18 +69,27 @@ def inventory(rows: DataFrame) -> DataFrame:
     return rows.groupBy("deal_id", "reporting_period").agg(F.count("*").alias("records"), F.sum("current_upb").cast("decimal(24,2)").alias("upb"), content.alias("content"))
 
 
+#: Tables that hold a row per period at most, or none: each version writes them whole.
+WHOLE = ("portfolio_components", "portfolio", "catalog", "inventory")
+
+
 class Store:
     """Versions of the metric tables below a root; a pointer file names the current one.
 
-    A version is written whole into a new folder and becomes current by one
-    rename of the pointer, so readers see the old version or the new one. The
-    root is a path or URI that Spark and pyarrow both reach. Beside the tables
-    a version has the inventory of the rows it was made of. ``most_unmatched``
-    is how many loans may be gone without a code; None leaves that gate out.
+    A table's rows lie in one folder per period. A version is a list: for each
+    table, which periods are read from the folders of which version. So a
+    version that changes one period writes that period, and refers to all
+    others where they are. It is written beside the others and becomes current
+    by one rename of the pointer, so readers see the old version or the new
+    one. The root is a path or URI that Spark and pyarrow both reach. Beside
+    the tables a version has the inventory of the rows it was made of.
+    ``most_unmatched`` is how many loans may be gone without a code; None
+    leaves that gate out.
     """
 
     def __init__(self, spark: SparkSession, root: str, most_unmatched: int | None = 0):
         self.spark, self.root, self.most_unmatched = spark, root.rstrip("/"), most_unmatched
+        self._lists: dict[str, dict] = {}
 
     @property
     def pointer(self) -> str:
@@ -89,8 +101,22 @@ class Store:
     def path(self, version: str, table: str) -> str:
         return storage.joined(self.root, version, table)
 
+    def listed(self, version: str) -> dict:
+        """By table: its schema, and the periods read from each version's folders (None: a whole table)."""
+        if version not in self._lists:
+            self._lists[version] = json.loads(storage.read_text(storage.joined(self.root, version, "tables.json")))
+        return self._lists[version]
+
     def table(self, version: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(version, name))
+        entry = self.listed(version)[name]
+        schema, out = T.StructType.fromJson(entry["schema"]), None
+        for writer, periods in entry["from"].items():
+            if periods is None:
+                return self.spark.read.schema(schema).parquet(self.path(writer, name))
+            rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("p", T.StringType())])).parquet(self.path(writer, name))
+            rows = rows.where(F.col("p").isin(periods)).drop("p")
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def load(self, version: str | None = None) -> Tables:
         version = version or self.current()
@@ -101,17 +127,38 @@ class Store:
     def inventory(self, version: str | None = None) -> DataFrame:
         return self.table(version or self.current(), "inventory")
 
-    def put(self, version: str, name: str, df: DataFrame) -> DataFrame:
-        """Write a table of a version and read it back."""
-        df.write.parquet(self.path(version, name))
+    def put(self, version: str, name: str, df: DataFrame, base: str | None = None, replaced: list[str] = ()) -> DataFrame:
+        """Write a table of a version and read it back; with a ``base`` version, only the periods that are ``replaced`` in it."""
+        own = self._lists.setdefault(version, {})
+        path = self.path(version, name)
+        if name in WHOLE:
+            df.write.parquet(path)
+            own[name] = {"schema": df.schema.jsonValue(), "from": {version: None}}
+            return self.table(version, name)
+        df.withColumn("p", F.col("reporting_period")).repartition("p").write.partitionBy("p").parquet(path)
+        before = self.listed(base)[name]["from"] if base else {}
+        kept = {v: [p for p in periods if p not in set(replaced)] for v, periods in before.items()}
+        mine = [unquote(n.removeprefix("p=")) for n in storage.names(path) if n.startswith("p=")]
+        own[name] = {"schema": df.schema.jsonValue(), "from": {v: p for v, p in {**kept, version: mine}.items() if p}}
         return self.table(version, name)
 
-    def write(self, rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER, release: DataFrame | None = None, groups: int | None = None, source: DataFrame | None = None) -> dict:
+    def keep(self, version: str, name: str, base: str) -> None:
+        """A table of the base version, as it is."""
+        self._lists.setdefault(version, {})[name] = self.listed(base)[name]
+
+    def seal(self, version: str) -> None:
+        storage.write_text(storage.joined(self.root, version, "tables.json"), json.dumps(self._lists[version]))
+
+    def writers(self, version: str) -> set[str]:
+        """The versions whose folders a version reads."""
+        return {version, *(v for entry in self.listed(version).values() for v in entry["from"])}
+
+    def write(self, rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER, release: DataFrame | None = None, groups: int | None = None, source: DataFrame | None = None, stock: DataFrame | None = None) -> dict:
         """Write and check a version, then make it current. A failed gate leaves the former one current.
 
         ``release`` is an outside aggregate to reconcile with; without one,
         ``source`` (the foundation that ``rows`` were typed from) gives the
-        control path's own, and its count of records.
+        control path's own. ``stock`` is an inventory of the rows, if there is one.
         """
         began = time.perf_counter()
         version = f"v-{uuid.uuid4().hex[:12]}"
@@ -119,7 +166,7 @@ class Store:
         pool_c = put("pool_components", components.pool_components(rows))
         deal_c = put("deal_components", components.rolled_up(pool_c, components.DEAL))
         portfolio_c = put("portfolio_components", components.rolled_up(deal_c, components.PORTFOLIO))
-        stock = put("inventory", inventory(rows))
+        stock = put("inventory", inventory(rows) if stock is None else stock)
         put("pool", components.metrics(pool_c, components.POOL))
         deal = put("deal", components.metrics(deal_c, components.DEAL))
         portfolio = put("portfolio", components.metrics(portfolio_c, components.PORTFOLIO))
@@ -131,11 +178,12 @@ class Store:
         if source is not None and release is None:
             release = control.release_aggregate(source)
         facts = self.check(version, rows, sums, stock, release, groups)
+        self.seal(version)
         self.publish(version)
         return {"version": version, **facts, "seconds": round(time.perf_counter() - began, 3)}
 
-    def check(self, version: str, rows: DataFrame, sums: DataFrame, stock: DataFrame, release: DataFrame | None, groups: int | None = None) -> dict:
-        """All gates over a written version; GateError if one fails."""
+    def check(self, version: str, rows: DataFrame, sums: DataFrame, stock: DataFrame, release: DataFrame | None, groups: int | None = None, only: DataFrame | None = None) -> dict:
+        """All gates over a written version; GateError if one fails. ``only``: the keys that ``rows`` and ``release`` are of."""
         done = self.load(version)
         stored = stock.agg(F.sum("records").alias("n")).first()["n"] or 0
         counts = control.check_inputs(control.input_gate_counts(rows))
@@ -143,7 +191,8 @@ class Store:
         if (aggregated := done.portfolio_components.agg(F.sum("in_scope_records").alias("n")).first()["n"] or 0) != stored:
             raise control.GateError(f"{stored} records came in, {aggregated} were aggregated")
         if release is not None:
-            summary = control.reconciliation_summary(control.reconciliation(done.pool, release))
+            pools = done.pool if only is None else done.pool.join(only, ["deal_id", "reporting_period"], "left_semi")
+            summary = control.reconciliation_summary(control.reconciliation(pools, release))
             control.check_reconciliation(summary, groups if groups is not None else release.count())
         audit = control.check_transitions(control.transition_audit(done.flow), self.most_unmatched)
         if not done.decomposition.isEmpty():

@@ -21,6 +21,7 @@ from poolgauge.operators.typed import typed
 from poolgauge.plans import endpoints, incremental, projection, release
 from poolgauge.plans.tables import Store, Tables, build
 from poolgauge.sources import archive, lens
+from poolgauge.sources.foundation import Foundation
 from poolgauge.storage import joined, shared_dir, write_whole
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,10 +356,10 @@ def stored(spark: SparkSession, sf: str) -> DataFrame:
     """The foundation that the delivery's accepted members were staged, verified and appended to."""
 
     def make(folder: str) -> None:
-        rows, _ = archive.foundation(spark, delivery(spark, sf))
-        archive.append(spark, rows.drop("width_accepted", "member_period"), folder)
+        rows, members = archive.foundation(spark, delivery(spark, sf))
+        Foundation(spark, folder).append(rows, members)
 
-    return archive.read(spark, _made(spark, sf, "foundation", make))
+    return Foundation(spark, _made(spark, sf, "foundation", make)).read()
 
 
 _MEMBERS = o.LENS + f""", members AS (SELECT '22' || deal_id || '_' || period || '01_lld.txt' AS member, '2022-' || deal_id AS deal_id, period AS reporting_period FROM panel GROUP BY ALL

@@ -16,7 +16,6 @@ from __future__ import annotations
 import csv
 import io
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ from pyspark.sql.window import Window
 from poolgauge.functions.layout import FIELD_NAMES, LINEAGE, WIDTHS
 from poolgauge.operators.control import GateError, gate
 from poolgauge.shipping import ship_code
-from poolgauge.storage import cut, joined, located, move, names, remove, write_whole
+from poolgauge.storage import cut, joined, located, names, write_whole
 
 #: Member names: two digits of year, series, number; underscore; as-of date; suffix.
 MEMBER = r"^(\d{2})([A-Z]+\d+)_(\d{8})_lld\.txt$"
@@ -153,19 +152,23 @@ def _blank(name: str) -> Column:
     return F.coalesce(F.trim(F.col(name)), F.lit("")) == ""
 
 
+def row_rules(rows: DataFrame) -> dict[str, Column]:
+    """What no row may be, by the name of its count; those of the member only where rows still tell of it."""
+    status = F.coalesce(F.trim("current_loan_delinquency_status"), F.lit(""))
+    own = {"wrong_width": ~F.col("width_accepted"), "wrong_period": ~F.col("period").eqNullSafe(F.col("member_period"))} if {"width_accepted", "member_period"} <= set(rows.columns) else {}
+    if not own:
+        return {}
+    return own | {
+        "blank_identifiers": _blank("reference_pool_number") | _blank("loan_identifier"),
+        "negative_upb": F.coalesce(F.regexp_replace("current_actual_upb", ",", "").try_cast("decimal(20,2)") < 0, F.lit(False)),
+        "invalid_status": ~status.isin("", "RA", "XX") & status.try_cast("int").isNull(),
+    }
+
+
 def member_gates(rows: DataFrame) -> DataFrame:
     """Per member: records, widths, and rows that break intake's rules."""
     shared = rows.groupBy("source_member", "reference_pool_number", "loan_identifier").agg(F.count("*").alias("n")).groupBy("source_member").agg(F.count_if(F.col("n") > 1).alias("duplicate_loans"))
-    status = F.coalesce(F.trim("current_loan_delinquency_status"), F.lit(""))
-    found = rows.groupBy("source_member").agg(
-        F.count("*").alias("records"),
-        F.count_distinct("source_field_count").alias("widths"),
-        F.count_if(~F.col("width_accepted")).alias("wrong_width"),
-        F.count_if(~F.col("period").eqNullSafe(F.col("member_period"))).alias("wrong_period"),
-        F.count_if(_blank("reference_pool_number") | _blank("loan_identifier")).alias("blank_identifiers"),
-        F.count_if(F.coalesce(F.regexp_replace("current_actual_upb", ",", "").try_cast("decimal(20,2)") < 0, F.lit(False))).alias("negative_upb"),
-        F.count_if(~status.isin("", "RA", "XX") & status.try_cast("int").isNull()).alias("invalid_status"),
-    )
+    found = rows.groupBy("source_member").agg(F.count("*").alias("records"), F.count_distinct("source_field_count").alias("widths"), *[F.count_if(c).alias(n) for n, c in row_rules(rows).items()])
     return found.join(shared, "source_member")
 
 
@@ -280,32 +283,36 @@ def stored_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("deal_id", F.col("period").alias("reporting_period")).agg(F.count("*").alias("records"))
 
 
-def append(spark: SparkSession, rows: DataFrame, root: str) -> dict:
-    """Stage, verify, take over: rows go to a folder of their own, are read back and counted per partition, and only then are its partitions renamed into place.
-
-    A stored partition is never written again. Returns partitions and records.
-    """
-    if names(root):
-        refuse_overlap(read(spark, root), rows.select("deal_id", F.col("period").alias("reporting_period")).distinct())
-    staged = joined(root, f"_staged-{uuid.uuid4().hex}")
-    try:
-        write(rows, staged)
-        counts = cut(stored_counts(read(spark, staged)))
-        check_same_counts(cut(stored_counts(rows)), counts)
-        facts = counts.agg(F.count("*").alias("partitions"), F.sum("records").alias("records")).first()
-        for deal in names(staged):
-            if deal.startswith("deal_id="):
-                for period in names(joined(staged, deal)):
-                    move(joined(staged, deal, period), joined(root, deal, period))
-        return facts.asDict()
-    finally:
-        remove(staged)
-
-
-def check_same_counts(offered: DataFrame, stored: DataFrame) -> None:
-    """Both have the same partitions with the same records, or GateError."""
-    if not offered.exceptAll(stored).isEmpty() or not stored.exceptAll(offered).isEmpty():
-        raise GateError("stored partitions have other records than the offered ones")
+def scan_facts(df: DataFrame) -> dict:
+    """Run a query and read from its executed plan what its scans of files read: files, bytes, partitions and rows."""
+    df.collect()
+    found = {"scans": 0, "files": 0, "bytes": 0, "partitions": 0, "rows": 0}
+    names = {"files": "numFiles", "bytes": "filesSize", "partitions": "numPartitions", "rows": "numOutputRows"}
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "FileSourceScanExec":
+            found["scans"] += 1
+            for n, metric in names.items():
+                value = node.metrics().get(metric)
+                found[n] += value.get().value() if value.isDefined() else 0
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def check_pruned(facts: dict, most_files: int) -> dict:
+    """A filter on keys left at most so many files to read."""
+    if not facts["scans"] or facts["files"] > most_files:
+        raise GateError(f"pruning: {facts}, at most {most_files} files are expected")
+    return facts
 
 
 def files_read(rows: DataFrame) -> DataFrame:
