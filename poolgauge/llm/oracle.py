@@ -39,8 +39,6 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM marked GROUP BY r
 """
 
-_RATE = quality.ALPHA / len(quality.RULES)
-
 OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -57,17 +55,19 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
     least(1000, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0)) AS dup_lines, least(1000, coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0)) AS repeats FROM m),
 known AS (SELECT doc_id, min(quality) >= 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 lab AS (SELECT b.*, good FROM b JOIN known USING (doc_id) WHERE NOT base_failed),
-sc AS ({" UNION ALL ".join(f"SELECT stratum, '{x}' AS rule, {x} AS score, good FROM lab" for x in quality.RULES)}),
-bins AS (SELECT stratum, rule, score, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE NOT good) AS bad FROM sc GROUP BY ALL),
-curve AS (SELECT stratum, rule, score, sum(good) OVER (PARTITION BY stratum, rule) AS n,
-    coalesce(sum(good) OVER w, 0) AS k, coalesce(sum(bad) OVER w, 0) AS hit FROM bins WINDOW w AS (PARTITION BY stratum, rule ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-fam AS (SELECT stratum, rule, max(n) AS n, count(*) OVER () AS tests FROM curve GROUP BY stratum, rule),
-terms AS (SELECT stratum, rule, n, tests, j, exp(lgamma(n + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - (CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END) + j * ln({_RATE}) + (n - j) * ln(1 - {_RATE})) AS p
-  FROM (SELECT stratum, rule, CAST(n AS DOUBLE) AS n, tests, unnest(generate_series(0, CAST(ceil(n * {_RATE}) AS BIGINT))) AS j FROM fam WHERE n > 0)),
-tails AS (SELECT stratum, rule, tests, j, sum(p) OVER (PARTITION BY stratum, rule ORDER BY j) AS tail FROM terms),
-most AS (SELECT stratum, rule, max(j) AS most FROM tails WHERE tail <= {quality.DELTA} / tests GROUP BY stratum, rule),
-best AS (SELECT stratum, rule, max(struct_pack(gain := hit - k, cutoff := score)).cutoff AS cutoff FROM curve JOIN most USING (stratum, rule) WHERE k <= most GROUP BY stratum, rule),
-cut AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (WHERE rule = '{x}') AS c_{x}" for x in quality.RULES)} FROM best GROUP BY stratum)
+passed AS ({" UNION ALL ".join(f"SELECT stratum, '{x}' AS rule, {x} AS score FROM b WHERE NOT base_failed" for x in quality.RULES)}),
+share AS (SELECT stratum, rule, score, (SELECT count(*) FROM passed o WHERE o.stratum = p.stratum AND o.rule = p.rule AND o.score >= p.score) AS above, (SELECT count(*) FROM passed o WHERE o.stratum = p.stratum AND o.rule = p.rule) AS every
+  FROM (SELECT DISTINCT stratum, rule, score FROM passed) p),
+lev AS (SELECT stratum, rule, score, CAST(ceil(1000.0 * above / every) AS BIGINT) AS level FROM share),
+text_level AS (SELECT lab.stratum, lab.good, least({", ".join(f"l_{x}.level" for x in quality.RULES)}) AS level FROM lab {" ".join(f"JOIN lev l_{x} ON l_{x}.stratum = lab.stratum AND l_{x}.rule = '{x}' AND l_{x}.score = lab.{x}" for x in quality.RULES)}),
+goods AS (SELECT stratum, count(*) FILTER (WHERE good) AS n, (SELECT count(DISTINCT stratum) FROM text_level) AS tests FROM text_level GROUP BY stratum),
+curve AS (SELECT t.stratum, t.level, count(*) FILTER (WHERE o.good) AS k, count(*) FILTER (WHERE NOT o.good) AS hit FROM (SELECT DISTINCT stratum, level FROM text_level) t JOIN text_level o ON o.stratum = t.stratum AND o.level <= t.level GROUP BY t.stratum, t.level),
+terms AS (SELECT stratum, n, tests, j, exp(lgamma(n + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - (CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END) + j * ln({quality.ALPHA}) + (n - j) * ln(1 - {quality.ALPHA})) AS p
+  FROM (SELECT stratum, CAST(n AS DOUBLE) AS n, tests, unnest(generate_series(0, CAST(ceil(n * {quality.ALPHA}) AS BIGINT))) AS j FROM goods WHERE n > 0)),
+tails AS (SELECT stratum, tests, j, sum(p) OVER (PARTITION BY stratum ORDER BY j) AS tail FROM terms),
+most AS (SELECT stratum, max(j) AS most FROM tails WHERE tail <= {quality.DELTA} / tests GROUP BY stratum),
+best AS (SELECT stratum, arg_min(level, (k - hit, level)) AS up_to FROM curve JOIN most USING (stratum) WHERE k <= most AND hit > k AND level < 1000 GROUP BY stratum),
+cut AS (SELECT stratum, {", ".join(f"max(score) FILTER (WHERE rule = '{x}') AS c_{x}" for x in quality.RULES)} FROM lev JOIN best USING (stratum) WHERE level > up_to GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND {" AND ".join(f"NOT coalesce({x} > c_{x}, false)" for x in quality.RULES)} AS kept
 FROM b LEFT JOIN cut USING (stratum)

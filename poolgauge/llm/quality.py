@@ -6,17 +6,23 @@ each rule scores a text in per mille and a labelled holdout chooses the
 cutoffs:
 
 * strata are languages (a null language is a stratum of its own, ``''``);
-* for stratum s and rule r, rejecting above cutoff c falsely rejects k of the
-  n good labelled texts; c is *admissible* if the exact binomial tail
-  ``P(Bin(n, alpha / rules) <= k)`` is at most ``delta / (strata * rules)``.
-  Tests of one (s, r) run from the most lenient cutoff downwards, where the
-  tail only grows (fixed-sequence testing), so Bonferroni over (s, r) holds
-  the family-wise error: with probability 1 - delta every stratum loses at
-  most ``alpha`` of its good texts that pass the base test to all rules
-  together (the base test itself is fixed and not calibrated);
-* of the admissible cutoffs the one that rejects most bad minus good labelled
-  texts is taken (ties: the most lenient). A stratum with too few good labels
-  has no admissible cutoff and that rule rejects nothing there.
+* the *level* of a score is the share, in per mille, of the stratum's documents
+  with this score or a higher one under the same rule; a text's level is the
+  least of its rules'. Rejecting all texts of a level up to ``t`` gives one
+  ladder of joint cutoffs per stratum, from the most lenient (``t`` = 1) on.
+  Levels come from all documents and no labels, so labels cannot bend the
+  order of tests;
+* rejecting up to level ``t`` falsely rejects k of the stratum's n good
+  labelled texts; ``t`` is *admissible* if the exact binomial tail
+  ``P(Bin(n, alpha) <= k)`` is at most ``delta / strata``. Tests go up the
+  ladder, where the tail only grows (fixed-sequence testing), so Bonferroni
+  over strata holds the family-wise error: with probability 1 - delta every
+  stratum loses at most ``alpha`` of its good texts that pass the base test
+  (the base test itself is fixed and not calibrated);
+* of the admissible levels the one that rejects most bad minus good labelled
+  texts is taken (ties: the most lenient), if it rejects more bad than good. A
+  stratum needs ``(1 - alpha) ** n <= delta / strata`` (217 good labels with
+  four strata); with fewer no level is admissible and nothing is rejected.
 
 Defined cases: a null text has no words; a null doc_id is scored and never
 joins a label; repeated rows are scored each; a label is good if the smallest
@@ -119,30 +125,41 @@ def _admitted(n: Column, rate: float, level: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(n * rate).cast("long")), start, step, lambda a: a["k"])
 
 
+def levels(measured: DataFrame) -> DataFrame:
+    """stratum, rule, score and level of every score that documents passing the base test have: at most 1001 rows per stratum and rule."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("score")) for r, s in scores(F.col("m")).items()]))
+    bins = measured.where(~base_failed(F.col("m"))).select("stratum", each.alias("e")).groupBy("stratum", F.col("e.rule").alias("rule"), F.col("e.score").alias("score")).agg(F.count("*").alias("own"))
+    whole = Window.partitionBy("stratum", "rule")
+    above = F.sum("own").over(whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))
+    every = F.sum("own").over(whole)
+    return bins.select("stratum", "rule", "score", F.expr("1000L").alias("t"), above.alias("above"), every.alias("every")).select("stratum", "rule", "score", F.expr("(t * above + every - 1) div every").alias("level"))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum with labels: ``stratum`` and a cutoff per rule (null: never rejects).
+    """One row per stratum with a cutoff: ``stratum`` and the highest score that each rule lets pass.
 
-    ``measured`` is :func:`scored` with doc_id. The labelled rows are reduced to
-    at most 1001 bins per stratum and rule before anything is windowed.
+    ``measured`` is :func:`scored` with doc_id. Documents are reduced to the
+    bins of :func:`levels`, labelled ones to their different scores, before
+    anything is joined or windowed.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
     rows = measured.where(~base_failed(F.col("m"))).join(known, "doc_id")
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("score")) for r, s in scores(F.col("m")).items()]))
-    bins = (
-        rows.select("stratum", "good", each.alias("e"))
-        .groupBy("stratum", F.col("e.rule").alias("rule"), F.col("e.score").alias("score"))
-        .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    )
-    whole = Window.partitionBy("stratum", "rule")
-    above = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    curve = bins.select("stratum", "rule", "score", F.sum("good").over(whole).alias("n"), F.coalesce(F.sum("good").over(above), F.lit(0)).alias("k"), F.coalesce(F.sum("bad").over(above), F.lit(0)).alias("hit"))
-    # one row per (stratum, rule): at most strata * rules of them
-    sizes = curve.groupBy("stratum", "rule").agg(F.max("n").alias("n"))
-    families = sizes.select("stratum", "rule", "n", F.count("*").over(Window.partitionBy(F.lit(1))).alias("tests"))
-    most = families.select("stratum", "rule", _admitted(F.col("n"), alpha / len(RULES), F.lit(delta) / F.col("tests")).alias("most"))
-    gain = F.struct((F.col("hit") - F.col("k")).alias("gain"), F.col("score").alias("cutoff"))
-    best = curve.join(most, ["stratum", "rule"]).where(F.col("k") <= F.col("most")).groupBy("stratum", "rule").agg(F.max(gain)["cutoff"].alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in RULES])
+    alike = rows.groupBy("stratum", *[s.alias(r) for r, s in scores(F.col("m")).items()]).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    ladder = cut(levels(measured))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES]))
+    reached = alike.select("*", each.alias("e")).select("stratum", *RULES, "good", "bad", "e.rule", "e.score").join(ladder, ["stratum", "rule", "score"])
+    bins = reached.groupBy("stratum", *RULES).agg(F.min("level").alias("level"), F.max("good").alias("good"), F.max("bad").alias("bad")).groupBy("stratum", "level").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    whole = Window.partitionBy("stratum")
+    up_to = whole.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    curve = bins.select("stratum", "level", F.sum("good").over(whole).alias("n"), F.sum("good").over(up_to).alias("k"), F.sum("bad").over(up_to).alias("hit"))
+    # one row per stratum
+    sizes = curve.groupBy("stratum").agg(F.max("n").alias("n"))
+    families = sizes.select("stratum", "n", F.count("*").over(Window.partitionBy(F.lit(1))).alias("tests"))
+    most = families.select("stratum", _admitted(F.col("n"), alpha, F.lit(delta) / F.col("tests")).alias("most"))
+    gain = F.struct((F.col("hit") - F.col("k")).alias("gain"), (-F.col("level")).alias("lenient"))
+    best = curve.join(most, "stratum").where((F.col("k") <= F.col("most")) & (F.col("hit") > F.col("k")) & (F.col("level") < 1000)).groupBy("stratum").agg((-F.max(gain)["lenient"]).alias("up_to"))
+    passing = ladder.join(best, "stratum").where(F.col("level") > F.col("up_to"))
+    return passing.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("score"))).alias(r) for r in RULES])
 
 
 def _limits(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:

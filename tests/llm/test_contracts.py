@@ -151,3 +151,36 @@ def test_very_long_text(spark, tmp_path):
     assert first("op10_decontaminate")["n_hit"] == 5
     assert (first("op8_line_dedup")["n_lines"], first("op8_line_dedup")["n_dropped"]) == (10_001, 0)
     assert first("op6_bpe")["n_tokens"] > 200_000
+
+
+def test_quality_cutoffs_are_reached(spark, tmp_path):
+    """300 good and 60 bad labels a language: the ladder finds cutoffs, keeps all but few good texts, and equals its SQL; 200 are too few."""
+    import random
+
+    import duckdb
+
+    from poolgauge.llm import quality
+
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(400)]
+    docs, labels = [], []
+    for lang, goods in (("en", 300), ("de", 300), ("fr", 200)):
+        for i in range(goods + 60):
+            bad = i >= goods
+            text = [rng.choice(words) for _ in range(60)]
+            text += ["#$" * rng.randint(5, 20)] if bad and i % 2 else ["SHOUTED " + "LOUD" * rng.randint(5, 20)] if bad else ["#"] * (rng.random() < 0.1)
+            docs.append((len(docs), " ".join(text), lang))
+            labels.append((len(labels), 0 if bad else 1))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert differing(spark, con, QUERIES["op9_quality"], oracle.OP9, str(tmp_path)) == []
+    measured = quality.scored(table(spark, str(tmp_path), "documents"), "doc_id")
+    assert {r["stratum"] for r in quality.cutoffs(measured, table(spark, str(tmp_path), "labels")).collect()} == {"en", "de"}
+    lost: dict = {}
+    for r in QUERIES["op9_quality"](spark, str(tmp_path)).collect():
+        key = (docs[r["doc_id"]][2], labels[r["doc_id"]][1])
+        lost[key] = lost.get(key, 0) + (not r["kept"])
+    assert lost["en", 0] > 30 and lost["de", 0] > 30 and lost["en", 1] <= 6 and lost["de", 1] <= 6 and not lost["fr", 0] and not lost["fr", 1]
