@@ -67,14 +67,14 @@ def changes(order: WindowSpec) -> list[Column]:
     return [((F.col("d60_plus_rate") - F.lag("d60_plus_rate", n).over(order)) * 10000).alias(c) for c, n in LAGS.items()]
 
 
-def extended(history: DataFrame, fresh: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
-    """Metrics of the periods that new components touch, and those periods.
+def extended(history: DataFrame, fresh: DataFrame, keys: tuple[str, ...], known: set[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Metrics of the periods that new components touch, and those periods; ``known``: the history's periods, if a store knows them.
 
     Only what a change looks at is read of the history: rates of the entities
     that have new rows. A new row touches the rows up to three behind it, which
     a late one has; all other rows of touched periods are taken as they are.
     """
-    new = cut(levels(fresh))
+    new = levels(fresh)
     narrow = [*keys, *PERIOD, "d60_plus_rate"]
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
     old = history.select(*narrow).alias("h").join(new.select(*keys).distinct().alias("n"), same("h", "n"), "left_semi")
@@ -83,9 +83,11 @@ def extended(history: DataFrame, fresh: DataFrame, keys: tuple[str, ...]) -> tup
     moved = both.select(*keys, "reporting_period", "is_new", *changes(order), F.max("is_new").over(order.rowsBetween(-max(LAGS.values()), 0)).alias("moves")).where("moves").drop("moves")
     moved = cut(moved)
     periods = [r[0] for r in moved.select("reporting_period").distinct().collect()]  # at most one per period of the panel
-    kept = history.where(F.col("reporting_period").isin(periods)).alias("h")
     met = same("h", "m") & (F.col("h.reporting_period") == F.col("m.reporting_period"))
     rest = [c for c in history.columns if c not in LAGS]
+    if known is not None and not known & set(periods):
+        return new.alias("h").join(moved.alias("m"), met).select(*[F.col(f"h.{c}") for c in rest], *[F.col(f"m.{c}") for c in LAGS]), periods
+    kept = history.where(F.col("reporting_period").isin(periods)).alias("h")
     untouched = kept.join(moved.alias("m"), met, "left_anti")
     shifted = kept.join(moved.where("NOT is_new").alias("m"), met).select(*[F.col(f"h.{c}") for c in rest], *[F.col(f"m.{c}") for c in LAGS])
     added = new.alias("h").join(moved.where("is_new").alias("m"), met).select(*[F.col(f"h.{c}") for c in rest], *[F.col(f"m.{c}") for c in LAGS])

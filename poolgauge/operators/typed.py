@@ -10,6 +10,9 @@ from poolgauge.functions.columns import between_or_null, dec, month_start, whole
 PASSED = ("zero_balance_code", "modification_flag", "borrower_assistance_plan", "payment_deferral_flag", "delinquency_due_to_disaster", "distressed_principal_balance_flag")
 ATTRIBUTES = ("loan_purpose", "channel", "occupancy_status", "property_type", "property_state", "seller_name", "servicer_name")
 
+# The values that scores and ratios may have.
+BOUNDS = {"classic_fico": (300, 850), "original_ltv": (1, 998), "original_cltv": (1, 998), "original_dti": (1, 65)}
+
 
 def typed(foundation: DataFrame, step: str = "month") -> DataFrame:
     """Typed loan-period rows of source strings.
@@ -18,7 +21,7 @@ def typed(foundation: DataFrame, step: str = "month") -> DataFrame:
     """
     status = F.col("current_loan_delinquency_status")
     day = F.when(F.col("period").rlike(r"^[0-9]{8}\z"), F.try_to_timestamp("period", F.lit("yyyyMMdd")).cast("date"))
-    ltv = lambda n: F.when(F.col(n) != "999", between_or_null(dec(n, 10, 4), 1, 998))
+    given = lambda n: F.nullif(F.col(n), F.lit("999")).try_cast("decimal(10,4)")
     cast = foundation.select(
         "deal_id",
         "source_member",
@@ -35,15 +38,15 @@ def typed(foundation: DataFrame, step: str = "month") -> DataFrame:
         *PASSED,
         dec("actual_loss").alias("actual_loss"),
         dec("cumulative_modification_costs").alias("cumulative_modification_costs"),
-        between_or_null(whole("classic_fico"), 300, 850).alias("classic_fico_value"),
-        ltv("original_ltv").alias("original_ltv_value"),
-        ltv("original_cltv").alias("original_cltv_value"),
-        F.when(F.col("original_dti") != "999", between_or_null(dec("original_dti", 10, 4), 1, 65)).alias("original_dti_value"),
+        whole("classic_fico").alias("classic_fico_value"),
+        *[given(n).alias(f"{n}_value") for n in ("original_ltv", "original_cltv", "original_dti")],
         dec("current_interest_rate", 10, 5).alias("current_interest_rate_value"),
         whole("loan_age").alias("loan_age_value"),
         F.when(F.col("first_payment_date").rlike(r"^[0-9]{6}\z"), F.left("first_payment_date", F.lit(4))).alias("origination_vintage"),
         *ATTRIBUTES,
     )
+    # a second projection, so that a value is cast once however often its bounds look at it
+    cast = cast.withColumns({f"{n}_value": between_or_null(F.col(f"{n}_value"), *bounds) for n, bounds in BOUNDS.items()})
     months = F.col("delinquency_months")
     state = F.when(months == 0, "CURRENT").when(months == 1, "D30").when(months == 2, "D60").when(months >= 3, "D90_PLUS").when(F.col("delinquency_status_raw") == "RA", "REO").otherwise("UNKNOWN")
     flag = F.col("distressed_principal_balance_flag")

@@ -17,7 +17,7 @@ from poolgauge.operators.control import GateError
 from poolgauge.operators.typed import typed
 from poolgauge.plans.tables import Store, Tables, build, derived, inventory, seen_in
 from poolgauge.sources.foundation import Foundation
-from poolgauge.storage import cut
+from poolgauge.storage import cut, side_by_side
 
 KEYS = ["deal_id", "reporting_period"]
 
@@ -129,34 +129,44 @@ def extend(store: Store, current: str, version: str, keys: DataFrame, fresh: Dat
 
     new_pool_c = cut(components.pool_components(fresh))
     new_deal_c = cut(components.rolled_up(new_pool_c, components.DEAL))
-    for name, new in (("pool_components", new_pool_c), ("deal_components", new_deal_c), ("layers", components.risk_layers(fresh))):
+
+    def added(name: str, new: DataFrame) -> DataFrame:
+        """New rows beside the history's rows of their periods, which stay as they are."""
+        if not store.periods(current, name) & set(new_periods):
+            return put(name, new, new_periods)
         had = of_periods(getattr(base, name), new_periods)
         now = put(name, had.unionByName(new), new_periods)
         before, after = (control.fingerprint(t).first() for t in (had, of_periods(now, new_periods).join(keys, KEYS, "left_anti")))
         if before != after:
             raise GateError(f"history changed: {name}")
-    deal_c = store.table(version, "deal_components")
-    touched_c = components.rolled_up(of_periods(deal_c, new_periods), components.PORTFOLIO)
-    portfolio_c = put("portfolio_components", base.portfolio_components.where(~F.col("reporting_period").isin(new_periods)).unionByName(touched_c), [])
-    portfolio = put("portfolio", components.metrics(portfolio_c, components.PORTFOLIO), [])
-
-    put("pool", *components.extended(base.pool, new_pool_c, components.POOL))
-    deal = put("deal", *components.extended(base.deal, new_deal_c, components.DEAL))
-
-    order = [r[0] for r in portfolio.select("reporting_period", "period_date").orderBy("period_date").collect()]  # the panel's periods
-    spans = sorted({q for a, q in zip([None, *order], order) if q in new_periods or a in new_periods})
-    sides = {*spans, *(a for a, q in zip(order, order[1:]) if q in spans)}
-    effects = attribution.decomposition(of_periods(deal, list(sides)), of_periods(portfolio, list(sides)))
-    put("decomposition", of_periods(effects, spans), spans)
-
-    touched = cut(moved(keys, step))
-    near = keys.select(*KEYS)
-    for n in (-1, 1):
-        near = near.unionByName(keys.select("deal_id", period_of(shifted(F.col("period_date"), n, step), step).alias("reporting_period")))
-    sums = flow.totals(around([tuple(r) for r in near.distinct().collect()]), step, cutover, seen_in(deal_c))
-    sums = cut(sums.join(touched, KEYS, "left_semi"))
-    periods = [r[0] for r in touched.select("reporting_period").distinct().collect()]
-    put("flow", of_periods(base.flow, periods).join(touched, KEYS, "left_anti").unionByName(flow.measured(sums)), periods)
+        return now
+
+    def metrics(name: str, new: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return put(name, *components.extended(getattr(base, name), new, by, store.periods(current, name)))
+
+    def portfolio_and_effects() -> None:
+        touched_c = components.rolled_up(of_periods(deal_c, new_periods), components.PORTFOLIO)
+        portfolio_c = put("portfolio_components", base.portfolio_components.where(~F.col("reporting_period").isin(new_periods)).unionByName(touched_c), [])
+        portfolio, deal = side_by_side(lambda: put("portfolio", components.metrics(portfolio_c, components.PORTFOLIO), []), lambda: metrics("deal", new_deal_c, components.DEAL))
+        order = [r[0] for r in portfolio.select("reporting_period", "period_date").orderBy("period_date").collect()]  # the panel's periods
+        spans = sorted({q for a, q in zip([None, *order], order) if q in new_periods or a in new_periods})
+        sides = {*spans, *(a for a, q in zip(order, order[1:]) if q in spans)}
+        effects = attribution.decomposition(of_periods(deal, list(sides)), of_periods(portfolio, list(sides)))
+        put("decomposition", of_periods(effects, spans), spans)
+
+    def flows() -> DataFrame:
+        touched = cut(moved(keys, step))
+        near = keys.select(*KEYS)
+        for n in (-1, 1):
+            near = near.unionByName(keys.select("deal_id", period_of(shifted(F.col("period_date"), n, step), step).alias("reporting_period")))
+        sums = flow.totals(around([tuple(r) for r in near.distinct().collect()]), step, cutover, seen_in(deal_c))
+        sums = cut(sums.join(touched, KEYS, "left_semi"))
+        periods = sorted({r[0] for r in touched.select("reporting_period").distinct().collect()})
+        put("flow", of_periods(base.flow, periods).join(touched, KEYS, "left_anti").unionByName(flow.measured(sums)), periods)
+        return sums
+
+    deal_c, *_ = side_by_side(lambda: added("deal_components", new_deal_c), lambda: added("pool_components", new_pool_c), lambda: added("layers", components.risk_layers(fresh)), lambda: metrics("pool", new_pool_c, components.POOL))
+    sums, _ = side_by_side(flows, portfolio_and_effects)
     store.keep(version, "catalog", current)
     return sums
 

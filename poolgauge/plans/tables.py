@@ -18,7 +18,7 @@ from poolgauge.functions.catalog import catalog
 from poolgauge.functions.measures import CREDIT_CUTOVER
 from poolgauge.operators import attribution, components, control, flow
 from poolgauge.operators.typed import typed
-from poolgauge.storage import cut
+from poolgauge.storage import cut, side_by_side
 
 
 @dataclass
@@ -146,6 +146,10 @@ class Store:
         """A table of the base version, as it is."""
         self._lists.setdefault(version, {})[name] = self.listed(base)[name]
 
+    def periods(self, version: str, name: str) -> set[str]:
+        """The periods of a table that lies by period."""
+        return {p for periods in self.listed(version)[name]["from"].values() for p in periods}
+
     def seal(self, version: str) -> None:
         storage.write_text(storage.joined(self.root, version, "tables.json"), json.dumps(self._lists[version]))
 
@@ -163,20 +167,27 @@ class Store:
         began = time.perf_counter()
         version = f"v-{uuid.uuid4().hex[:12]}"
         put = lambda name, df: self.put(version, name, df)
-        pool_c = put("pool_components", components.pool_components(rows))
+        aggregates = lambda: control.release_aggregate(source) if source is not None and release is None else release
+        pool_c, stock, release, *_ = side_by_side(
+            lambda: put("pool_components", components.pool_components(rows)),
+            lambda: put("inventory", inventory(rows) if stock is None else stock),
+            lambda: None if (r := aggregates()) is None else cut(r),
+            lambda: put("layers", components.risk_layers(rows)),
+            lambda: put("catalog", catalog(self.spark)),
+        )
         deal_c = put("deal_components", components.rolled_up(pool_c, components.DEAL))
-        portfolio_c = put("portfolio_components", components.rolled_up(deal_c, components.PORTFOLIO))
-        stock = put("inventory", inventory(rows) if stock is None else stock)
-        put("pool", components.metrics(pool_c, components.POOL))
-        deal = put("deal", components.metrics(deal_c, components.DEAL))
-        portfolio = put("portfolio", components.metrics(portfolio_c, components.PORTFOLIO))
-        sums = cut(flow.totals(rows, step, cutover, seen_in(deal_c)))
-        put("flow", flow.measured(sums))
-        put("layers", components.risk_layers(rows))
-        put("decomposition", attribution.decomposition(deal, portfolio))
-        put("catalog", catalog(self.spark))
-        if source is not None and release is None:
-            release = control.release_aggregate(source)
+
+        def upper() -> None:
+            portfolio_c = put("portfolio_components", components.rolled_up(deal_c, components.PORTFOLIO))
+            deal, portfolio = side_by_side(lambda: put("deal", components.metrics(deal_c, components.DEAL)), lambda: put("portfolio", components.metrics(portfolio_c, components.PORTFOLIO)))
+            put("decomposition", attribution.decomposition(deal, portfolio))
+
+        def moves() -> DataFrame:
+            sums = cut(flow.totals(rows, step, cutover, seen_in(deal_c)))
+            put("flow", flow.measured(sums))
+            return sums
+
+        sums, *_ = side_by_side(moves, upper, lambda: put("pool", components.metrics(pool_c, components.POOL)))
         facts = self.check(version, rows, sums, stock, release, groups)
         self.seal(version)
         self.publish(version)
@@ -185,18 +196,30 @@ class Store:
     def check(self, version: str, rows: DataFrame, sums: DataFrame, stock: DataFrame, release: DataFrame | None, groups: int | None = None, only: DataFrame | None = None) -> dict:
         """All gates over a written version; GateError if one fails. ``only``: the keys that ``rows`` and ``release`` are of."""
         done = self.load(version)
-        stored = stock.agg(F.sum("records").alias("n")).first()["n"] or 0
-        counts = control.check_inputs(control.input_gate_counts(rows))
-        control.check_unique(sums)
-        if (aggregated := done.portfolio_components.agg(F.sum("in_scope_records").alias("n")).first()["n"] or 0) != stored:
-            raise control.GateError(f"{stored} records came in, {aggregated} were aggregated")
-        if release is not None:
-            pools = done.pool if only is None else done.pool.join(only, ["deal_id", "reporting_period"], "left_semi")
-            summary = control.reconciliation_summary(control.reconciliation(pools, release))
-            control.check_reconciliation(summary, groups if groups is not None else release.count())
-        audit = control.check_transitions(control.transition_audit(done.flow), self.most_unmatched)
-        if not done.decomposition.isEmpty():
-            control.check_identity(attribution.identity_variance(done.decomposition, done.portfolio))
+
+        def whole() -> None:
+            stored = stock.agg(F.sum("records").alias("n")).first()["n"] or 0
+            if (aggregated := done.portfolio_components.agg(F.sum("in_scope_records").alias("n")).first()["n"] or 0) != stored:
+                raise control.GateError(f"{stored} records came in, {aggregated} were aggregated")
+
+        def reconciled() -> None:
+            if release is not None:
+                pools = done.pool if only is None else done.pool.join(only, ["deal_id", "reporting_period"], "left_semi")
+                summary = control.reconciliation_summary(control.reconciliation(pools, release))
+                control.check_reconciliation(summary, groups if groups is not None else release.count())
+
+        def identity() -> None:
+            if not done.decomposition.isEmpty():
+                control.check_identity(attribution.identity_variance(done.decomposition, done.portfolio))
+
+        counts, _, _, _, audit, _ = side_by_side(
+            lambda: control.check_inputs(control.input_gate_counts(rows)),
+            lambda: control.check_unique(sums),
+            whole,
+            reconciled,
+            lambda: control.check_transitions(control.transition_audit(done.flow), self.most_unmatched),
+            identity,
+        )
         return {"records": counts["records"], "transitions": audit}
 
     def publish(self, version: str) -> None:

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from io import BytesIO
 from typing import BinaryIO
 
 from pyarrow import fs
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -100,3 +103,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``checkpoint()`` into the shared folder: what follows reads it instead of computing it again."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def side_by_side(*works: Callable[[], object]) -> list:
+    """Run Spark work that does not wait for each other from threads; what they return, or the first error."""
+    with ThreadPoolExecutor(max_workers=len(works)) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(w)) for w in works]]
