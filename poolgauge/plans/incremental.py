@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from poolgauge import storage
 from poolgauge.functions.columns import period_of, shifted
@@ -15,7 +16,7 @@ from poolgauge.functions.measures import CREDIT_CUTOVER
 from poolgauge.operators import attribution, components, control, flow
 from poolgauge.operators.control import GateError
 from poolgauge.operators.typed import typed
-from poolgauge.plans.tables import Store, Tables, build, derived, inventory, seen_in
+from poolgauge.plans.tables import NAMES, Store, Tables, inventory, seen_in
 from poolgauge.sources.foundation import Foundation
 from poolgauge.storage import cut, side_by_side
 
@@ -28,49 +29,25 @@ def moved(keys: DataFrame, step: str) -> DataFrame:
     return keys.select(*KEYS).unionByName(keys.select("deal_id", period_of(shifted(after, 1, step), step).alias("reporting_period"))).distinct()
 
 
-def merged(history: Tables, rows: DataFrame, keys: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER) -> tuple[Tables, DataFrame]:
-    """Tables of history and of ``keys`` (deal_id, reporting_period, period_date: new ones, late or not), and the totals of the flow that was taken anew.
-
-    Rows of the panel are aggregated for new keys only. Flow reads the rows of
-    new keys and of their neighbours one step away. Portfolio sums, lags and
-    the decomposition are taken over components, a row per pool and period.
-    """
-    fresh = rows.join(keys.select(*KEYS), KEYS, "left_semi")
-    new_pool_c = cut(components.pool_components(fresh))
-    pool_c = history.pool_components.unionByName(new_pool_c)
-    deal_c = cut(history.deal_components.unionByName(components.rolled_up(new_pool_c, components.DEAL)))
-    portfolio_c = components.rolled_up(deal_c, components.PORTFOLIO)
-    pool, deal, portfolio, effects = derived(pool_c, deal_c, portfolio_c)
-    touched = cut(moved(keys, step))
-    shift = lambda n: keys.select("deal_id", period_of(shifted(F.col("period_date"), n, step), step).alias("reporting_period"))
-    around = keys.select(*KEYS).unionByName(shift(-1)).unionByName(shift(1)).distinct()
-    sums = flow.totals(rows.join(around, KEYS, "left_semi"), step, cutover, seen_in(deal_c))
-    sums = cut(sums.join(touched, KEYS, "left_semi"))
-    flows = history.flow.join(touched, KEYS, "left_anti").unionByName(flow.measured(sums))
-    layers = history.layers.unionByName(components.risk_layers(fresh))
-    return Tables(pool_c, deal_c, portfolio_c, pool, deal, portfolio, flows, layers, effects, history.catalog), sums
-
-
-#: What is added up of each table to compare two of them beyond their rows.
-DIGESTS = {"pool": "eligible_current_upb", "deal": "d60_change_3m_bps", "portfolio": "d60_change_1m_bps", "flow": "cured_upb", "layers": "eligible_current_upb", "decomposition": "rate_effect_bps"}
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.DoubleType)
 
 
 def digests(tables: Tables) -> DataFrame:
-    """table_name, rows and, per table, the sum of one of its measures."""
+    """table_name, column_name, rows and the sum of every column of numbers, in four places, of all tables that have any."""
     out = None
-    for n, c in DIGESTS.items():
-        one = getattr(tables, n).agg(F.count("*").alias("rows"), F.round(F.sum(F.col(c).cast("double")), 4).alias("total")).select(F.lit(n).alias("table_name"), "rows", "total")
+    for n in NAMES:
+        table = getattr(tables, n)
+        columns = [f.name for f in table.schema if isinstance(f.dataType, _NUMBERS)]
+        if not columns:
+            continue
+        # sums of doubles depend on their order beyond the places that are kept
+        total = lambda c: F.coalesce(F.round(F.sum(c), 4).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")).cast("string").alias(c)
+        one = table.agg(F.count("*").alias("rows"), *[total(c) for c in columns]).unpivot("rows", columns, "column_name", "total")
+        one = one.select(F.lit(n).alias("table_name"), "column_name", "rows", "total")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def split_and_merged(rows: DataFrame, is_history, step: str = "month", cutover: str = CREDIT_CUTOVER) -> Tables:
-    """Tables of a build over the rows that ``is_history`` names, and a merge of all other keys into it."""
-    history = build(rows.where(is_history), step, cutover)
-    keys = cut(rows.where(~is_history).select(*KEYS, "period_date").distinct())
-    return merged(history, rows, keys, step, cutover)[0]
-
-
 class Journal:
     """Run records as JSON files: running, then pass or failed; a run found running by a later one is recovered."""
 

@@ -41,13 +41,6 @@ class Tables:
 NAMES = [f.name for f in fields(Tables)]
 
 
-def derived(pool_c: DataFrame, deal_c: DataFrame, portfolio_c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Pool, deal and portfolio metrics and the decomposition, from components."""
-    deal = cut(components.metrics(deal_c, components.DEAL))
-    portfolio = cut(components.metrics(portfolio_c, components.PORTFOLIO))
-    return components.metrics(pool_c, components.POOL), deal, portfolio, attribution.decomposition(deal, portfolio)
-
-
 def seen_in(deal_c: DataFrame) -> DataFrame:
     """What :func:`flow.observed` gives, from deal components instead of the panel."""
     return deal_c.select("deal_id", "period_date", F.col("in_scope_records").alias("records"))
@@ -58,7 +51,8 @@ def build(rows: DataFrame, step: str = "month", cutover: str = CREDIT_CUTOVER) -
     pool_c = cut(components.pool_components(rows))
     deal_c = cut(components.rolled_up(pool_c, components.DEAL))
     portfolio_c = components.rolled_up(deal_c, components.PORTFOLIO)
-    pool, deal, portfolio, effects = derived(pool_c, deal_c, portfolio_c)
+    deal, portfolio = (cut(components.metrics(c, keys)) for c, keys in ((deal_c, components.DEAL), (portfolio_c, components.PORTFOLIO)))
+    pool, effects = components.metrics(pool_c, components.POOL), attribution.decomposition(deal, portfolio)
     moved = flow.measured(flow.totals(rows, step, cutover, seen_in(deal_c)))
     return Tables(pool_c, deal_c, portfolio_c, pool, deal, portfolio, moved, components.risk_layers(rows), effects, catalog(rows.sparkSession))
 

@@ -108,4 +108,5 @@ def cut(df: DataFrame) -> DataFrame:
 def side_by_side(*works: Callable[[], object]) -> list:
     """Run Spark work that does not wait for each other from threads; what they return, or the first error."""
     with ThreadPoolExecutor(max_workers=len(works)) as threads:
-        return [f.result() for f in [threads.submit(inheritable_thread_target(w)) for w in works]]
+        session = SparkSession.getActiveSession()
+        return [f.result() for f in [threads.submit(inheritable_thread_target(session)(w) if session else w) for w in works]]
