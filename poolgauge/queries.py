@@ -444,7 +444,8 @@ def broken_members(spark, sf):
         {
             "width_accepted": ~of("D0"),
             "member_period": F.when(of("D1"), "190001").otherwise(F.col("period")),
-            "loan_identifier": F.when(of("D2"), " ").otherwise(F.concat_ws(":", F.when(~of("D3"), F.col("period")), "loan_identifier")),
+            "reference_pool_number": F.when(of("D2"), " ").otherwise(F.col("reference_pool_number")),
+            "loan_identifier": F.concat_ws(":", F.when(~of("D3"), F.col("period")), "loan_identifier"),
             "current_actual_upb": F.when(of("D4"), "-1").otherwise(F.col("current_actual_upb")),
             "current_loan_delinquency_status": F.when(of("D5"), "late").otherwise(F.col("current_loan_delinquency_status")),
         }
