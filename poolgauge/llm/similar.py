@@ -32,13 +32,16 @@ How that stays small:
   larger group the node of the smallest id leads and is paired with all that
   pass its check; those that do not choose a leader among themselves, and so
   on until none is left;
-* a task sends on the minimum spanning forest of each seed's pairs by the bits
-  they differ in: less than one pair a node, however many near copies it has.
-  A limit on the distance connects by the forest what it connects by all pairs;
-  what one seed's noisy distance may break, 47 other seeds have again;
+* of each seed's pairs a task sends on all of a component of up to
+  ``ALL_PAIRS`` nodes. A larger one is a crowd, of which it sends the minimum
+  spanning tree by the bits that pairs differ in: less than one pair a node;
 * each node's nearest candidate is compared first, and afterwards only pairs
   that this has not brought into one component: about one comparison of sets
-  for each near copy.
+  for each near copy;
+* what a tree left out lies within a crowd (components of all crowds' trees).
+  Crowds that are one component of similar texts by now are done; of the others
+  :mod:`crowds` finds all pairs that may be similar by their rarest shingles,
+  and they are compared too. So no pair is lost to leaders or trees.
 
 Defined cases: words and shingles are those of :mod:`simhash`; texts without
 words are alike; rows repeating a doc_id each take part; a null doc_id comes
@@ -47,6 +50,7 @@ after all others.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +61,8 @@ from pyspark.sql import functions as F
 
 from poolgauge.llm.common import cut, text_key
 from poolgauge.llm.components import components
-from poolgauge.llm.simhash import MOST_ROWS, SEED, Ball, Forest, Rows, links, only_rows, shingle_hashes
+from poolgauge.llm.crowds import crowd_pairs
+from poolgauge.llm.simhash import MOST_ROWS, SALTS, SEED, Ball, Forest, Rows, links, only_rows, shingle_hashes
 from poolgauge.shipping import ship_code
 
 SHINGLE = 5
@@ -69,7 +74,7 @@ NEAR = Ball(RADIUS, fixed=SEED_BITS, bits=PRINT_BITS)
 MOST_CHECK = 8
 #: Of the bits of all seeds: 0.152 of 1536 at a similarity of 0.8, and four standard deviations more.
 MOST_BITS = 289
-#: Rows of one variant that are all paired within the task; in larger groups pairs go through leaders.
+#: Rows of one variant that are all paired within the task, and nodes of a component whose pairs are all sent on; larger ones are crowds.
 ALL_PAIRS = 8
 
 _RNG = np.random.default_rng(SEED)
@@ -136,21 +141,28 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return met.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def nearest_forest(pairs: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Of pairs (seed, a, b), each seed's minimum spanning forest by ``apart``: what any limit of it connects stays connected by the pairs that are left."""
-    forest, kept = Forest(), []
-    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], apart))]
-    first = np.sort(np.unique(pairs, axis=0, return_index=True)[1])
-    for k, (seed, a, b) in zip(first.tolist(), pairs[first].tolist(), strict=True):
+def sparse(pairs: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of pairs (seed, a, b): all of a seed's components of up to ``ALL_PAIRS`` nodes, as (less, greater); of larger ones, crowds, the minimum spanning tree by ``apart``, as (greater, less)."""
+    forest = Forest()
+    order = np.lexsort((pairs[:, 2], pairs[:, 1], apart))
+    pairs = pairs[order]
+    pairs = pairs[np.sort(np.unique(pairs, axis=0, return_index=True)[1])]
+    ends, tree = [], np.zeros(len(pairs), dtype=bool)
+    for k, (seed, a, b) in enumerate(pairs.tolist()):
         a, b = a << SEED_BITS | seed, b << SEED_BITS | seed
+        ends.append(a)
         if forest.root(a) != forest.root(b):
             forest.unite(a, b)
-            kept.append(k)
-    return pairs[kept, 1:]
+            tree[k] = True
+    roots = [forest.root(a) for a in ends]
+    edges = Counter(r for r, t in zip(roots, tree.tolist(), strict=True) if t)
+    crowd = np.array([edges[r] >= ALL_PAIRS for r in roots], dtype=bool)
+    nodes = np.sort(pairs[:, 1:].view(np.int64), axis=1)
+    return np.concatenate((nodes[~crowd], nodes[crowd & tree][:, ::-1])).view(np.uint64)
 
 
 def candidates(parts: Iterator[Rows]) -> Iterator[np.ndarray]:
-    """Pairs of nodes from rows that share a variant and pass the check bits; of each part and seed the minimum spanning forest."""
+    """Pairs of nodes from rows that share a variant and pass the check bits, of each part thinned by :func:`sparse`."""
     check, whole = (np.uint64((1 << n) - 1) for n in (CHECK_BITS, CHECK_BITS + PRINT_BITS))
     for keys, fps, nodes in parts:
         # by variant and node: the first row of a large group leads it
@@ -176,8 +188,15 @@ def candidates(parts: Iterator[Rows]) -> Iterator[np.ndarray]:
         left = np.flatnonzero(~small)
         while len(left):
             first = np.concatenate(([True], keys[left][1:] != keys[left][:-1]))
-            left = left[~weigh(left[np.flatnonzero(first)][np.cumsum(first) - 1], left)]
-        yield nearest_forest(np.concatenate(found), np.concatenate(apart)) if found else np.zeros((0, 2), np.uint64)
+            leads = left[np.flatnonzero(first)][np.cumsum(first) - 1]
+            near = weigh(leads, left)
+            # leaders of one variant are tied: what follows different ones is of one crowd
+            tied, led = left[~near], leads[~near]
+            a, b = nodes[led], nodes[tied]
+            found.append(np.stack((fps[led] >> np.uint64(64 - SEED_BITS), np.minimum(a, b), np.maximum(a, b)), axis=1)[a != b])
+            apart.append(np.full(np.count_nonzero(a != b), 64, dtype=np.uint8))
+            left = tied
+        yield sparse(np.concatenate(found), np.concatenate(apart)) if found else np.zeros((0, 2), np.uint64)
 
 
 def bits_apart(a: Column, b: Column) -> Column:
@@ -194,16 +213,21 @@ def dealt_bits(prints: int) -> int:
     return SEED_BITS + k
 
 
-def plausible_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b, apart): pairs of nodes that may be similar by fingerprints and sizes; a is the smaller node."""
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b, crowd): pairs of nodes within the radius under some seed; of crowds the forests only. a is the smaller node."""
     word = F.col("word")
     part = lambda bits, at, n: F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << n) - 1))
     seeded = lambda seed, own, other: F.shiftleft(seed.cast("long"), 64 - SEED_BITS).bitwiseOR(F.shiftleft(own, CHECK_BITS)).bitwiseOR(other)
     both = F.array(seeded(2 * F.col("k"), part(word, 0, 32), part(word, 32, CHECK_BITS)), seeded(2 * F.col("k") + 1, part(word, 32, 32), part(word, 0, CHECK_BITS)))
     prints = nodes.select("node", F.posexplode("prints").alias("k", "word")).select("node", F.explode(both).alias("fp"))
-    found = links(prints, NEAR, dealt_bits(nodes.count() * SEEDS), joined=candidates).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = links(prints, NEAR, dealt_bits(nodes.count() * SEEDS), joined=candidates)
+    return cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") > F.col("b")).alias("crowd")).groupBy("a", "b").agg(F.max("crowd").alias("crowd")))
+
+
+def plausible_pairs(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, apart): those of ``found`` that may be similar by all bits and sizes."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("prints").alias(f"p{x}"))
-    met = found.join(side("a"), "a").join(side("b"), "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    met = found.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
     return cut(met.select("a", "b", bits_apart(F.col("pa"), F.col("pb")).alias("apart")).where(F.col("apart") <= MOST_BITS))
 
 
@@ -215,11 +239,24 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
 
 
+def open_members(crowds: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """crowd, node, root, size of the nodes of crowds that are not one component yet."""
+    # a crowd may hold a third of all nodes: its one row goes to every part of them
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    placed = cut(crowds.select("node", F.col("root").alias("crowd")).join(roots, "node", "left").join(nodes.select("node", "size"), "node").select("crowd", "node", F.coalesce("root", "node").alias("root"), "size", salt.alias("salt")))
+    still = placed.groupBy("crowd").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    every = still.select("crowd", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return cut(placed.join(every, ["crowd", "salt"]).drop("salt"))
+
+
 def groups(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """node and root of every node that is similar to another: components of the similar pairs."""
-    pairs = plausible_pairs(nodes)
+    found = close_pairs(nodes)
+    pairs = plausible_pairs(nodes, found)
+    crowds = components(found.where("crowd"))
     either = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart").unionAll(pairs.select("b", "a", "apart"))
-    sets = cut(sets_of(docs, nodes.join(either.select(F.col("x").alias("node")).distinct(), "node", "left_semi"), shingle))
+    compared = either.select(F.col("x").alias("node")).unionAll(crowds.select("node")).distinct()
+    sets = cut(sets_of(docs, nodes.join(compared, "node", "left_semi"), shingle))
     nearest = either.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
     first = cut(nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     good = similar(first, sets)
@@ -228,7 +265,14 @@ def groups(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     apart = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = cut(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
     more = similar(rest, sets)
-    return roots if more.isEmpty() else components(good.unionAll(more))
+    if not more.isEmpty():
+        good = good.unionAll(more)
+        roots = components(good)
+    members = open_members(crowds, roots, nodes)
+    if members.isEmpty():
+        return roots
+    left = similar(crowd_pairs(members, sets).join(pairs, ["a", "b"], "left_anti"), sets)
+    return roots if left.isEmpty() else components(good.unionAll(left))
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
