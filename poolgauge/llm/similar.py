@@ -39,9 +39,9 @@ How that stays small:
   that this has not brought into one component: about one comparison of sets
   for each near copy;
 * what a tree left out lies within a crowd (components of all crowds' trees).
-  Crowds that are one component of similar texts by now are done; of the others
-  :mod:`crowds` finds all pairs that may be similar by their rarest shingles,
-  and they are compared too. So no pair is lost to leaders or trees.
+  Crowds that are one component of similar texts by now are done; the sets of
+  the others are compared by :mod:`crowds`, in blocks, without loss. So no pair
+  is lost to leaders or trees.
 
 Defined cases: words and shingles are those of :mod:`simhash`; texts without
 words are alike; rows repeating a doc_id each take part; a null doc_id comes
@@ -61,7 +61,7 @@ from pyspark.sql import functions as F
 
 from poolgauge.llm.common import cut, text_key
 from poolgauge.llm.components import components
-from poolgauge.llm.crowds import crowd_pairs
+from poolgauge.llm.crowds import BLOCK_NODES, BLOCK_SHINGLES, crowd_links
 from poolgauge.llm.simhash import MOST_ROWS, SALTS, SEED, Ball, Forest, Rows, links, only_rows, shingle_hashes
 from poolgauge.shipping import ship_code
 
@@ -240,13 +240,14 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def open_members(crowds: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """crowd, node, root, size of the nodes of crowds that are not one component yet."""
+    """crowd, node, root, and the crowd's number of blocks, of the nodes of crowds that are not one component yet."""
     # a crowd may hold a third of all nodes: its one row goes to every part of them
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
     placed = cut(crowds.select("node", F.col("root").alias("crowd")).join(roots, "node", "left").join(nodes.select("node", "size"), "node").select("crowd", "node", F.coalesce("root", "node").alias("root"), "size", salt.alias("salt")))
-    still = placed.groupBy("crowd").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    every = still.select("crowd", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return cut(placed.join(every, ["crowd", "salt"]).drop("salt"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    still = placed.groupBy("crowd").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.alias("blocks")).where("lo != hi")
+    every = still.select("crowd", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return cut(placed.join(every, ["crowd", "salt"]).select("crowd", "node", "root", "blocks"))
 
 
 def groups(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -271,7 +272,7 @@ def groups(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     members = open_members(crowds, roots, nodes)
     if members.isEmpty():
         return roots
-    left = similar(crowd_pairs(members, sets).join(pairs, ["a", "b"], "left_anti"), sets)
+    left = cut(crowd_links(members, sets))
     return roots if left.isEmpty() else components(good.unionAll(left))
 
 
