@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from poolgauge.functions.columns import display_id
 from poolgauge.functions.measures import INTERNAL
+from poolgauge.plans import pages
 from poolgauge.plans.tables import Tables
 
 SORTS = ("total_contribution_bps", "d60_change_1m_bps", "d60_plus_rate", "eligible_current_upb", "current_to_d30_rate_upb", "d30_to_d60_rate_upb", "credit_event_exit_rate_upb", "assistance_exposure_share", "rate_effect_bps")
@@ -18,10 +19,33 @@ PUBLIC_STATES = ("all", "current", "d30", "d60", "d90", "reo", "zero_balance")
 PRIVATE_LIMIT, PRIVATE_OFFSET = 100, 1_000_000
 PUBLIC_LIMIT, PUBLIC_OFFSET = 50, 150_000
 
-_DEAL = ("deal_id reporting_period eligible_active_loans eligible_current_upb d60_plus_upb d30_plus_rate d60_plus_rate d90_plus_rate d60_change_1m_bps d60_change_3m_bps assistance_exposure_share new_modification_rate_count wa_classic_fico wa_original_ltv wa_original_dti").split()
-_FLOW = ("loan_match_rate current_to_d30_rate_upb d30_to_d60_rate_upb cure_rate_upb voluntary_payoff_rate_upb credit_event_exit_rate_upb current_to_d30_loans d30_to_d60_loans cured_loans credit_event_exit_loans").split()
-_EFFECTS = ["rate_effect_bps", "mix_effect_bps", "total_contribution_bps"]
-_ROW = ("reference_pool_number current_upb performance_state delinquency_status_raw zero_balance_code risk_layer_count classic_fico_value original_ltv_value original_cltv_value original_dti_value current_interest_rate_value loan_age_value origination_vintage loan_purpose channel occupancy_status property_type property_state modification_flag borrower_assistance_plan payment_deferral_flag delinquency_due_to_disaster servicer_name pool_construct").split()
+
+def _loan_order() -> dict[str, pages.Key]:
+    late = ("risk_layer_count", "delinquency_months", "current_upb")
+    return {**{c: pages.Key(F.col(c), True) for c in late}, "loan_identifier": pages.Key(F.col("loan_identifier"))}
+
+
+def _public_order() -> list[pages.Key]:
+    return [pages.Key(F.col("current_loan_delinquency_status").try_cast("int"), True), pages.Key(F.col("current_actual_upb").try_cast("double"), True), pages.Key(F.col("loan_identifier"))]
+
+
+# The result columns of the views, in order.
+_DEAL = (
+    "deal_id", "reporting_period", "eligible_active_loans", "eligible_current_upb", "d60_plus_upb", "d30_plus_rate", "d60_plus_rate", "d90_plus_rate",
+    "d60_change_1m_bps", "d60_change_3m_bps", "assistance_exposure_share", "new_modification_rate_count", "wa_classic_fico", "wa_original_ltv",
+    "wa_original_dti",
+)
+_FLOW = (
+    "loan_match_rate", "current_to_d30_rate_upb", "d30_to_d60_rate_upb", "cure_rate_upb", "voluntary_payoff_rate_upb", "credit_event_exit_rate_upb",
+    "current_to_d30_loans", "d30_to_d60_loans", "cured_loans", "credit_event_exit_loans",
+)
+_EFFECTS = ("rate_effect_bps", "mix_effect_bps", "total_contribution_bps")
+_ROW = (
+    "reference_pool_number", "current_upb", "performance_state", "delinquency_status_raw", "zero_balance_code", "risk_layer_count",
+    "classic_fico_value", "original_ltv_value", "original_cltv_value", "original_dti_value", "current_interest_rate_value", "loan_age_value",
+    "origination_vintage", "loan_purpose", "channel", "occupancy_status", "property_type", "property_state", "modification_flag",
+    "borrower_assistance_plan", "payment_deferral_flag", "delinquency_due_to_disaster", "servicer_name", "pool_construct",
+)
 
 
 class RequestError(ValueError):
@@ -114,6 +138,26 @@ def loan_page(rows: DataFrame, period: str, deal: str, status: str = "all", laye
     pages are disjoint whether it is shown or not.
     """
     require_page(limit, offset, PRIVATE_LIMIT, PRIVATE_OFFSET)
+    found = _loans(rows, period, deal, status, layer)
+    page = found.orderBy(*[k.order(c) for c, k in _loan_order().items()]).offset(offset).limit(limit)
+    return found.agg(F.count("*").alias("total")), page.select(_loan_name(reveal), *_ROW)
+
+
+def loan_page_after(rows: DataFrame, period: str, deal: str, status: str = "all", layer: int | None = None, limit: int = 50, after: str | None = None, reveal: bool = False) -> DataFrame:
+    """The page of :func:`loan_page` behind a cursor, with the cursor of each row (see :mod:`pages`); no depth is too deep.
+
+    A cursor holds the true identifier: it is the service's, whoever sees the page.
+    """
+    require_page(limit, 0, PRIVATE_LIMIT, PRIVATE_OFFSET)
+    found = _loans(rows, period, deal, status, layer).select("loan_identifier", "delinquency_months", *_ROW)
+    return pages.page(found, list(_loan_order().values()), limit, after).select(_loan_name(reveal), *_ROW, "cursor")
+
+
+def _loan_name(reveal: bool) -> Column:
+    return (F.col("loan_identifier") if reveal else display_id("loan_identifier")).alias("loan_identifier")
+
+
+def _loans(rows: DataFrame, period: str, deal: str, status: str, layer: int | None) -> DataFrame:
     require(deal, r"[A-Za-z0-9-]{1,32}", "deal")
     require(period, r"\d{6}", "period")
     if status not in STATES:
@@ -123,10 +167,7 @@ def loan_page(rows: DataFrame, period: str, deal: str, status: str = "all", laye
         found = found.where(F.col("performance_state") == STATES[status])
     if layer is not None:
         found = found.where(F.col("risk_layer_count") == layer)
-    order = [F.col("risk_layer_count").desc_nulls_last(), F.col("delinquency_months").desc_nulls_last(), F.col("current_upb").desc_nulls_last(), "loan_identifier"]
-    page = found.orderBy(*order).offset(offset).limit(limit)
-    name = F.col("loan_identifier") if reveal else display_id("loan_identifier")
-    return found.agg(F.count("*").alias("total")), page.select(name.alias("loan_identifier"), *_ROW)
+    return found
 
 
 def public_predicate(status: str) -> Column:
@@ -147,10 +188,16 @@ def public_page(public: DataFrame, status: str = "all", limit: int = 50, offset:
     """(one-row total, page of all columns) of a masked partition."""
     require_page(limit, offset, PUBLIC_LIMIT, PUBLIC_OFFSET)
     found = public.where(public_predicate(status))
-    order = [F.col("current_loan_delinquency_status").try_cast("int").desc_nulls_last(), F.col("current_actual_upb").try_cast("double").desc_nulls_last(), "loan_identifier"]
+    order = [k.column.desc_nulls_last() if k.descending else k.column.asc_nulls_last() for k in _public_order()]
     return found.agg(F.count("*").alias("total")), found.orderBy(*order).offset(offset).limit(limit)
 
 
+def public_page_after(public: DataFrame, status: str = "all", limit: int = 50, after: str | None = None) -> DataFrame:
+    """The page of :func:`public_page` behind a cursor, with the cursor of each row."""
+    require_page(limit, 0, PUBLIC_LIMIT, PUBLIC_OFFSET)
+    return pages.page(public.where(public_predicate(status)), _public_order(), limit, after)
+
+
 def bootstrap(tables: Tables) -> dict[str, DataFrame]:
     total = tables.catalog.limit(1).select(F.lit("d60_total_contribution_bps").alias("metric_id"), "metric_version", F.lit("Signed contribution of a deal to the portfolio's change.").alias("definition"))
     return {

@@ -43,10 +43,12 @@ def rule_breaks(release: DataFrame) -> DataFrame:
 
 
 def rebuilt_if_behind(spark: SparkSession, folder: str, foundation: DataFrame, classification: str) -> DataFrame:
-    """The release of ``folder``, made anew if the foundation holds periods that it lacks."""
+    """The release of ``folder``, made anew if a deal's period is new, gone, or has another number of records in the foundation."""
     if exists(folder):
-        have = read_csv(spark, folder).select("reporting_period").distinct()
-        if foundation.select(F.col("period").alias("reporting_period")).distinct().join(have, "reporting_period", "left_anti").isEmpty():
+        keys = ["deal_id", "reporting_period"]
+        have = read_csv(spark, folder).groupBy(*keys).agg(F.sum("records_aggregated").alias("had"))
+        now = foundation.groupBy("deal_id", F.col("period").alias("reporting_period")).agg(F.count("*").alias("records"))
+        if now.join(have, keys, "full_outer").where(~F.col("had").eqNullSafe(F.col("records"))).isEmpty():
             return read_csv(spark, folder)
     write_csv(control.release_aggregate(foundation), folder, classification)
     return read_csv(spark, folder)

@@ -18,7 +18,8 @@ from poolgauge.functions.columns import LABELS, label, record_status
 from poolgauge.functions.layout import FIELD_NAMES
 from poolgauge.operators import attribution, baseline, components, control, flow, masking
 from poolgauge.operators.typed import typed
-from poolgauge.plans import endpoints, incremental, projection, release
+from poolgauge.plans import endpoints, incremental, pages, projection, release
+from poolgauge.plans.surface import Surface
 from poolgauge.plans.tables import Store, Tables, build
 from poolgauge.sources import archive, lens
 from poolgauge.sources.foundation import Foundation
@@ -46,18 +47,25 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(foundation(spark, sf_dir))
 
 
-_stores: dict[tuple[str, str], Store] = {}
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the panel's input is now: its files with their lengths and times of change, read without a column."""
+    found = table(spark, sf_dir, "orders").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(sorted(map(tuple, found.collect())))
+
+
+#: By application and folder: the input it was made of, and the store.
+_stores: dict[tuple[str, str], tuple[tuple, Store]] = {}
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
-    """The metric store over a folder's panel, written and gated once per application: what ranks, pages and explains reads its tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stores:
+    """The metric store over a folder's panel, written and gated once per application and input: what ranks, pages and explains reads its tables."""
+    key, inputs = (spark.sparkContext.applicationId, sf_dir), _inputs(spark, sf_dir)
+    if key not in _stores or _stores[key][0] != inputs:
         # loans of this lens end after eight months, with or without a code
         made = Store(spark, joined(shared_dir(spark), f"panel-{uuid.uuid4().hex}"), most_unmatched=None)
         made.write(panel(spark, sf_dir), cutover=CUTOVER, source=foundation(spark, sf_dir))
-        _stores[key] = made
-    return _stores[key]
+        _stores[key] = inputs, made
+    return _stores[key][1]
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -276,9 +284,21 @@ def loan_page_filtered(spark, sf):
     return endpoints.loan_page(panel(spark, sf), "199807", "D3", status="d60", layer=1)[1]
 
 
-def _public(spark, sf, status):
+@query(SQL["loan_page_private"])
+def loan_page_by_cursor(spark, sf):
+    """The page behind the tenth row, found by that row's cursor instead of an offset."""
+    rows = panel(spark, sf)
+    after = pages.last_cursor(endpoints.loan_page_after(rows, "199807", "D3", limit=10), 10)
+    return endpoints.loan_page_after(rows, "199807", "D3", limit=50, after=after).drop("cursor")
+
+
+def _masked_partition(spark, sf):
     here = foundation(spark, sf).where((F.col("deal_id") == "D3") & (F.col("period") == "199807"))
-    return endpoints.public_page(masking.masked(here, DEMO_KEY), status)[1].select("deal_id", *o.FIELDS_OF_LENS)
+    return masking.masked(here, DEMO_KEY)
+
+
+def _public(spark, sf, status):
+    return endpoints.public_page(_masked_partition(spark, sf), status)[1].select("deal_id", *o.FIELDS_OF_LENS)
 
 
 _PUBLIC_WHERE = {"all": "TRUE", "current": "current_loan_delinquency_status = '00'", "d30": "current_loan_delinquency_status = '01'", "d60": "current_loan_delinquency_status = '02'", "d90": "try_cast(current_loan_delinquency_status AS INTEGER) >= 3", "reo": "current_loan_delinquency_status = 'RA'", "zero_balance": "zero_balance_code IS NOT NULL AND zero_balance_code <> ''"}
@@ -289,6 +309,13 @@ for _s in endpoints.PUBLIC_STATES:
     SQL[f"loan_page_public_{_s}"] = o.q(_MASKED, f"SELECT deal_id, {', '.join(o.FIELDS_OF_LENS)} FROM masked WHERE deal_id = 'D3' AND period = '199807' AND {_PUBLIC_WHERE[_s]} ORDER BY try_cast(current_loan_delinquency_status AS INTEGER) DESC NULLS LAST, try_cast(current_actual_upb AS DOUBLE) DESC NULLS LAST, loan_identifier LIMIT 50")
 
 
+@query(SQL["loan_page_public_all"].replace("LIMIT 50", "LIMIT 50 OFFSET 10"))
+def loan_page_public_by_cursor(spark, sf):
+    rows = _masked_partition(spark, sf)
+    after = pages.last_cursor(endpoints.public_page_after(rows, limit=10), 10)
+    return endpoints.public_page_after(rows, after=after).select("deal_id", *o.FIELDS_OF_LENS)
+
+
 @query(o.q(_MASKED, f"SELECT deal_id, {', '.join(o.FIELDS_OF_LENS)} FROM masked"))
 def masked_panel(spark, sf):
     return masking.masked(foundation(spark, sf), DEMO_KEY).select("deal_id", *o.FIELDS_OF_LENS)
@@ -323,17 +350,18 @@ def duplicate_keys(spark, sf):
 #: Widths by period: later disclosures have more fields. And what a delivery holds beside its regular members.
 _WIDTH = "CASE WHEN period < '199501' THEN 89 WHEN period < '199701' THEN 90 ELSE 93 END"
 _STRAY = ("notes.txt", "22D3_19980715_lld.txt")
-_MADE: dict[tuple[str, str, str], str] = {}
+#: By application, input folder and purpose: the input it was made of, and the folder that was filled.
+_MADE: dict[tuple[str, str, str], tuple[tuple, str]] = {}
 
 
 def _made(spark: SparkSession, sf: str, what: str, make) -> str:
-    """A folder that is filled once per application."""
-    key = (spark.sparkContext.applicationId, sf, what)
-    if key not in _MADE:
+    """A folder that is filled once per application and input."""
+    key, inputs = (spark.sparkContext.applicationId, sf, what), _inputs(spark, sf)
+    if key not in _MADE or _MADE[key][0] != inputs:
         folder = joined(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
         make(folder)
-        _MADE[key] = folder
-    return _MADE[key]
+        _MADE[key] = inputs, folder
+    return _MADE[key][1]
 
 
 def delivery(spark: SparkSession, sf: str) -> str:
@@ -353,13 +381,18 @@ def delivery(spark: SparkSession, sf: str) -> str:
 
 
 def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of :func:`stored_foundation`."""
+    return stored_foundation(spark, sf).read()
+
+
+def stored_foundation(spark: SparkSession, sf: str) -> Foundation:
     """The foundation that the delivery's accepted members were staged, verified and appended to."""
 
     def make(folder: str) -> None:
         rows, members = archive.foundation(spark, delivery(spark, sf))
         Foundation(spark, folder).append(rows, members)
 
-    return Foundation(spark, _made(spark, sf, "foundation", make)).read()
+    return Foundation(spark, _made(spark, sf, "foundation", make))
 
 
 _MEMBERS = o.LENS + f""", members AS (SELECT '22' || deal_id || '_' || period || '01_lld.txt' AS member, '2022-' || deal_id AS deal_id, period AS reporting_period FROM panel GROUP BY ALL
@@ -410,8 +443,7 @@ def control_totals(spark, sf):
 @query(o.q(_MEMBERS, "SELECT deal_id, period AS reporting_period, '22' || right(deal_id, 2) || '_' || period || '01_lld.txt' AS source_member, CAST(any_value(width) AS INTEGER) AS source_field_count, count(*) AS records, 'deal_id=' || deal_id || '/reporting_period=' || period AS path FROM accepted GROUP BY deal_id, period"))
 def partition_manifest(spark, sf):
     """What the append noted of every partition it took over, after reading all of them again and comparing records and digests."""
-    stored(spark, sf)
-    made = Foundation(spark, _MADE[spark.sparkContext.applicationId, sf, "foundation"])
+    made = stored_foundation(spark, sf)
     made.verify()
     return made.manifest().select("deal_id", "reporting_period", "source_member", "source_field_count", "records", "path")
 
@@ -566,6 +598,36 @@ def projection_json(spark, sf):
     return projection.sections(tables(spark, sf), projection.COUNTS)
 
 
+_SECTIONS = "SELECT 'portfolio_periods' AS section, '' AS deal_id FROM portfolio_m UNION ALL SELECT 'deal_periods', deal_id FROM deal_m UNION ALL SELECT 'pool_periods', deal_id FROM pool_m" + f" UNION ALL SELECT 'metric_catalog', '' FROM range({len(ENTRIES)})"
+
+
+@query(o.q(o.METRIC_CTES, f"SELECT section, count(*) AS records, CAST(0 AS BIGINT) AS forbidden_records, CAST(NULL AS VARCHAR) AS first_breach FROM ({_SECTIONS}) GROUP BY section"))
+def projection_published(spark, sf):
+    """The projection written by its executors, a line per row, and searched again for what may not be published."""
+    return projection.publish(spark, tables(spark, sf), joined(shared_dir(spark), f"projection-{uuid.uuid4().hex}"))
+
+
+@query(o.q(o.METRIC_CTES, f"SELECT section, count(*) AS records, count(*) FILTER (WHERE deal_id = 'D3') AS forbidden_records, CASE WHEN bool_or(deal_id = 'D3') THEN 'deal_id=' END AS first_breach FROM ({_SECTIONS}) GROUP BY section"))
+def projection_breaches(spark, sf):
+    """The boundary check over sections in which one deal is named by its folder."""
+    named = F.regexp_replace("body", '"deal_id":"D3"', '"deal_id":"deal_id=D3"')
+    return projection.breaches(projection.sections(tables(spark, sf)).withColumn("body", named))
+
+
+@query(o.q(o.METRIC_CTES, "SELECT d.deal_id, d.reporting_period, d.d60_plus_rate, p.d60_plus_rate AS portfolio_rate, d.eligible_active_loans FROM deal_m d JOIN portfolio_m p USING (reporting_period) WHERE d.reporting_period BETWEEN '199701' AND '199712'"))
+def sql_metrics(spark, sf):
+    """A text with named parameters over the metric tables of the store's current version."""
+    text = "SELECT d.deal_id, d.reporting_period, d.d60_plus_rate, p.d60_plus_rate AS portfolio_rate, d.eligible_active_loans FROM deal d JOIN portfolio p USING (reporting_period) WHERE d.reporting_period BETWEEN :first AND :last"
+    return Surface(spark, store(spark, sf).root).ask(text, first="199701", last="199712")
+
+
+@query(o.q(o.TYPED, "SELECT performance_state, count(*) AS records, CAST(sum(current_upb) AS DECIMAL(30,2)) AS upb FROM typed WHERE deal_id = 'D5' AND reporting_period = '199807' GROUP BY ALL"))
+def sql_loans(spark, sf):
+    """A text over the typed rows of the stored foundation; its filter prunes folders."""
+    text = "SELECT performance_state, count(*) AS records, CAST(sum(current_upb) AS DECIMAL(30,2)) AS upb FROM loans WHERE deal_id = :deal AND reporting_period = :period GROUP BY performance_state"
+    return Surface(spark, store(spark, sf).root, foundation=stored_foundation(spark, sf).root).ask(text, deal="2022-D5", period="199807")
+
+
 @query(o.q(o.ALL, f"""SELECT CASE WHEN abs(round(sum(rate_effect_bps), 6)) >= abs(round(sum(mix_effect_bps), 6)) THEN 'rate_led_change' ELSE 'mix_led_change' END AS finding, CAST(NULL AS VARCHAR) AS deal_id, round(sum(rate_effect_bps), 6) AS figure FROM effects WHERE reporting_period = {LATEST}
   UNION ALL SELECT 'largest_contributor', arg_max(x.deal_id, (x.total_contribution_bps, x.deal_id)) FILTER (WHERE x.total_contribution_bps IS NOT NULL), max(x.total_contribution_bps) FROM effects x JOIN deal_m d USING (deal_id, reporting_period) WHERE reporting_period = {LATEST}
   UNION ALL SELECT 'largest_rate_increase', arg_max(d.deal_id, (d.d60_change_1m_bps, d.deal_id)) FILTER (WHERE d.d60_change_1m_bps IS NOT NULL), max(d.d60_change_1m_bps) FROM effects x JOIN deal_m d USING (deal_id, reporting_period) WHERE reporting_period = {LATEST}
