@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from poolgauge.llm.common import cut
 
+#: Edges of a task. Stars shrink fast, and a round of few edges in many tasks is nothing but small files.
+TASK_EDGES = 100_000
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the component's smallest node.
@@ -16,10 +19,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbour. Each round is two groupings whose minimum is pre-aggregated and
     two joins, whose hot keys adaptive execution splits, so a hub's edges are
     never gathered in one task; edges only shrink towards stars. Ends when a round changes
-    nothing, which a count and a hash of the edges tell.
+    nothing, which a count and a hash of the edges tell. What a round writes, to shuffles and
+    to the shared folder, is written by as many tasks as its edges fill (``TASK_EDGES``).
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, tasks: int) -> DataFrame:
         """``e`` holds (a, b) with a > b once per edge."""
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
@@ -28,7 +32,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = met.where(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:  # u and its neighbours below meet the least of them
             out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return cut(out.where(F.col("a") != F.col("b")).distinct())
+        return cut(out.where(F.col("a") != F.col("b")).coalesce(tasks).distinct().coalesce(tasks))
 
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -38,7 +42,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = star(star(now, large=True), large=False)
+        tasks = 1 + seen[0] // TASK_EDGES
+        now = star(star(now.coalesce(tasks), True, tasks), False, tasks)
         if (after := mark(now)) == seen:
             break
         seen = after
