@@ -74,10 +74,8 @@ def publish_masked(spark: SparkSession, foundation: DataFrame, root: str, key: s
     public = masking.masked(foundation, key)
     archive.write(public, joined(root, "data"))
     back = archive.read(spark, joined(root, "data"))
-    masking.check_masking(foundation, back.select(*foundation.columns))
-    counts = archive.stored_counts(back)
-    archive.check_same_counts(archive.stored_counts(foundation), counts)
-    return counts
+    masking.check_masking(foundation, back.select(*foundation.columns))  # counts of every partition, and all tokens
+    return archive.stored_counts(back)
 
 
 def parity(published: DataFrame, regenerated: DataFrame) -> DataFrame:
