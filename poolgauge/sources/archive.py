@@ -17,9 +17,13 @@ import csv
 import io
 import tempfile
 import zipfile
+from collections import deque
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -58,6 +62,59 @@ def directory(path: str) -> list[tuple[str, str, int, int]]:
 PARTITION_BYTES = 32 << 20
 
 
+#: Bytes of a member that are split into lines and fields at once.
+BLOCK_BYTES = 1 << 20
+
+
+def _split(text: str) -> pa.ListArray:
+    """Fields of whole lines without quotes, carriage returns or blank lines; empty ones are null."""
+    rows = pc.split_pattern(pa.array([text.removesuffix("\n")]), "\n").flatten()
+    fields = pc.split_pattern(rows, "|")
+    values = fields.flatten()
+    return pa.ListArray.from_arrays(fields.offsets, pc.replace_with_mask(values, pc.equal(values, ""), pa.scalar(None, pa.string())))
+
+
+def parsed(member: BinaryIO, block: int = BLOCK_BYTES) -> Iterator[pa.ListArray]:
+    """Fields of a member's lines as ``csv.reader`` has them, in order; most blocks are split by Arrow.
+
+    A block with a quote, a carriage return or a blank line goes through
+    ``csv.reader``, with as much of the next as its last field runs on into.
+    """
+    carry, pending = b"", deque()
+
+    def whole_lines() -> str:
+        nonlocal carry
+        held = [carry]
+        while part := member.read(block):
+            end = part.rfind(b"\n") + 1
+            if end:
+                carry = part[end:]
+                return b"".join([*held, part[:end]]).decode("utf-8")
+            held.append(part)
+        carry = b""
+        return b"".join(held).decode("utf-8")
+
+    def lines_on() -> Iterator[str]:
+        while pending or (more := whole_lines()):
+            if not pending:
+                pending.extend(io.StringIO(more, newline=""))
+            yield pending.popleft()
+
+    rows = csv.reader(lines_on(), delimiter="|")
+    while text := whole_lines():
+        if not any(c in text for c in ('"', "\r", "\n\n")) and not text.startswith("\n"):
+            yield _split(text)
+            continue
+        pending.extend(io.StringIO(text, newline=""))
+        found = []
+        while pending:
+            found.append([v if v != "" else None for v in next(rows)])
+            if len(found) == 1 << 13:
+                yield pa.array(found, pa.list_(pa.string()))
+                found = []
+        yield pa.array(found, pa.list_(pa.string()))
+
+
 class _Members(InputPartition):
     def __init__(self, members: list[tuple[str, str]]):
         self.members = members
@@ -80,11 +137,15 @@ class _Reader(DataSourceReader):
             size += n
         return [*out, _Members(held)]
 
-    def read(self, partition: _Members) -> Iterator[tuple]:
+    def read(self, partition: _Members) -> Iterator[pa.RecordBatch]:
         for uri, name in partition.members:
             with _open(uri) as raw, zipfile.ZipFile(raw) as z, z.open(name) as member:
-                for n, row in enumerate(csv.reader(io.TextIOWrapper(member, "utf-8", newline=""), delimiter="|"), 1):
-                    yield name, n, len(row), [v if v != "" else None for v in row]
+                before = 0
+                for fields in parsed(member):
+                    n = len(fields)
+                    columns = [pa.repeat(pa.scalar(name), n), pa.array(np.arange(before + 1, before + n + 1)), pc.list_value_length(fields), fields]
+                    yield pa.RecordBatch.from_arrays(columns, names=["member", "line_no", "width", "fields"])
+                    before += n
 
 
 class DisclosureZip(DataSource):
@@ -211,7 +272,7 @@ def write_archives(foundation: DataFrame, folder: str) -> DataFrame:
     spark = foundation.sparkSession
     ship_code(spark)
     deal = F.regexp_replace("deal_id", r"^20(\d{2})-", "$1")
-    rows = foundation.select(F.concat(deal, F.lit("_"), F.left("period", F.lit(4))).alias("archive"), F.concat(deal, F.lit("_"), "period", F.lit("01_lld.txt")).alias("member"), "loan_identifier", F.col("source_field_count").cast("int").alias("width"), F.array(*FIELD_NAMES).alias("fields"))
+    rows = foundation.select(F.concat(deal, F.lit("_"), F.left("period", F.lit(4))).alias("archive"), F.concat(deal, F.lit("_"), "period", F.lit("01_lld.txt")).alias("member"), "loan_identifier", line(F.col("source_field_count").cast("int")).alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, open_name, member, beside, z, text = [], None, None, None, None, None
@@ -229,27 +290,55 @@ def write_archives(foundation: DataFrame, folder: str) -> DataFrame:
                 beside.close()
 
         for batch in batches:
-            for archive, name, width, fields in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            offsets, data = _buffers(batch.column(2))
+            ends = pc.run_end_encode(batch.column(1)).run_ends.to_pylist() if batch.num_rows else []
+            for first, end in zip([0, *ends], ends):
+                archive, name = batch.column(0)[first].as_py(), batch.column(1)[first].as_py()
+                if name is None:
+                    raise GateError("a row without a deal or a period belongs to no member")
                 if archive != open_name:
                     end_archive()
                     beside = tempfile.NamedTemporaryFile(suffix=".zip")  # a task's own working file, sent to the folder when whole
-                    z, text, open_name, member = zipfile.ZipFile(beside.name, "w", zipfile.ZIP_DEFLATED), None, archive, None
+                    z, text, open_name, member = zipfile.ZipFile(beside.name, "w", zipfile.ZIP_DEFLATED, compresslevel=1), None, archive, None
                     done.append([archive, 0, 0])
                 if name != member:
                     end_member()
-                    text = io.TextIOWrapper(z.open(name, "w", force_zip64=True), "utf-8", newline="")
-                    lines, member = csv.writer(text, delimiter="|", lineterminator="\n"), name
+                    text, member = z.open(name, "w", force_zip64=True), name
                     done[-1][1] += 1
-                lines.writerow(["" if v is None else v for v in fields[:width]])
-                done[-1][2] += 1
+                text.write(data[offsets[first] : offsets[end]])
+                done[-1][2] += end - first
         end_archive()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "members", "records"])
 
-    dealt = rows.repartition("archive").sortWithinPartitions("archive", "member", "loan_identifier")
+    dealt = rows.repartition(_shuffles(spark), "archive").sortWithinPartitions("archive", "member", "loan_identifier").drop("loan_identifier")
     return cut(dealt.mapInArrow(run, "archive string, members long, records long"))
 
 
+def line(width: Column) -> Column:
+    """The first ``width`` fields of a row as a line of a member, quoted where a field needs it."""
+    quoted = lambda v: F.when(v.rlike(_SPECIAL), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    text = lambda fields: F.array_join(F.slice(fields, F.lit(1), F.coalesce(width, F.lit(len(FIELD_NAMES)))), "|", "")
+    plain = F.array(*FIELD_NAMES)
+    return F.concat(F.when(F.concat_ws("", *FIELD_NAMES).rlike(_SPECIAL), text(F.transform(plain, quoted))).otherwise(text(plain)), F.lit("\n"))
+
+
+#: What a field is quoted for.
+_SPECIAL = '[|"\r\n]'
+
+
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where each text begins and ends in the bytes of all of them, and these bytes."""
+    wide = texts.cast(pa.large_string())
+    _, offsets, data = wide.buffers()
+    return np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1], memoryview(data if data is not None else b"")
+
+
+def _shuffles(spark: SparkSession) -> int:
+    """Tasks of a shuffle by folder or archive; named, because adaptive execution would merge them to as many as there are cores."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_lines(spark: SparkSession, path: str, width: int) -> DataFrame:
     """An unpacked member of one known width by Spark's own reader: a line that is not of that width fails the read."""
     if width not in WIDTHS:
@@ -272,11 +361,15 @@ def control_fields(spark: SparkSession, path: str, least: int = 40) -> DataFrame
 ROW_GROUP_ROWS = 100_000
 
 
-def write(rows: DataFrame, root: str, mode: str = "errorifexists") -> None:
-    """Parquet by deal and period, sorted by loan: one shuffle by partition, one file for each, row groups of about 100,000 rows."""
+def write(rows: DataFrame, root: str, mode: str = "errorifexists", whole_members: bool = False) -> None:
+    """Parquet by deal and period, sorted by loan: one shuffle by partition, one file for each, row groups of about 100,000 rows.
+
+    ``whole_members``: each task has all rows of its deals and periods, as rows
+    read from archives have, which need no shuffle.
+    """
     stored = rows.select(*LINEAGE, *FIELD_NAMES).withColumn("reporting_period", F.col("period"))
-    dealt = stored.repartition("deal_id", "reporting_period").sortWithinPartitions("deal_id", "reporting_period", "loan_identifier")
-    dealt.write.mode(mode).option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP_ROWS).partitionBy("deal_id", "reporting_period").parquet(root)
+    dealt = stored if whole_members else stored.repartition(_shuffles(rows.sparkSession), "deal_id", "reporting_period")
+    dealt.sortWithinPartitions("deal_id", "reporting_period", "loan_identifier").write.mode(mode).option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP_ROWS).partitionBy("deal_id", "reporting_period").parquet(root)
 
 
 def stored_counts(rows: DataFrame) -> DataFrame:

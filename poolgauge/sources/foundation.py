@@ -103,7 +103,7 @@ class Foundation:
         stored = sorted([c for c in (*LINEAGE, *FIELD_NAMES) if c not in KEYS])
         rules = {n: F.count_if(F.coalesce(c, F.lit(False))) for n, c in archive.row_rules(rows).items()}
         wanted = [F.count("*").alias("records"), *digest(stored), *[c.alias(n) for n, c in rules.items()]]
-        archive.write(rows.observe(seen, *wanted), staged)
+        archive.write(rows.observe(seen, *wanted), staged, whole_members=bool(rules))
         offered = seen.get
         if any(offered[n] for n in rules):
             storage.remove(staged)
@@ -133,7 +133,7 @@ class Foundation:
     def _described(self, back: DataFrame, members: DataFrame | None) -> DataFrame:
         """Rows of the manifest for stored partitions, and two counts that intake forbids."""
         columns = sorted(c for c in back.columns if c not in KEYS)
-        own = back.groupBy(*KEYS).agg(F.count("*").alias("records"), *digest(columns), F.max("source_member").alias("source_member"), F.max("source_field_count").cast("int").alias("source_field_count"), (F.count_distinct("source_field_count") > 1).cast("int").alias("mixed"))
+        own = back.groupBy(*KEYS).agg(F.count("*").alias("records"), *digest(columns), F.max("source_member").alias("source_member"), F.max("source_field_count").cast("int").alias("source_field_count"), F.coalesce((F.min("source_field_count") != F.max("source_field_count")).cast("int"), F.lit(0)).alias("mixed"))
         again = back.groupBy(*KEYS, "reference_pool_number", "loan_identifier").agg(F.count("*").alias("n")).groupBy(*KEYS).agg(F.count_if(F.col("n") > 1).alias("again"))
         own = own.join(again, list(KEYS))
         if members is None:
@@ -178,7 +178,9 @@ class Foundation:
         noted = self.facts()
         if keys is not None:
             noted = noted.join(now.select(*KEYS), list(KEYS), "left_semi")
-        if not noted.exceptAll(now).isEmpty() or not now.exceptAll(noted).isEmpty():
+        both = noted.alias("a").join(now.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in KEYS], "full_outer")  # partitions are read once
+        differs = [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in FACTS]
+        if not both.where(differs[0] | differs[1] | differs[2]).isEmpty():
             raise GateError("stored partitions are not what the manifest says")
 
     @classmethod

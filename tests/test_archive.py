@@ -1,11 +1,16 @@
+import csv
+import io
 import zipfile
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from poolgauge.functions.layout import FIELD_NAMES
 from poolgauge.operators import baseline, control
 from poolgauge.plans.tables import Store
 from poolgauge.sources import archive
+from poolgauge.sources.foundation import KEYS, Foundation
 from poolgauge.streaming import landing
 
 
@@ -100,3 +105,39 @@ def test_streaming_intake(spark, tmp_path):
     landing.intake(spark, str(tmp_path / "landing"), str(tmp_path / "root"), store, str(tmp_path / "cp")).awaitTermination()
     assert archive.read(spark, str(tmp_path / "root" / "data")).groupBy("batch").count().where("count <> 3").isEmpty()
     assert store.load().portfolio.count() == 2
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+def test_members_are_split_as_csv_reader_splits_them(block):
+    """Quotes over lines, blank lines, carriage returns, quotes inside fields and a last line without an end, at all block sizes."""
+    parts = ["a|b|", "||", '"x|y"|"a ""q"" b"|z', "", "é|ü|ß", 'm"n|o|p', '"two\nlines|"|c', "d|e\r", "last|one"]
+    for text in ["\n".join(parts), "\n".join(parts * 3) + "\n", "\n\na|b\n", "", "a", "\n".join(f"{i}|{i}|" for i in range(50)) + "\n", '"open|field\nto the end']:
+        want = [[v or None for v in row] for row in csv.reader(io.StringIO(text, newline=""), delimiter="|")]
+        assert [row for fields in archive.parsed(io.BytesIO(text.encode()), block) for row in fields.to_pylist()] == want
+
+
+def test_archives_come_back_as_they_were(spark, tmp_path):
+    """Fields that need quotes, empty ones, and all three widths, over a write and a read; the reader gives Arrow batches."""
+    odd = ["plain", 'a|b "c"', "two\nlines", "cr\r", None, '"', " x "]
+    rows = spark.createDataFrame([("2022-HQA1", "m", w, p, "P1", f"L{i}", v) for w, p in ((89, "202307"), (90, "202308"), (93, "202409")) for i, v in enumerate(odd)], "deal_id string, source_member string, source_field_count short, period string, reference_pool_number string, loan_identifier string, seller_name string")
+    rows = rows.select("*", *[F.lit("end" if n == FIELD_NAMES[-1] else None).cast("string").alias(n) for n in FIELD_NAMES if n not in rows.columns])
+    made = archive.write_archives(rows, str(tmp_path / "z")).collect()
+    assert sorted((r.archive, r.members, r.records) for r in made) == [("22HQA1_2023", 2, 14), ("22HQA1_2024", 1, 7)]
+    back, _ = archive.foundation(spark, str(tmp_path / "z"))
+    got = sorted((r.period, r.loan_identifier, r.source_field_count, str(r.seller_name), r[FIELD_NAMES[-1]]) for r in back.collect())
+    assert got == sorted((p, f"L{i}", w, str(v), "end" if w == 93 else None) for w, p in ((89, "202307"), (90, "202308"), (93, "202409")) for i, v in enumerate(odd))
+    reader = archive._Reader({"path": str(tmp_path / "z")})
+    assert all(isinstance(b, pa.RecordBatch) for p in reader.partitions() for b in reader.read(p))
+
+
+def test_an_append_of_an_archive_is_one_file_a_partition(spark, tmp_path):
+    """A task holds whole members, so that storing them needs no shuffle."""
+    zipped = make(tmp_path / "a.zip", {f"22HQA1_2023{m:02}01_lld.txt": [line(89, f"2023{m:02}", f"L{i}") for i in range(20)] for m in range(1, 13)})
+    rows, members = archive.foundation(spark, zipped)
+    made = Foundation(spark, str(tmp_path / "f"))
+    assert made.append(rows, members)["records"] == 240
+    made.verify()
+    assert made.read().select(*KEYS, F.input_file_name().alias("f")).groupBy(*KEYS).agg(F.count_distinct("f").alias("n")).where("n <> 1").isEmpty()
+    made.read().where("reporting_period = '202301'").drop("reporting_period").write.parquet(made._at("deal_id=HQA9", "reporting_period=202301"))
+    with pytest.raises(control.GateError, match="what the manifest says"):
+        made.verify()
