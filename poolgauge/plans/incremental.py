@@ -33,15 +33,15 @@ _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T
 
 
 def digests(tables: Tables) -> DataFrame:
-    """table_name, column_name, rows and the sum of every column of numbers, in four places, of all tables that have any."""
+    """table_name, column_name, rows and the exact sum of every column of numbers (values to eight places), in four places, of all tables that have any."""
     out = None
     for n in NAMES:
         table = getattr(tables, n)
         columns = [f.name for f in table.schema if isinstance(f.dataType, _NUMBERS)]
         if not columns:
             continue
-        # sums of doubles depend on their order beyond the places that are kept
-        total = lambda c: F.coalesce(F.round(F.sum(c), 4).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")).cast("string").alias(c)
+        # doubles are summed as decimals of eight places: a sum of doubles depends on its order, and large ones do in the places that are kept
+        total = lambda c: F.coalesce(F.round(F.sum(F.col(c).cast("decimal(38,8)")), 4).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")).cast("string").alias(c)
         one = table.agg(F.count("*").alias("rows"), *[total(c) for c in columns]).unpivot("rows", columns, "column_name", "total")
         one = one.select(F.lit(n).alias("table_name"), "column_name", "rows", "total")
         out = one if out is None else out.unionByName(one)
