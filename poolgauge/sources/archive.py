@@ -58,8 +58,8 @@ def directory(path: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-#: Bytes of members that one task reads; a larger member has a task of its own.
-PARTITION_BYTES = 32 << 20
+#: Bytes of members that one task reads; a larger member has a task of its own. Small deliveries are dealt to so many tasks.
+PARTITION_BYTES, PARTITIONS = 32 << 20, 64
 
 
 #: Bytes of a member that are split into lines and fields at once.
@@ -123,14 +123,14 @@ class _Members(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.only = options["path"], {m for m in options.get("members", "").split("\n") if m}
-        self.most = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.most = options.get("partition_bytes")
 
     def partitions(self) -> list[InputPartition]:
         out, held, size = [], [], 0
-        for uri, name, _, n in directory(self.path):
-            if self.only and name not in self.only:
-                continue
-            if held and size + n > self.most:
+        members = [m for m in directory(self.path) if not self.only or m[1] in self.only]
+        most = int(self.most or min(PARTITION_BYTES, sum(m[3] for m in members) // PARTITIONS))
+        for uri, name, _, n in members:
+            if held and size + n > most:
                 out.append(_Members(held))
                 held, size = [], 0
             held.append((uri, name))
