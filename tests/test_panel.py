@@ -233,3 +233,12 @@ def test_digests_do_not_depend_on_the_order_of_rows(spark):
     some = lambda order: SimpleNamespace(**{n: spark.createDataFrame([(v,) for v in order], "upb double").coalesce(1) for n in incremental.NAMES})
     one, other = (sorted(map(tuple, incremental.digests(some(o)).collect())) for o in (values, values[::-1]))
     assert one == other
+
+
+def test_orders_of_one_split_are_typed_by_all_tasks(spark):
+    """A small file is one split, whatever it grows to."""
+    from poolgauge import queries
+
+    rows = queries.panel(spark, "/root/testdata/sf0.001")
+    assert queries.table(spark, "/root/testdata/sf0.001", "orders").coalesce(1).rdd.getNumPartitions() == 1
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
