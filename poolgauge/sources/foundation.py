@@ -43,12 +43,15 @@ FACTS = ("records", "digest_a", "digest_b")
 
 def row_hash(columns: list[str], seed: str) -> Column:
     """A hash of a row's values that tells nulls, empty values and columns apart."""
-    return F.xxhash64(F.lit(seed), F.to_csv(F.struct(*columns)))
+    return F.xxhash64(F.lit(seed), *columns, *[F.isnull(c) for c in columns])
 
 
 def digest(columns: list[str]) -> list[Column]:
     """Two sums of row hashes; wide enough for any number of rows."""
-    return [F.coalesce(F.sum(row_hash(columns, s).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"digest_{s}") for s in "ab"]
+    whole = lambda part: F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)")
+    # the halves of a hash are summed as longs
+    halves = lambda h: whole(F.shiftright(h, 32)) * F.lit(2**32).cast("decimal(10,0)") + whole(h.bitwiseAND(F.lit(2**32 - 1)))
+    return [halves(row_hash(columns, s)).cast("decimal(38,0)").alias(f"digest_{s}") for s in "ab"]
 
 
 def partition_facts(rows: DataFrame) -> DataFrame:

@@ -117,3 +117,12 @@ def test_a_revised_manifest_is_refused_without_reading_rows(spark, foundation, t
     with pytest.raises(control.GateError, match="not what the manifest says"):
         made.verify()
     assert store.current() == version
+
+
+def test_digests_are_the_sums_of_row_hashes(spark, foundation):
+    from poolgauge.sources.foundation import KEYS, row_hash
+
+    rows = foundation().withColumn("reporting_period", F.col("period"))
+    columns = sorted(c for c in rows.columns if c not in KEYS)
+    hashes = [r[0] for r in rows.select(row_hash(columns, "a")).collect()]
+    assert min(hashes) < 0 < max(hashes) and sum(hashes) == sum(int(r.digest_a) for r in partition_facts(rows).collect())
