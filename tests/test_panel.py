@@ -242,3 +242,11 @@ def test_orders_of_one_split_are_typed_by_all_tasks(spark):
     rows = queries.panel(spark, "/root/testdata/sf0.001")
     assert queries.table(spark, "/root/testdata/sf0.001", "orders").coalesce(1).rdd.getNumPartitions() == 1
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_flow_reads_the_panel_once_and_drops_what_no_period_follows(foundation):
+    rows = typed(foundation().where("NOT (deal_id = 'HQA1' AND period = '202607')"))
+    found = flow.flow_metrics(rows)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    listed = lambda d: sorted(str(r) for r in d.collect())
+    assert {r.deal_id for r in found.collect()} == {"DNA2"} and listed(found) == listed(flow.flow_metrics(rows, by_join=True).select(*found.columns))
