@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from poolgauge.functions import columns
 from poolgauge.functions.layout import FIELD_NAMES, FOUNDATION_SCHEMA
 from poolgauge.operators import attribution, components, control, flow, masking
 from poolgauge.operators.typed import typed
@@ -250,3 +251,29 @@ def test_flow_reads_the_panel_once_and_drops_what_no_period_follows(foundation):
     assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
     listed = lambda d: sorted(str(r) for r in d.collect())
     assert {r.deal_id for r in found.collect()} == {"DNA2"} and listed(found) == listed(flow.flow_metrics(rows, by_join=True).select(*found.columns))
+
+
+def test_amounts_are_summed_exactly_as_whole_numbers(spark):
+    """Of any size and sign, and null where nothing was reported; the sums of a row are not of decimals."""
+    texts = ["999999999999999999.99", "-999999999999999999.98", "0.01", "-10000000.50", "-0.49", "9999999.99", "123456789012345.67", None, ""]
+    base = lambda pool, text: row(pool, "202606", f"L{text}", text, "00") | {"current_actual_upb": text, "actual_loss": text, "reference_pool_number": pool}
+    rows = [base("A", t) for t in texts] + [base("B", None)]
+    made = components.pool_components(typed(spark.createDataFrame([tuple(r[f.name] for f in FOUNDATION_SCHEMA) for r in rows], FOUNDATION_SCHEMA)))
+    found = {r.reference_pool_number: r for r in made.collect()}
+    total = sum(Decimal(t) for t in texts if t)
+    active = sum(Decimal(t) for t in texts if t and Decimal(t) > 0)
+    a, b = found["A"], found["B"]
+    assert (a.reported_current_upb, a.cumulative_actual_loss, a.eligible_current_upb, a.actual_loss_observations) == (total, total, active, 7)
+    assert (b.reported_current_upb, b.cumulative_actual_loss, b.eligible_current_upb) == (None, 0, 0)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum(actual_loss#" not in plan and "partial_sum(issuance_upb#" not in plan
+
+
+def test_texts_of_digits_are_read_as_before(spark):
+    """Codes and periods are digits and nothing else; whole numbers of any writing are rounded half up."""
+    given = ["199812", "199813", "199800", "000101", "19981", " 19981", "+19981", "199812\n", "٣٤٥٦٧٨", "12.5", "-12.5", "007", "1e3", "\x7f12", "2147483648", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    old = F.when(F.col("t").rlike(r"^[0-9]{6}\z"), F.try_to_timestamp("t", F.lit("yyyyMM")).cast("date"))
+    wholes = F.round(F.col("t").try_cast("decimal(38,10)"), 0).try_cast("int")
+    assert [tuple(r) for r in df.orderBy("i").select(columns.month_start(F.col("t")), columns.whole("t")).collect()] == [tuple(r) for r in df.orderBy("i").select(old, wholes).collect()]
+    assert [r[0] for r in df.orderBy("i").select(columns.digits(F.col("t"), 3)).collect()] == [7 if t == "007" else None for t in given]
