@@ -277,3 +277,13 @@ def test_texts_of_digits_are_read_as_before(spark):
     wholes = F.round(F.col("t").try_cast("decimal(38,10)"), 0).try_cast("int")
     assert [tuple(r) for r in df.orderBy("i").select(columns.month_start(F.col("t")), columns.whole("t")).collect()] == [tuple(r) for r in df.orderBy("i").select(old, wholes).collect()]
     assert [r[0] for r in df.orderBy("i").select(columns.digits(F.col("t"), 3)).collect()] == [7 if t == "007" else None for t in given]
+
+
+def test_transition_matrix_reads_the_panel_once(foundation):
+    whole = foundation()
+    rows = typed(whole.unionByName(whole.where("loan_identifier = 'A2'").withColumn("loan_identifier", F.lit(None).cast("string"))))
+    made = flow.transition_matrix(rows)
+    by_join = flow.pairs_by_join(rows).where("is_matched").groupBy("prior_state", F.col("performance_state").alias("state")).agg(F.count("*").alias("loans"), F.sum("prior_upb").cast("decimal(24,2)").alias("prior_upb"))
+    assert made.exceptAll(by_join).isEmpty() and by_join.exceptAll(made).isEmpty()
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
