@@ -10,7 +10,7 @@ from poolgauge.functions.layout import FIELD_NAMES, FOUNDATION_SCHEMA
 from poolgauge.operators import attribution, components, control, flow, masking
 from poolgauge.operators.typed import typed
 from poolgauge.plans import endpoints, incremental, projection
-from poolgauge.plans.tables import Store, build
+from poolgauge.plans.tables import GATES, Store, build, inventory, survey
 
 KEY = "ab" * 32
 
@@ -287,3 +287,12 @@ def test_transition_matrix_reads_the_panel_once(foundation):
     assert made.exceptAll(by_join).isEmpty() and by_join.exceptAll(made).isEmpty()
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_a_survey_gives_inventory_layers_and_gates_in_one_read(foundation):
+    rows = typed(foundation())
+    found = survey(rows)
+    same = lambda a, b: a.schema.names == b.schema.names and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert same(components.layers_of_sums(found), components.risk_layers(rows))
+    assert same(found.select("deal_id", "reporting_period", "records", "upb", "content"), inventory(rows))
+    assert same(found.agg(*[F.sum(c).alias(c) for c in ("records", *GATES)]), control.input_gate_counts(rows))
