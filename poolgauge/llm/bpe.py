@@ -37,6 +37,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ CHUNK_BITS = 9
 STORE_BYTES = 64 << 20
 #: What an entry of a store takes beside its text and ids.
 ENTRY_BYTES = 150
+#: Bytes of text that are encoded together as a column.
+COLUMN_BYTES = 4 << 20
 #: Pieces that go to the library as one text.
 JOINT_PIECES = 64
 
@@ -204,6 +207,9 @@ class Codec:
     def _has_added(self, text: str) -> bool:
         return any(t in text for t in self.added)
 
+    def _has_added_bytes(self, data: bytes) -> bool:
+        return any(t.encode() in data for t in self.added)
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -254,11 +260,55 @@ class Codec:
 
     def encode_by_piece(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts from the store of pieces alone, where chunks need not be kept."""
-        plain = [None if not t or self._has_added(t) else _pieces(t) for t in texts]
-        if missing := self.pieces.missing(set(chain.from_iterable(p for p in plain if p))):
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column's whole texts, end to end, and where each text's end.
+
+        Pieces are found and told apart in the column's own bytes, so Python
+        sees each different piece once, however often it stands there.
+        """
+        texts = texts.fill_null("")
+        wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        bounds = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, wide)
+        lo, hi = int(bounds[0]), int(bounds[-1])
+        if lo == hi:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[lo:hi]
+        bounds = bounds - lo
+
+        first = np.zeros(len(raw) + 1, bool)
+        first[_breaks(raw)] = True
+        first[bounds] = True
+        at = np.flatnonzero(first).astype(wide)
+        pieces = pa.Array.from_buffers(texts.type, len(at) - 1, [None, pa.py_buffer(at), data.slice(lo, hi - lo)]).dictionary_encode()
+        keys, which = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+        if missing := self.pieces.missing(set(keys)):
             self._learn(missing)
-        ids_of = self.pieces.young.__getitem__
-        return [b"".join(map(ids_of, p)) if p else self._library([t])[0] if t else b"" for t, p in zip(texts, plain, strict=True)]
+        found = list(map(self.pieces.young.__getitem__, keys))
+        pool = np.frombuffer(b"".join(found), "<u4")
+        # there are no more ids than bytes, so places among them fit the column's offsets
+        sizes = np.fromiter(map(len, found), wide, len(found)) // 4
+        each = sizes[which]
+        ends = np.zeros(len(each) + 1, wide)
+        np.cumsum(each, out=ends[1:])
+        place = np.repeat((np.cumsum(sizes, dtype=wide) - sizes)[which] - ends[:-1], each)
+        place += np.arange(len(place), dtype=wide)
+        ids = pool[place]
+        return self._with_added(texts, raw, bounds, ids, ends[np.searchsorted(at, bounds[1:])].astype(np.int64))
+
+    def _with_added(self, texts: pa.Array, raw: np.ndarray, bounds: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with texts that hold an added token encoded by the library."""
+        whole = raw.tobytes()
+        if not self._has_added_bytes(whole):
+            return ids, ends
+        held = np.array([self._has_added_bytes(whole[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+        each = np.split(ids, ends[:-1])
+        for i, found in zip(np.flatnonzero(held).tolist(), self._library(texts.filter(pa.array(held)).to_pylist()), strict=True):
+            each[i] = np.frombuffer(found, "<u4")
+        return np.concatenate(each), np.cumsum([len(x) for x in each])
 
     def _joined(self, text: str, parts: list[str]) -> bytes:
         ends = list(accumulate(map(len, parts)))
@@ -331,6 +381,25 @@ def _regular(text: str) -> bool:
     return not (b"ss" in kinds or b"pd" in kinds or b"dd" in kinds or b"sd" in kinds or b"c" in kinds or kinds[:1] == b"d")
 
 
+#: For each character below U+10000: whether a space or line feed, or a full stop or comma, starts a piece after it (see _BREAK).
+_OPENS = np.array([[_CLOSED.match(chr(c)) is not None for c in range(1 << 16)], [chr(c).isalnum() for c in range(1 << 16)]])
+_MARKS = np.isin(np.arange(256), list(b" \n.,"))
+
+
+def _breaks(raw: np.ndarray) -> np.ndarray:
+    """Byte offsets where _BREAK cuts UTF-8 text; after a character beyond U+FFFF it is not cut."""
+    at = np.flatnonzero(_MARKS[raw[1:]]) + 1
+    before = raw[at - 1].astype(np.int32)
+    long = np.flatnonzero(before >= 0x80)
+    # the character before, from its last bytes: 110xxxxx 10xxxxxx or 1110xxxx 10xxxxxx 10xxxxxx
+    last, second, third = (raw[np.maximum(at[long] - k, 0)].astype(np.int32) for k in (1, 2, 3))
+    two, three = second >= 0xC0, (second < 0xC0) & (third >= 0xE0)
+    before[long] = np.where(two, (second & 0x1F) << 6, np.where(three, (third & 0x0F) << 12 | (second & 0x3F) << 6, 0)) | last & 0x3F
+    opens = _OPENS[np.isin(raw[at], (0x2E, 0x2C)).astype(np.intp), before]
+    opens[long] &= two | three
+    return at[opens]
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -347,6 +416,16 @@ def encoded(own: Codec, texts: pa.Array, size: int = 256) -> Iterator[bytes]:
         yield from own.encode_all(texts.slice(at, size).to_pylist())
 
 
+def spans(texts: pa.Array, most: int = COLUMN_BYTES) -> Iterator[pa.Array]:
+    """A batch's texts in runs of about ``most`` bytes, or of one text that is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (int(ends[a - 1]) if a else 0) + most, side="right")))
+        yield texts.slice(a, b - a)
+        a = b
+
+
 def digest(docs: DataFrame, path: str | None = None, bits: int = CHUNK_BITS) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of the decoded text of every row."""
     ship_code(docs.sparkSession)

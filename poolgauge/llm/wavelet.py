@@ -29,6 +29,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from poolgauge.llm.bpe import codec, vocabulary_path
+from poolgauge.llm.bpe import codec, spans, vocabulary_path
 from poolgauge.llm.common import cut, fresh_folder, text_key
 from poolgauge.llm.files import read_whole, write_whole
 from poolgauge.shipping import ship_code
@@ -209,14 +210,18 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shard_tokens: i
             seq, n, ids, ends, tokens = seq + 1, 0, [], [], []
 
         for batch in batches:
-            encoded = (ids for a in range(0, batch.num_rows, 256) for ids in own.encode_by_piece(batch.column(1).slice(a, 256).to_pylist()))
-            for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                tokens.append(np.append(np.frombuffer(data, "<u4"), np.uint32(END_ID)))
-                n += len(tokens[-1])
-                ids.append(doc_id)
-                ends.append(n)
-                if n >= shard_tokens:
-                    close()
+            doc_ids = iter(batch.column(0).to_pylist())
+            for texts in spans(batch.column(1)):
+                found, stops = own.encode_column(texts)
+                found = np.insert(found, stops, END_ID)
+                stops = stops + np.arange(1, len(stops) + 1)
+                for doc_id, a, b in zip(islice(doc_ids, len(stops)), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    tokens.append(found[a:b])
+                    n += b - a
+                    ids.append(doc_id)
+                    ends.append(n)
+                    if n >= shard_tokens:
+                        close()
         if ids:
             close()
         if done:

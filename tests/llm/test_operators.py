@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,6 +76,46 @@ def test_chunk_joins_are_exact(text):
     assert own.decode(ids) == tok.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
 
+def test_columns_look_up_each_piece_once():
+    """What a column's encoding asks of Python follows its different pieces, not all of them."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    own = bpe.Codec(bpe.vocabulary_path())
+    text = "one two three four, five. " * 20
+    ids = own.encode_by_piece([text])
+    own.pieces.young = Counted(own.pieces.young)
+    assert own.encode_by_piece([text, None, text] * 20) == [*ids, b"", *ids] * 20
+    assert 0 < own.pieces.young.asked <= 20
+
+
+@pytest.mark.parametrize("kind", ["string", "large_string"])
+def test_columns_equal_the_library(kind):
+    """Any part of a column, with nulls, added tokens and characters of one to four bytes before every mark."""
+    rng, own, tok = random.Random(6), bpe.Codec(bpe.vocabulary_path()), brute.tokenizer()
+    signs = [*"aZ7é日。ß²½_!' \n.,\t\r\0\xa0\u3000\u0301ا😀𝒜", "'s", "<|endoftext|>", "<|", "|>"]
+    for _ in range(100):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(rng.randrange(20))]
+        column = pa.array(texts, pa.string()).cast(kind).slice(min(len(texts), rng.randrange(4)))
+        ids, ends = own.encode_column(column)
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+        assert ends.tolist() == np.cumsum([len(x) for x in want]).tolist() and ids.tolist() == [i for x in want for i in x]
+
+
+def test_spans_hold_a_columns_texts_in_order():
+    texts = pa.array(["ab", None, "", "c" * 9, "d", None, "ef", "g"]).slice(1)
+    for most in (1, 3, 100):
+        runs = list(bpe.spans(texts, most))
+        assert [t for r in runs for t in r.to_pylist()] == texts.to_pylist()
+        assert all(len(r) == 1 or sum(len(t or "") for t in r.to_pylist()) <= most for r in runs)
+    assert list(bpe.spans(texts.slice(0, 0), 3)) == []
+
+
 def test_encode_decode_round_trip(spark):
     df = spark.createDataFrame([(1, "some text. with 😀"), (2, None), (3, "")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(df)).collect()} == {1: "some text. with 😀", 2: "", 3: ""}
