@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from poolgauge.llm.bpe import codec, vocabulary_path
+from poolgauge.llm.bpe import codec, spans, vocabulary_path
 from poolgauge.llm.common import cut, fresh_folder
 from poolgauge.shipping import ship_code
 
@@ -223,22 +223,23 @@ def pieces(docs: DataFrame, folder: str, path: str | None = None, whole: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seen = codec(path), TaskContext.get().partitionId(), np.zeros(whole + 1, np.int64)
         narrow = "<u2" if len(own.sizes) <= 1 << 16 else "<u4"
-        end = np.uint32(END_ID).astype("<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
+            at = 0
+            for texts in spans(batch.column(1)):
+                found, ends = own.encode_column(texts)
+                found = np.insert(found, ends, END_ID)
+                less, ends = found.astype(narrow), ends + np.arange(1, len(ends) + 1)
                 row, start, size, crc, total, ids = [], [], [], [], [], []
-                for k, found in enumerate(own.encode_by_piece(texts)):
-                    found += end
-                    n = len(found) // 4
-                    less = np.frombuffer(found, "<u4").astype(narrow)
-                    for a in range(0, n, whole):
+                for k, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                    for a in range(lo, hi, whole):
+                        b = min(a + whole, hi)
                         row.append(at + k)
-                        start.append(a)
-                        size.append(min(whole, n - a))
-                        crc.append(zlib.crc32(found[4 * a : 4 * (a + whole)]))
-                        total.append(n)
-                        ids.append(less[a : a + whole].tobytes())
+                        start.append(a - lo)
+                        size.append(b - a)
+                        crc.append(zlib.crc32(found[a:b].data))
+                        total.append(hi - lo)
+                        ids.append(less[a:b].tobytes())
+                at += len(texts)
                 sizes = np.array(size, np.int32)
                 yield pa.RecordBatch.from_pydict({"part": np.full(len(row), part, np.int32), "doc_id": batch.column(0).take(pa.array(row, pa.int64())), "start": pa.array(start, pa.int64()), "length": sizes, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total, pa.int64()), "rank": _ranked(sizes, seen), "ids": pa.array(ids, pa.binary())})
 

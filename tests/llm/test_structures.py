@@ -10,7 +10,7 @@ import pytest
 from oracle_compare import DATA
 from test_contracts import listed, rows_of
 
-from poolgauge.llm import crosstok, packing, repair
+from poolgauge.llm import bpe, crosstok, packing, repair, wavelet
 from poolgauge.llm.queries import QUERIES
 
 REPAIR = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
@@ -128,3 +128,21 @@ def test_plans_place_every_piece_without_padding(histogram):
             assert offset == total
             total += length
         assert total == packing.SEQUENCE or total & (total - 1) == 0
+
+
+def test_batches_of_several_columns(spark):
+    """A batch longer than what is encoded at once, nulls and empty texts at its seams: rows keep their ids in packing and files."""
+    rng = random.Random(12)
+    words = [f"{rng.choice('abc')}{rng.randrange(500)}é"[: rng.randrange(1, 6)] for _ in range(300)]
+    texts = [None, "", *[" ".join(rng.choices(words, k=n)) for n in (900_000, 3, 1_200_000, 500_000)], None, "", "<|endoftext|> end", "last"]
+    assert len("".join(t or "" for t in texts)) > 2 * bpe.COLUMN_BYTES
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    ids = [np.array([*e.ids, 0], "<u4") for e in brute.tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    parts: dict = collections.defaultdict(list)
+    for r in packing.pack(df).collect():
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        parts[r["doc_id"]].append((r["start"], r["length"]))
+    for i, own in enumerate(ids):
+        assert [a for a, _ in sorted(parts[i])] == [0, *np.cumsum([n for _, n in sorted(parts[i])]).tolist()[:-1]] and sum(n for _, n in parts[i]) == len(own)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.digest(spark, df).collect()}
+    assert got == {i: (sum(map(len, ids[:i])), len(own), zlib.crc32(own.tobytes())) for i, own in enumerate(ids)}
