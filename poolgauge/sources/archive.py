@@ -5,7 +5,9 @@ them. An input partition is a run of members of about ``partition_bytes``,
 read as a stream in the executor that owns it; a ZIP cannot be split within a
 member, so parallelism ends at the number of members (deals times months). The
 path is read by tasks with pyarrow's file systems, so it is a path or URI that
-every executor reaches.
+every executor reaches. Its schema is :data:`LINE_SCHEMA`, a list of fields per
+line, or :data:`INTAKE_SCHEMA`, a column for each of the layout's fields, which
+Arrow's CSV reader makes at an eighth of the cost, with their lineage.
 
 ``write_archives`` goes the other way: archives of a foundation, one per deal
 and year, each written by one task, members streamed into it in order.
@@ -13,17 +15,21 @@ and year, each written by one task, members streamed into it in order.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import json
 import tempfile
 import zipfile
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.csv as pcsv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -37,6 +43,7 @@ from poolgauge.storage import cut, joined, located, names, write_whole
 #: Member names: two digits of year, series, number; underscore; as-of date; suffix.
 MEMBER = r"^(\d{2})([A-Z]+\d+)_(\d{8})_lld\.txt$"
 LINE_SCHEMA = "member string, line_no long, width int, fields array<string>"
+INTAKE_SCHEMA = "deal_id string, source_member string, source_field_count short, " + ", ".join(f"{n} string" for n in FIELD_NAMES) + ", width_accepted boolean, member_period string"
 
 
 def _open(uri: str):
@@ -66,46 +73,46 @@ PARTITION_BYTES, PARTITIONS = 32 << 20, 64
 BLOCK_BYTES = 1 << 20
 
 
-def _split(text: str) -> pa.ListArray:
+def _split(text: bytes) -> pa.ListArray:
     """Fields of whole lines without quotes, carriage returns or blank lines; empty ones are null."""
-    rows = pc.split_pattern(pa.array([text.removesuffix("\n")]), "\n").flatten()
+    rows = pc.split_pattern(pa.array([text.decode("utf-8").removesuffix("\n")]), "\n").flatten()
     fields = pc.split_pattern(rows, "|")
     values = fields.flatten()
     return pa.ListArray.from_arrays(fields.offsets, pc.replace_with_mask(values, pc.equal(values, ""), pa.scalar(None, pa.string())))
 
 
-def parsed(member: BinaryIO, block: int = BLOCK_BYTES) -> Iterator[pa.ListArray]:
-    """Fields of a member's lines as ``csv.reader`` has them, in order; most blocks are split by Arrow.
+def _blocks(member: BinaryIO, block: int) -> Iterator[bytes | pa.ListArray]:
+    """A member in order: blocks of whole lines that a split at line ends and bars reads, and fields of all other lines.
 
     A block with a quote, a carriage return or a blank line goes through
     ``csv.reader``, with as much of the next as its last field runs on into.
     """
     carry, pending = b"", deque()
 
-    def whole_lines() -> str:
+    def whole_lines() -> bytes:
         nonlocal carry
         held = [carry]
         while part := member.read(block):
             end = part.rfind(b"\n") + 1
             if end:
                 carry = part[end:]
-                return b"".join([*held, part[:end]]).decode("utf-8")
+                return b"".join([*held, part[:end]])
             held.append(part)
         carry = b""
-        return b"".join(held).decode("utf-8")
+        return b"".join(held)
 
     def lines_on() -> Iterator[str]:
         while pending or (more := whole_lines()):
             if not pending:
-                pending.extend(io.StringIO(more, newline=""))
+                pending.extend(io.StringIO(more.decode("utf-8"), newline=""))
             yield pending.popleft()
 
     rows = csv.reader(lines_on(), delimiter="|")
     while text := whole_lines():
-        if not any(c in text for c in ('"', "\r", "\n\n")) and not text.startswith("\n"):
-            yield _split(text)
+        if not any(c in text for c in (b'"', b"\r", b"\n\n")) and not text.startswith(b"\n"):
+            yield text
             continue
-        pending.extend(io.StringIO(text, newline=""))
+        pending.extend(io.StringIO(text.decode("utf-8"), newline=""))
         found = []
         while pending:
             found.append([v if v != "" else None for v in next(rows)])
@@ -115,14 +122,53 @@ def parsed(member: BinaryIO, block: int = BLOCK_BYTES) -> Iterator[pa.ListArray]
         yield pa.array(found, pa.list_(pa.string()))
 
 
+def parsed(member: BinaryIO, block: int = BLOCK_BYTES) -> Iterator[pa.ListArray]:
+    """Fields of a member's lines as ``csv.reader`` has them, in order; most blocks are split by Arrow."""
+    for part in _blocks(member, block):
+        yield _split(part) if isinstance(part, bytes) else part
+
+
+def _spread(fields: pa.ListArray) -> tuple[pa.Array, list[pa.Array]]:
+    """Widths of lines, and their fields by position, nulls where a line is shorter."""
+    widths, starts, values = pc.list_value_length(fields), fields.offsets[:-1], fields.values
+    return widths, [values.take(pc.if_else(pc.greater(widths, i), pc.add(starts, i), None)) for i in range(len(FIELD_NAMES))]
+
+
+def _columns(text: bytes) -> tuple[pa.Array, list[pa.Array]]:
+    """:func:`_spread` of a block that :func:`_split` reads; one whose lines are all of one width is read by Arrow's CSV reader."""
+    width = text.split(b"\n", 1)[0].count(b"|") + 1
+    named = [str(i) for i in range(width)]
+    try:
+        if text.startswith(codecs.BOM_UTF8):  # a field's text here, which the CSV reader would drop
+            return _spread(_split(text))
+        found = pcsv.read_csv(
+            pa.BufferReader(text),
+            pcsv.ReadOptions(use_threads=False, block_size=len(text) + 1, column_names=named),
+            pcsv.ParseOptions(delimiter="|", quote_char=False),
+            pcsv.ConvertOptions(column_types=dict.fromkeys(named, pa.string()), include_columns=named[: len(FIELD_NAMES)], strings_can_be_null=True, null_values=[""]),
+        )
+    except pa.ArrowInvalid:  # lines of several widths, or no UTF-8, of which the other tells
+        return _spread(_split(text))
+    columns = [c.combine_chunks() for c in found.columns]
+    return pa.repeat(pa.scalar(width, pa.int32()), len(found)), columns + [pa.nulls(len(found), pa.string())] * (len(FIELD_NAMES) - len(columns))
+
+
+def tabled(member: BinaryIO, block: int = BLOCK_BYTES) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """What :func:`parsed` gives as widths and a column for each field of the layout."""
+    for part in _blocks(member, block):
+        yield _columns(part) if isinstance(part, bytes) else _spread(part)
+
+
 class _Members(InputPartition):
     def __init__(self, members: list[tuple[str, str]]):
         self.members = members
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.only = options["path"], {m for m in options.get("members", "").split("\n") if m}
+    def __init__(self, options, by_column: bool = False):
+        self.path, self.by_column = options["path"], by_column
+        #: members to read, by name: deal and period
+        self.only = {m: keys for m, *keys in json.loads(options.get("members", "[]"))}
         self.most = options.get("partition_bytes")
 
     def partitions(self) -> list[InputPartition]:
@@ -140,16 +186,26 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Members) -> Iterator[pa.RecordBatch]:
         for uri, name in partition.members:
             with _open(uri) as raw, zipfile.ZipFile(raw) as z, z.open(name) as member:
-                before = 0
-                for fields in parsed(member):
-                    n = len(fields)
-                    columns = [pa.repeat(pa.scalar(name), n), pa.array(np.arange(before + 1, before + n + 1)), pc.list_value_length(fields), fields]
-                    yield pa.RecordBatch.from_arrays(columns, names=["member", "line_no", "width", "fields"])
-                    before += n
+                yield from self._intake(name, member) if self.by_column else self._lines(name, member)
+
+    def _lines(self, name: str, member: BinaryIO) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for fields in parsed(member):
+            n = len(fields)
+            columns = [pa.repeat(pa.scalar(name), n), pa.array(np.arange(before + 1, before + n + 1)), pc.list_value_length(fields), fields]
+            yield pa.RecordBatch.from_arrays(columns, names=["member", "line_no", "width", "fields"])
+            before += n
+
+    def _intake(self, name: str, member: BinaryIO) -> Iterator[pa.RecordBatch]:
+        deal, period = (pa.scalar(v, pa.string()) for v in self.only.get(name, (None, None)))
+        for widths, fields in tabled(member):
+            n = len(widths)
+            columns = [pa.repeat(deal, n), pa.repeat(pa.scalar(name), n), widths.cast(pa.int16()), *fields, pc.is_in(widths, pa.array(WIDTHS, pa.int32())), pa.repeat(period, n)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*LINEAGE, *FIELD_NAMES, "width_accepted", "member_period"])
 
 
 class DisclosureZip(DataSource):
-    """``spark.read.format("disclosure_zip").load(path)``; option ``members``: names to read, one per line."""
+    """``spark.read.format("disclosure_zip").load(path)``; option ``members``: a JSON list of what to read, each a name, its deal and its period."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,15 +215,15 @@ class DisclosureZip(DataSource):
         return LINE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return _Reader(self.options, by_column="fields" not in schema.names)
 
 
-def lines(spark: SparkSession, path: str, members: list[str] | None = None) -> DataFrame:
-    """Lines of an archive's members: member, line_no, width and fields."""
+def lines(spark: SparkSession, path: str, members: list[tuple[str, ...]] | None = None, schema: str = LINE_SCHEMA) -> DataFrame:
+    """Lines of an archive's members: member, line_no, width and fields; with :data:`INTAKE_SCHEMA` foundation rows of members (name, deal, period)."""
     ship_code(spark)
     spark.dataSource.register(DisclosureZip)
-    reader = spark.read.format("disclosure_zip")
-    return (reader.option("members", "\n".join(members)) if members else reader).load(path)
+    reader = spark.read.format("disclosure_zip").schema(schema)
+    return (reader.option("members", json.dumps(members)) if members else reader).load(path)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -201,12 +257,13 @@ def foundation(spark: SparkSession, path: str, deals: list[str] | None = None) -
     members = classified(inventory(spark, path))
     if deals is not None:
         members = members.where(F.col("deal_id").isin(deals))
-    good = [r["member"] for r in members.where(F.col("rejection").isNull()).select("member").collect()]
-    names = members.select("member", "deal_id", "reporting_period")
-    rows = padded(lines(spark, path, good)) if good else padded(spark.createDataFrame([], LINE_SCHEMA))
-    met = rows.join(F.broadcast(names), "member")  # the archive's directory
-    lineage = [F.col("deal_id"), F.col("member").alias("source_member"), F.col("width").cast("smallint").alias("source_field_count")]
-    return met.select(*lineage, *FIELD_NAMES, F.col("accepted").alias("width_accepted"), F.col("reporting_period").alias("member_period")), members
+    good = accepted(members)
+    return (lines(spark, path, good, INTAKE_SCHEMA) if good else spark.createDataFrame([], INTAKE_SCHEMA)), members
+
+
+def accepted(members: DataFrame) -> list[tuple[str, str, str]]:
+    """Name, deal and period of the classified inventory's accepted members."""
+    return [tuple(r) for r in members.where(F.col("rejection").isNull()).select("member", "deal_id", "reporting_period").collect()]
 
 
 def _blank(name: str) -> Column:
@@ -358,6 +415,22 @@ def control_fields(spark: SparkSession, path: str, least: int = 40) -> DataFrame
     return spark.read.text(path).select((F.size(parts) < least).alias("short"), *named)
 
 
+#: Bytes of a generated method above which the JVM interprets it for good.
+COMPILED_BYTES = "8000"
+
+
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Run jobs over all columns of the foundation: methods too long for the JVM's compiler are split by operator and column."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, COMPILED_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 ROW_GROUP_ROWS = 100_000
 
 

@@ -26,14 +26,19 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from decimal import Decimal
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from poolgauge import storage
 from poolgauge.functions.layout import FIELD_NAMES, LINEAGE
-from poolgauge.operators.control import GateError, gate
-from poolgauge.sources import archive
+from poolgauge.operators.control import GateError
+from poolgauge.sources import archive, intake
+from poolgauge.sources.intake import row_hash
 
 KEYS = ("deal_id", "reporting_period")
 MANIFEST = "deal_id string, reporting_period string, path string, source_member string, crc32 long, bytes long, source_field_count int, records long, digest_a decimal(38,0), digest_b decimal(38,0), appended string"
@@ -41,23 +46,40 @@ MANIFEST = "deal_id string, reporting_period string, path string, source_member
 FACTS = ("records", "digest_a", "digest_b")
 
 
-def row_hash(columns: list[str], seed: str) -> Column:
-    """A hash of a row's values that tells nulls, empty values and columns apart."""
-    return F.xxhash64(F.lit(seed), *columns, *[F.isnull(c) for c in columns])
-
-
-def digest(columns: list[str]) -> list[Column]:
-    """Two sums of row hashes; wide enough for any number of rows."""
+def digest(hashes: list[Column]) -> list[Column]:
+    """Sums of two row hashes; wide enough for any number of rows."""
     whole = lambda part: F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)")
     # the halves of a hash are summed as longs
     halves = lambda h: whole(F.shiftright(h, 32)) * F.lit(2**32).cast("decimal(10,0)") + whole(h.bitwiseAND(F.lit(2**32 - 1)))
-    return [halves(row_hash(columns, s)).cast("decimal(38,0)").alias(f"digest_{s}") for s in "ab"]
+    return [halves(h).cast("decimal(38,0)").alias(f"digest_{s}") for s, h in zip("ab", hashes)]
 
 
 def partition_facts(rows: DataFrame) -> DataFrame:
     """deal_id, reporting_period, records, digest_a and digest_b of rows; one aggregation."""
     columns = sorted(c for c in rows.columns if c not in KEYS)
-    return rows.groupBy(*KEYS).agg(F.count("*").alias("records"), *digest(columns))
+    # hashes are columns of their own first, so that each is computed once
+    hashed = rows.select(*KEYS, *[row_hash(columns, s).alias(s) for s in "ab"])
+    return hashed.groupBy(*KEYS).agg(F.count("*").alias("records"), *digest([F.col(s) for s in "ab"]))
+
+
+def text_facts(rows: DataFrame, by: tuple[str, ...], **more: Column) -> DataFrame:
+    """Records and digests of rows that tasks made texts of (see :mod:`intake`), and other counts."""
+    hashed = rows.select("*", *[intake.text_hash(s).alias(s) for s in "ab"])
+    return hashed.groupBy(*by).agg(F.count("*").alias("records"), *digest([F.col(s) for s in "ab"]), *[c.alias(n) for n, c in more.items()])
+
+
+def repeated_loans(rows: DataFrame) -> int:
+    """How many loans of a pool, deal and period have several rows.
+
+    Rows are counted by a hash of a loan's keys, so a number per row is
+    shuffled; only rows whose hash is met again are counted by the keys.
+    """
+    keys = (*KEYS, "reference_pool_number", "loan_identifier")
+    keyed = rows.select(*keys, F.xxhash64(*keys).alias("hash"))
+    shared = storage.cut(keyed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    if shared.isEmpty():
+        return 0
+    return keyed.join(shared, "hash", "left_semi").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").count()
 
 
 class Foundation:
@@ -98,50 +120,112 @@ class Foundation:
 
         ``members`` (member, crc32, bytes: an archive's inventory) fills in
         where partitions came from. Rows of :func:`archive.foundation` are held
-        to intake's rules as well; others have no member to be held to.
+        to intake's rules as well; others have no member to be held to. For
+        whole archives :meth:`append_archive` does the same at a fraction of
+        the cost.
         """
         self.recover()
         number = uuid.uuid4().hex
         staged, seen = self._at(f"_staged-{number}"), Observation()
         stored = sorted([c for c in (*LINEAGE, *FIELD_NAMES) if c not in KEYS])
         rules = {n: F.count_if(F.coalesce(c, F.lit(False))) for n, c in archive.row_rules(rows).items()}
-        wanted = [F.count("*").alias("records"), *digest(stored), *[c.alias(n) for n, c in rules.items()]]
-        archive.write(rows.observe(seen, *wanted), staged, whole_members=bool(rules))
+        wanted = [F.count("*").alias("records"), *digest([row_hash(stored, s) for s in "ab"]), *[c.alias(n) for n, c in rules.items()]]
+        with archive.compiled(self.spark):
+            archive.write(rows.observe(seen, *wanted), staged, whole_members=bool(rules))
         offered = seen.get
-        if any(offered[n] for n in rules):
-            storage.remove(staged)
-            raise GateError(f"members: { {n: offered[n] for n in rules} }")
-        back = archive.read(self.spark, staged)
-        facts = storage.cut(self._described(back, members))
-        try:
-            both = facts.agg(F.count("*").alias("partitions"), *[F.sum(c).alias(c) for c in FACTS], F.sum("mixed").alias("mixed_widths"), F.sum("again").alias("duplicate_loans"))
-            same = lambda r: not r["partitions"] or all(r[c] == offered[c] for c in FACTS)
-            if not same(both.first()):  # tasks that ran again after a lost executor are observed again: count the source itself
+        with self._staging(staged):
+            if any(offered[n] for n in rules):
+                raise GateError(f"members: { {n: offered[n] for n in rules} }")
+            parts = self._described(staged, members)
+            total = {c: sum(p[c] for p in parts) for c in (*FACTS, "mixed")}
+            if parts and any(total[c] != offered[c] for c in FACTS):  # tasks that ran again after a lost executor are observed again: count the source itself
                 offered = rows.agg(*wanted).first().asDict()
-            total = gate("staged rows", both, same)
-            if total["mixed_widths"] or (rules and total["duplicate_loans"]):
-                raise GateError(f"members: {total}")
-            parts = [json.loads(r[0]) for r in facts.drop("mixed", "again").select(F.to_json(F.struct("*"))).collect()]
-            if again := sorted(self.known() & {(p["deal_id"], p["reporting_period"]) for p in parts}):
-                raise GateError(f"stored partitions are not written again: {again[:3]}")
+                if any(total[c] != offered[c] for c in FACTS):
+                    raise GateError(f"staged rows: {total}")
+            repeated = repeated_loans(archive.read(self.spark, staged)) if rules else 0
+            if total["mixed"] or repeated:
+                raise GateError(f"members: {total | {'duplicate_loans': repeated}}")
+            return self._committed(number, staged, parts)
+
+    def append_archive(self, path: str) -> dict:
+        """:meth:`append` of all accepted members of a delivery, which tasks store as they read them.
+
+        What is compared is what the archives' lines gave and what is read back
+        of the staged files, by partition. Members whose loans are not in order
+        are left to Spark's writer, which sorts them.
+        """
+        self.recover()
+        number = uuid.uuid4().hex
+        staged = self._at(f"_staged-{number}")
+        inventory = archive.classified(archive.inventory(self.spark, path))
+        place = {m: uri for uri, m, _, _ in archive.directory(path)}
+        members = [(place[m], m, d, p) for m, d, p in archive.accepted(inventory)]
+        if not members:
+            return {"partitions": 0, "records": 0, "paths": []}
+        rows = intake.store(self.spark, members, staged)
+        suspect = F.col("member_period").isNotNull()
+        rules = {n: F.count_if(suspect & F.coalesce(c, F.lit(False))) for n, c in archive.row_rules(rows).items()}
+        with self._staging(staged):
+            offered = {members[r["part"]][1:]: r for r in text_facts(rows, ("part",), ordered=F.bool_and("ordered"), **rules).collect()}  # a row per member
+            if broken := {n: k for n in rules if (k := sum(r[n] for r in offered.values()))}:
+                raise GateError(f"members: {broken}")
+            if loose := [m for m, r in offered.items() if not r["ordered"]]:
+                with archive.compiled(self.spark):
+                    archive.write(archive.lines(self.spark, path, loose, archive.INTAKE_SCHEMA), staged, mode="append", whole_members=True)
+                again = archive.read(self.spark, staged).where(F.concat_ws("/", *KEYS).isin([f"{d}/{p}" for _, d, p in loose]))
+                if repeated := repeated_loans(again):
+                    raise GateError(f"members: { {'duplicate_loans': repeated} }")
+            parts = self._described(staged, inventory)
+            if mixed := sum(p["mixed"] for p in parts):
+                raise GateError(f"members: { {'mixed_widths': mixed} }")
+            got = {(p["source_member"], p["deal_id"], p["reporting_period"]): [p[c] for c in FACTS] for p in parts}
+            if got != {m: [r[c] for c in FACTS] for m, r in offered.items()}:
+                raise GateError("staged rows are not what the members gave")
+            return self._committed(number, staged, parts)
+
+    @contextmanager
+    def _staging(self, staged: str) -> Iterator[None]:
+        """What fails its gate is not left staged."""
+        try:
+            yield
         except GateError:
             storage.remove(staged)
             raise
-        names = {d: {p: storage.joined(d, p) for p in storage.names(storage.joined(staged, d))} for d in storage.names(staged) if d.startswith("deal_id=")}
-        paths = [p for d in names.values() for p in d.values()]
-        self._note("_intents", number, [json.dumps({"staged": f"_staged-{number}", "paths": paths, "manifest": parts})])
+
+    def _committed(self, number: str, staged: str, parts: list[dict]) -> dict:
+        """Note the intent of verified rows and take them over."""
+        if again := sorted(self.known() & {(p["deal_id"], p["reporting_period"]) for p in parts}):
+            raise GateError(f"stored partitions are not written again: {again[:3]}")
+        paths = [path for _, _, path in self._folders(staged)]
+        manifest = [{k: int(v) if isinstance(v, Decimal) else v for k, v in p.items() if k != "mixed"} for p in parts]
+        self._note("_intents", number, [json.dumps({"staged": f"_staged-{number}", "paths": paths, "manifest": manifest})])
         self._take_over(number)
-        return {"partitions": len(parts), "records": offered["records"], "paths": paths}
-
-    def _described(self, back: DataFrame, members: DataFrame | None) -> DataFrame:
-        """Rows of the manifest for stored partitions, and two counts that intake forbids."""
-        columns = sorted(c for c in back.columns if c not in KEYS)
-        own = back.groupBy(*KEYS).agg(F.count("*").alias("records"), *digest(columns), F.max("source_member").alias("source_member"), F.max("source_field_count").cast("int").alias("source_field_count"), F.coalesce((F.min("source_field_count") != F.max("source_field_count")).cast("int"), F.lit(0)).alias("mixed"))
-        again = back.groupBy(*KEYS, "reference_pool_number", "loan_identifier").agg(F.count("*").alias("n")).groupBy(*KEYS).agg(F.count_if(F.col("n") > 1).alias("again"))
-        own = own.join(again, list(KEYS))
-        if members is None:
-            return own.withColumns({"crc32": F.lit(None).cast("long"), "bytes": F.lit(None).cast("long")})
-        return own.join(F.broadcast(members.select(F.col("member").alias("source_member"), "crc32", "bytes")), "source_member", "left")  # the archive's directory
+        return {"partitions": len(parts), "records": sum(p["records"] for p in parts), "paths": paths}
+
+    @staticmethod
+    def _folders(root: str) -> list[tuple[str | None, str | None, str]]:
+        """Deal, period and path of the partition folders below a root."""
+        found = [storage.joined(d, p) for d in storage.names(root) if d.startswith("deal_id=") for p in storage.names(storage.joined(root, d)) if p.startswith("reporting_period=")]
+        value = lambda name: None if (v := unquote(name.split("=", 1)[1])) == "__HIVE_DEFAULT_PARTITION__" else v
+        return [(*map(value, path.split("/")), path) for path in found]
+
+    def _described(self, root: str, members: DataFrame | None, keys: set | None = None) -> list[dict]:
+        """A row per partition folder: what the manifest notes of it, and whether its rows differ in width, which intake forbids."""
+        folders = [f for f in self._folders(root) if keys is None or f[:2] in keys]
+        if not folders:
+            return []
+        rows = intake.back(self.spark, [storage.joined(root, path) for _, _, path in folders])
+        # texts are grouping keys first: Spark would sort all rows for the greatest text of a group
+        parts = text_facts(rows, ("part", "source_member", "source_field_count"))
+        widths = (F.min("source_field_count"), F.max("source_field_count"))
+        own = parts.groupBy("part").agg(*[F.sum(c).alias(c) for c in FACTS], F.max("source_member").alias("source_member"), widths[1].alias("source_field_count"), F.coalesce((widths[0] != widths[1]).cast("int"), F.lit(0)).alias("mixed"))
+        come = {} if members is None else {r["member"]: r for r in members.select("member", "crc32", "bytes").collect()}  # the archive's directory
+        found = []
+        for r in own.collect():
+            deal, period, _ = folders[r["part"]]
+            known = come.get(r["source_member"])
+            found.append({"deal_id": deal, "reporting_period": period, **{k: v for k, v in r.asDict().items() if k != "part"}, "crc32": known and known["crc32"], "bytes": known and known["bytes"]})
+        return found
 
     def _note(self, folder: str, number: str, lines: list[str]) -> None:
         storage.write_text(self._at(folder, f"{number}.json"), "\n".join(lines) + "\n")
@@ -177,13 +261,12 @@ class Foundation:
 
     def verify(self, keys: list[tuple[str, str]] | None = None) -> None:
         """Read partitions again and compare with the manifest, or GateError. Reads what it verifies."""
-        now = partition_facts(self.read(keys))
-        noted = self.facts()
+        own = lambda rows: sorted((tuple(r[c] for c in (*KEYS, *FACTS)) for r in rows), key=str)
+        now, noted = own(self._described(self.root, None, None if keys is None else set(keys))), own(self.facts().collect())
         if keys is not None:
-            noted = noted.join(now.select(*KEYS), list(KEYS), "left_semi")
-        both = noted.alias("a").join(now.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in KEYS], "full_outer")  # partitions are read once
-        differs = [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in FACTS]
-        if not both.where(differs[0] | differs[1] | differs[2]).isEmpty():
+            there = {r[:2] for r in now}
+            noted = [r for r in noted if r[:2] in there]
+        if now != noted:
             raise GateError("stored partitions are not what the manifest says")
 
     @classmethod
@@ -191,8 +274,7 @@ class Foundation:
         """A manifest for partitions that were written without one; reads them once."""
         made = cls(spark, root)
         if not storage.names(made._at("_manifest")):
-            rows = made._described(archive.read(spark, root), None).drop("mixed", "again")
             number = uuid.uuid4().hex
-            path = F.concat(F.lit("deal_id="), F.col("deal_id"), F.lit("/reporting_period="), F.col("reporting_period"))
-            made._note("_manifest", number, [r[0] for r in rows.select(F.to_json(F.struct("*", path.alias("path"), F.lit(number).alias("appended")))).collect()])
+            lines = [{k: int(v) if isinstance(v, Decimal) else v for k, v in p.items() if k != "mixed"} for p in made._described(made.root, None)]
+            made._note("_manifest", number, [json.dumps({**p, "path": f"deal_id={p['deal_id']}/reporting_period={p['reporting_period']}", "appended": number}) for p in lines])
         return made
