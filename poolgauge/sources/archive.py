@@ -324,15 +324,32 @@ def write_archives(foundation: DataFrame, folder: str) -> DataFrame:
     """Write foundation rows as disclosure archives, one ZIP per deal and year; checkpointed: archive, members, records.
 
     A line has ``source_field_count`` fields. Deals are named as members are:
-    the year's two digits and the series.
+    the year's two digits and the series. Lines are joined without a look at
+    their fields first; tasks count what they are given, and archives with a
+    line that needs quotes, or of another width, are written in a second run.
     """
-    spark = foundation.sparkSession
-    ship_code(spark)
+    width = F.col("source_field_count").cast("int")
+    made = _write(foundation, plain_line(width), F.when(width.between(min(WIDTHS), len(FIELD_NAMES)), width - 1), folder)
+    if not (odd := [r["archive"] for r in made.where("records < 0").collect()]):  # a row per archive
+        return made
+    again = _write(foundation, line(width), F.lit(-1), folder, odd)
+    return made.where("records >= 0").unionByName(again)
+
+
+def _write(foundation: DataFrame, text: Column, bars: Column, folder: str, only: list[str] | None = None) -> DataFrame:
+    """Archives of lines, or of some archives only. Those whose lines have other bars than told (-1: any), a quote or an end of line within are not written: their records are -1."""
+    ship_code(foundation.sparkSession)
     deal = F.regexp_replace("deal_id", r"^20(\d{2})-", "$1")
-    rows = foundation.select(F.concat(deal, F.lit("_"), F.left("period", F.lit(4))).alias("archive"), F.concat(deal, F.lit("_"), "period", F.lit("01_lld.txt")).alias("member"), "loan_identifier", line(F.col("source_field_count").cast("int")).alias("line"))
+    rows = foundation.select(F.concat(deal, F.lit("_"), F.left("period", F.lit(4))).alias("archive"), F.concat(deal, F.lit("_"), "period", F.lit("01_lld.txt")).alias("member"), "loan_identifier", F.concat(text, F.lit("\n")).alias("line"), bars.alias("bars"))
+    if only is not None:
+        rows = rows.where(F.col("archive").isin(only))
+
+    def plain(batch: pa.RecordBatch, data: bytes) -> bool:
+        told = batch.column(3)
+        return told.null_count == 0 and data.count(b"|") == pc.sum(told).as_py() and data.count(b"\n") == batch.num_rows and b'"' not in data and b"\r" not in data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, open_name, member, beside, z, text = [], None, None, None, None, None
+        done, odd, open_name, member, beside, z, text = [], set(), None, None, None, None, None
 
         def end_member() -> None:
             if text is not None:
@@ -342,13 +359,18 @@ def write_archives(foundation: DataFrame, folder: str) -> DataFrame:
             end_member()
             if z is not None:
                 z.close()
-                with open(beside.name, "rb") as made:
-                    write_whole(joined(folder, f"{open_name}.zip"), made)
+                if open_name not in odd:
+                    with open(beside.name, "rb") as made:
+                        write_whole(joined(folder, f"{open_name}.zip"), made)
                 beside.close()
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             offsets, data = _buffers(batch.column(2))
-            ends = pc.run_end_encode(batch.column(1)).run_ends.to_pylist() if batch.num_rows else []
+            if only is None and not plain(batch, bytes(data[offsets[0] : offsets[-1]])):
+                odd |= set(pc.unique(batch.column(0)).to_pylist())
+            ends = pc.run_end_encode(batch.column(1)).run_ends.to_pylist()
             for first, end in zip([0, *ends], ends):
                 archive, name = batch.column(0)[first].as_py(), batch.column(1)[first].as_py()
                 if name is None:
@@ -358,6 +380,8 @@ def write_archives(foundation: DataFrame, folder: str) -> DataFrame:
                     beside = tempfile.NamedTemporaryFile(suffix=".zip")  # a task's own working file, sent to the folder when whole
                     z, text, open_name, member = zipfile.ZipFile(beside.name, "w", zipfile.ZIP_DEFLATED, compresslevel=1), None, archive, None
                     done.append([archive, 0, 0])
+                if archive in odd:
+                    continue
                 if name != member:
                     end_member()
                     text, member = z.open(name, "w", force_zip64=True), name
@@ -366,18 +390,26 @@ def write_archives(foundation: DataFrame, folder: str) -> DataFrame:
                 done[-1][2] += end - first
         end_archive()
         if done:
+            done = [[a, m, -1 if a in odd else n] for a, m, n in done]
             yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "members", "records"])
 
-    dealt = rows.repartition(_shuffles(spark), "archive").sortWithinPartitions("archive", "member", "loan_identifier").drop("loan_identifier")
+    dealt = rows.repartition(_shuffles(foundation.sparkSession), "archive").sortWithinPartitions("archive", "member", "loan_identifier").drop("loan_identifier")
     return cut(dealt.mapInArrow(run, "archive string, members long, records long"))
 
 
 def line(width: Column) -> Column:
-    """The first ``width`` fields of a row as a line of a member, quoted where a field needs it."""
+    """The first ``width`` fields of a row as a line of a member, without its end, quoted where a field needs it."""
     quoted = lambda v: F.when(v.rlike(_SPECIAL), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
     text = lambda fields: F.array_join(F.slice(fields, F.lit(1), F.coalesce(width, F.lit(len(FIELD_NAMES)))), "|", "")
     plain = F.array(*FIELD_NAMES)
-    return F.concat(F.when(F.concat_ws("", *FIELD_NAMES).rlike(_SPECIAL), text(F.transform(plain, quoted))).otherwise(text(plain)), F.lit("\n"))
+    return F.when(F.concat_ws("", *FIELD_NAMES).rlike(_SPECIAL), text(F.transform(plain, quoted))).otherwise(text(plain))
+
+
+def plain_line(width: Column) -> Column:
+    """:func:`line`, without its end, of a row of the layout's widths whose fields need no quotes: just joined, without an array of them."""
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in FIELD_NAMES]
+    later = [F.when(width > k, F.concat(F.lit("|"), fields[k])).otherwise("") for k in range(min(WIDTHS), len(FIELD_NAMES))]
+    return F.concat(F.concat_ws("|", *fields[: min(WIDTHS)]), *later)
 
 
 #: What a field is quoted for.

@@ -53,3 +53,16 @@ def test_broken_members_are_not_stored(spark, tmp_path, bad):
     with pytest.raises(control.GateError, match="members"):
         made.append_archive(make(tmp_path / "a.zip", {"22HQA1_20230701_lld.txt": bad, "22DNA2_20230701_lld.txt": [line(89, "202307")]}))
     assert made.manifest().count() == 0 and not [n for n in storage.names(made.root) if n.startswith("_staged-")]
+
+
+def test_lines_that_need_quotes_are_written_in_a_second_run(spark, tmp_path):
+    """One archive of plain lines, one with a quote, one with a width that no layout has: each with all its rows, as csv reads them."""
+    rows = [("2022-HQA1", "202301", 89, "a"), ("2022-HQA1", "202302", 93, None), ("2022-HQA2", "202301", 89, 'b|"c'), ("2022-HQA2", "202401", 90, "d"), ("2022-HQA3", "202301", 7, "e"), ("2022-HQA3", "202301", None, "f")]
+    df = spark.createDataFrame([(*r, "P1", f"L{i}") for i, r in enumerate(rows)], "deal_id string, period string, source_field_count short, seller_name string, reference_pool_number string, loan_identifier string")
+    df = df.select("*", *[F.lit("end" if n == FIELD_NAMES[-1] else None).cast("string").alias(n) for n in FIELD_NAMES if n not in df.columns])
+    made = archive.write_archives(df, str(tmp_path / "z")).collect()
+    assert sorted(map(tuple, made)) == [("22HQA1_2023", 2, 2), ("22HQA2_2023", 1, 1), ("22HQA2_2024", 1, 1), ("22HQA3_2023", 1, 2)]
+    assert len(storage.names(str(tmp_path / "z"))) == 4
+    got = sorted((r.member, r.width, r.fields[2], r.fields[4], r.fields[-1]) for r in archive.lines(spark, str(tmp_path / "z")).collect())
+    want = [(f"22{d[5:]}_{p}01_lld.txt", w or 93, f"L{i}", v, None if w == 89 or w == 90 else "end") for i, (d, p, w, v) in enumerate(rows)]
+    assert got == sorted((m, w, loan, v, None if w == 7 else e) for m, w, loan, v, e in want)
