@@ -38,18 +38,20 @@ def session_of(spark: SparkSession) -> SparkSession:
 
 
 class Surface:
-    """The views of one version of a store, in a session of their own."""
+    """The views of one version of a store, of a stored foundation, or of both, in a session of their own."""
 
-    def __init__(self, spark: SparkSession, root: str, version: str | None = None, foundation: str | None = None):
-        """``foundation``: the folder of a stored foundation, for the view ``loans``."""
+    def __init__(self, spark: SparkSession, root: str | None, version: str | None = None, foundation: str | None = None):
+        """``root``: a store's, or None for a surface without metric tables. ``foundation``: the folder of a stored foundation, for the view ``loans``."""
         from poolgauge.operators.typed import typed
         from poolgauge.sources import archive
 
         self.session = session_of(spark)
-        store = Store(self.session, root)
-        self.version = version or store.current()
-        tables = store.load(self.version)
-        views = {f.name: getattr(tables, f.name) for f in fields(Tables)}
+        self.version, views = version, {}
+        if root is not None:
+            store = Store(self.session, root)
+            self.version = version or store.current()
+            tables = store.load(self.version)
+            views = {f.name: getattr(tables, f.name) for f in fields(Tables)}
         if foundation is not None:
             # the folder's key, so that a filter on it prunes folders
             stored = archive.read(self.session, foundation)

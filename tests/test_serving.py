@@ -9,6 +9,7 @@ from poolgauge.operators.typed import typed
 from poolgauge.plans import endpoints, pages, projection, release
 from poolgauge.plans.surface import QueryError, Surface
 from poolgauge.plans.tables import Store
+from poolgauge.sources.foundation import Foundation
 
 
 def walk(of, limit):
@@ -104,3 +105,12 @@ def test_release_follows_late_deals_of_known_periods(spark, foundation, tmp_path
     assert release.rebuilt_if_behind(spark, folder, foundation(), "synthetic-fixture").count() == 6
     fewer = foundation().where("loan_identifier <> 'A4'")
     assert release.rebuilt_if_behind(spark, folder, fewer, "synthetic-fixture").agg(F.sum("records_aggregated")).first()[0] == fewer.count()
+
+
+def test_a_surface_of_a_foundation_needs_no_store(spark, foundation, tmp_path):  # noqa: F811
+    made = Foundation(spark, str(tmp_path / "f"))
+    made.append(foundation())
+    loans = Surface(spark, None, foundation=made.root)
+    assert loans.views == ("loans",) and loans.ask("SELECT count(*) AS n FROM loans WHERE reporting_period = :p", p="202607").first().n == foundation().where("period = '202607'").count()
+    with pytest.raises(QueryError):
+        loans.ask("SELECT * FROM deal")
