@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from poolgauge.operators import control, masking
 from poolgauge.operators.control import GateError
-from poolgauge.sources import archive
+from poolgauge.sources import archive, intake
+from poolgauge.sources.foundation import Foundation
 from poolgauge.storage import exists, joined, names
 
 #: Columns of the release file in order, with the types that a reader gives them.
@@ -78,6 +79,20 @@ def publish_masked(spark: SparkSession, foundation: DataFrame, root: str, key: s
     return archive.stored_counts(back)
 
 
+def publish_stored(spark: SparkSession, made: Foundation, root: str, key: str, most: int = intake.MASKED_ROWS) -> DataFrame:
+    """:func:`publish_masked` of a stored foundation, whose partitions tasks mask one by one without a shuffle; those of more than ``most`` rows are left to Spark's writer."""
+    if names(root):
+        raise GateError(f"{root} already holds a publication")
+    masking.key_column(key)
+    data, folders = joined(root, "data"), made.folders()
+    done = intake.masked(spark, [(joined(made.root, path), joined(data, path)) for _, _, path in folders], key, most).collect()  # a row per partition
+    if large := [folders[r["part"]][:2] for r in done if r["records"] is None]:
+        archive.write(masking.masked(made.read(large).drop("reporting_period"), key), data, mode="append")
+    rows, back = made.read().drop("reporting_period"), archive.read(spark, data)
+    masking.check_masking(rows, back.select(*rows.columns))  # counts of every partition, and all tokens
+    return archive.stored_counts(back)
+
+
 def parity(published: DataFrame, regenerated: DataFrame) -> DataFrame:
     """section, published and regenerated rows, and rows that differ: the last has to be zero (see :func:`projection.sections`)."""
     side = lambda d, n: d.groupBy("section", "position", "body").agg(F.count("*").alias(n))

@@ -209,6 +209,10 @@ class Foundation:
         value = lambda name: None if (v := unquote(name.split("=", 1)[1])) == "__HIVE_DEFAULT_PARTITION__" else v
         return [(*map(value, path.split("/")), path) for path in found]
 
+    def folders(self) -> list[tuple[str | None, str | None, str]]:
+        """Deal, period and path of all stored partitions."""
+        return self._folders(self.root)
+
     def _described(self, root: str, members: DataFrame | None, keys: set | None = None) -> list[dict]:
         """A row per partition folder: what the manifest notes of it, and whether its rows differ in width, which intake forbids."""
         folders = [f for f in self._folders(root) if keys is None or f[:2] in keys]

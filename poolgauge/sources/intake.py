@@ -11,6 +11,7 @@ and compares.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolgauge.functions.layout import FIELD_NAMES, LINEAGE, WIDTHS
+from poolgauge.operators.masking import TOKENS
 from poolgauge.shipping import ship_code
 from poolgauge.sources import archive
 from poolgauge.storage import joined, located, names, write_whole
@@ -199,3 +201,46 @@ def row_hash(columns: list[str], seed: str) -> Column:
 def text_hash(seed: str) -> Column:
     """:func:`row_hash` of a row whose text and nulls a task made."""
     return F.xxhash64(F.lit(seed), "text", *_MARKED)
+
+
+#: Rows of a partition that a task masks and sorts in its memory, about half a gigabyte; Spark's writer does it with larger ones.
+MASKED_ROWS = 1 << 20
+
+
+def _tokens(column: pa.Array, key: str, prefix: str, digits: int) -> pa.Array:
+    """:func:`poolgauge.functions.columns.token` of each different value."""
+    coded, keyed = column.dictionary_encode(), hashlib.sha256(f"{key}:".encode())
+
+    def of(value: str) -> str | None:
+        if not value:
+            return None
+        own = keyed.copy()
+        own.update(value.encode())
+        return prefix + own.hexdigest()[:digits]
+
+    return pa.array([of(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+def masked(spark: SparkSession, folders: list[tuple[str, str]], key: str, most: int = MASKED_ROWS) -> DataFrame:
+    """Write stored partitions (folder, target) masked and in the order of their tokens: part and records, null for those of more than ``most`` rows, which are not written."""
+
+    def run(part: int, uri: str, target: str) -> Iterator[pa.RecordBatch]:
+        system, path = located(uri)
+        found = [joined(path, n) for n in names(uri) if not n.startswith((".", "_"))]
+        records = sum(pq.read_metadata(f, filesystem=system).num_rows for f in found)
+        if records and records <= most:
+            read = [pq.ParquetFile(f, filesystem=system).read(use_threads=False) for f in found]
+            whole = pa.concat_tables([t.select([c for c in STORED if c in t.column_names and t.column(c).null_count < len(t)]) for t in read], promote_options="default")
+            for name, (prefix, digits) in TOKENS.items():
+                if name in whole.column_names:
+                    whole = whole.set_column(whole.column_names.index(name), name, _tokens(whole.column(name).combine_chunks(), key, prefix, digits))
+            order = pc.sort_indices(whole, [("loan_identifier", "ascending")], null_placement="at_start") if "loan_identifier" in whole.column_names else None
+            with _File() as made:
+                for at in range(0, records, archive.ROW_GROUP_ROWS):
+                    some = whole.slice(at, archive.ROW_GROUP_ROWS) if order is None else whole.take(order.slice(at, archive.ROW_GROUP_ROWS))
+                    column = lambda c: some.column(c).combine_chunks().cast(SCHEMA.field(c).type) if c in some.column_names else pa.nulls(len(some), SCHEMA.field(c).type)  # noqa: B023, E731
+                    made.write(pa.RecordBatch.from_arrays([column(c) for c in STORED], schema=SCHEMA))
+                made.move(joined(target, FILE))
+        yield _batch([pa.array([part], pa.int32()), pa.array([records if records <= most else None], pa.int64())], "part int, records long")
+
+    return _over(spark, [(k, *f) for k, f in enumerate(folders)], "part int, uri string, target string", "part int, records long", run)

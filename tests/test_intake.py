@@ -9,7 +9,8 @@ from test_archive import line, make
 
 from poolgauge import storage
 from poolgauge.functions.layout import FIELD_NAMES
-from poolgauge.operators import control
+from poolgauge.operators import control, masking
+from poolgauge.plans import release
 from poolgauge.sources import archive
 from poolgauge.sources.foundation import FACTS, KEYS, Foundation, partition_facts
 
@@ -66,3 +67,22 @@ def test_lines_that_need_quotes_are_written_in_a_second_run(spark, tmp_path):
     got = sorted((r.member, r.width, r.fields[2], r.fields[4], r.fields[-1]) for r in archive.lines(spark, str(tmp_path / "z")).collect())
     want = [(f"22{d[5:]}_{p}01_lld.txt", w or 93, f"L{i}", v, None if w == 89 or w == 90 else "end") for i, (d, p, w, v) in enumerate(rows)]
     assert got == sorted((m, w, loan, v, None if w == 7 else e) for m, w, loan, v, e in want)
+
+
+@pytest.mark.parametrize("most", [2, 100])
+def test_stored_partitions_are_masked_as_rows_are(spark, tmp_path, most):
+    """Tasks and Spark give the same tokens in the same order, also where a partition is left to Spark's writer; empty values have none."""
+    rows = spark.createDataFrame([("2022-HQA1", p, f"L{i}" if i else "", f"{i % 2}00" if i != 3 else None) for p, n in (("202301", 5), ("202302", 2)) for i in range(n)], "deal_id string, period string, loan_identifier string, postal_code_3_digit string")
+    rows = rows.select("*", F.lit("m").alias("source_member"), F.lit(89).cast("short").alias("source_field_count"), *[F.lit(None).cast("string").alias(n) for n in FIELD_NAMES if n not in rows.columns])
+    made, key = Foundation(spark, str(tmp_path / "f")), "5a" * 32
+    made.append(rows)
+    done = release.publish_stored(spark, made, str(tmp_path / "p"), key, most)
+    assert sorted(map(tuple, done.collect())) == [("2022-HQA1", "202301", 5), ("2022-HQA1", "202302", 2)]
+    want, got = masking.masked(made.read(), key), archive.read(spark, str(tmp_path / "p" / "data"))
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+    one = [r.loan_identifier for r in spark.read.parquet(str(tmp_path / "p" / "data" / "deal_id=2022-HQA1" / "reporting_period=202301")).collect()]
+    assert one == sorted(one, key=lambda v: (v is not None, v)) and one[0] is None and len(set(one)) == 5
+    with pytest.raises(control.GateError, match="already"):
+        release.publish_stored(spark, made, str(tmp_path / "p"), key)
+    with pytest.raises(control.GateError, match="at least"):
+        release.publish_stored(spark, made, str(tmp_path / "q"), "00")
