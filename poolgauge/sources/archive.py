@@ -19,6 +19,7 @@ import codecs
 import csv
 import io
 import json
+import re
 import tempfile
 import zipfile
 from collections import deque
@@ -320,34 +321,50 @@ def official_totals(spark: SparkSession, path: str) -> DataFrame:
     return both.select(F.explode("files").alias("f")).select("f.*")
 
 
-def write_archives(foundation: DataFrame, folder: str) -> DataFrame:
+def write_archives(foundation: DataFrame, folder: str, whole: bool = False) -> DataFrame:
     """Write foundation rows as disclosure archives, one ZIP per deal and year; checkpointed: archive, members, records.
 
     A line has ``source_field_count`` fields. Deals are named as members are:
     the year's two digits and the series. Lines are joined without a look at
     their fields first; tasks count what they are given, and archives with a
     line that needs quotes, or of another width, are written in a second run.
+    ``whole``: each task has all rows of its archives, by archive, member and
+    loan, as the lens can deal them, and lines need no shuffle.
     """
     width = F.col("source_field_count").cast("int")
-    made = _write(foundation, plain_line(width), F.when(width.between(min(WIDTHS), len(FIELD_NAMES)), width - 1), folder)
+    made = _write(foundation, plain_line(width), F.when(width.between(min(WIDTHS), len(FIELD_NAMES)), width - 1), folder, whole)
+    if whole and (split := made.groupBy("archive").agg(F.count("*").alias("n")).where("n > 1").first()):
+        raise GateError(f"rows of archive {split['archive']} are not in one task")
     if not (odd := [r["archive"] for r in made.where("records < 0").collect()]):  # a row per archive
         return made
-    again = _write(foundation, line(width), F.lit(-1), folder, odd)
+    again = _write(foundation, F.concat(line(width), F.lit("\n")), F.lit(-1), folder, whole, odd)
     return made.where("records >= 0").unionByName(again)
 
 
-def _write(foundation: DataFrame, text: Column, bars: Column, folder: str, only: list[str] | None = None) -> DataFrame:
-    """Archives of lines, or of some archives only. Those whose lines have other bars than told (-1: any), a quote or an end of line within are not written: their records are -1."""
+def _write(foundation: DataFrame, text: Column, bars: Column, folder: str, whole: bool, only: list[str] | None = None) -> DataFrame:
+    """Archives of lines (each with its end), or of some archives only. Those whose lines have other bars than told (-1: any), a quote or an end of line within are not written: their records are -1."""
     ship_code(foundation.sparkSession)
-    deal = F.regexp_replace("deal_id", r"^20(\d{2})-", "$1")
-    rows = foundation.select(F.concat(deal, F.lit("_"), F.left("period", F.lit(4))).alias("archive"), F.concat(deal, F.lit("_"), "period", F.lit("01_lld.txt")).alias("member"), "loan_identifier", F.concat(text, F.lit("\n")).alias("line"), bars.alias("bars"))
-    if only is not None:
-        rows = rows.where(F.col("archive").isin(only))
+    deal = F.regexp_replace("deal_id", _CENTURY, "$1")
+    archive, member = F.concat(deal, F.lit("_"), F.left("period", F.lit(4))), F.concat(deal, F.lit("_"), "period", F.lit("01_lld.txt"))
+    rows = foundation if only is None else foundation.where(archive.isin(only))
+    # names are made by the tasks, once for all rows of a member
+    texts = [F.col("deal_id"), F.col("period"), text.alias("line"), bars.alias("bars")]
+    if whole:
+        dealt = rows.select(*texts)
+    else:
+        keyed = rows.select(*texts, "loan_identifier", archive.alias("archive"), member.alias("member"))
+        dealt = keyed.repartition(_shuffles(foundation.sparkSession), "archive").sortWithinPartitions("archive", "member", "loan_identifier").select("deal_id", "period", "line", "bars")
 
     def plain(batch: pa.RecordBatch, data: bytes) -> bool:
         told = batch.column(3)
         return told.null_count == 0 and data.count(b"|") == pc.sum(told).as_py() and data.count(b"\n") == batch.num_rows and b'"' not in data and b"\r" not in data
 
+    def named(deal: str | None, period: str | None) -> tuple[str, str]:
+        if deal is None or period is None:
+            raise GateError("a row without a deal or a period belongs to no member")
+        deal = re.sub(_CENTURY, r"\1", deal)
+        return f"{deal}_{period[:4]}", f"{deal}_{period}01_lld.txt"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, odd, open_name, member, beside, z, text = [], set(), None, None, None, None, None
 
@@ -368,15 +385,15 @@ def _write(foundation: DataFrame, text: Column, bars: Column, folder: str, only:
             if not batch.num_rows:
                 continue
             offsets, data = _buffers(batch.column(2))
+            ends = sorted({e for k in (0, 1) for e in pc.run_end_encode(batch.column(k)).run_ends.to_pylist()})
+            runs = [(first, end, *named(batch.column(0)[first].as_py(), batch.column(1)[first].as_py())) for first, end in zip([0, *ends], ends)]
             if only is None and not plain(batch, bytes(data[offsets[0] : offsets[-1]])):
-                odd |= set(pc.unique(batch.column(0)).to_pylist())
-            ends = pc.run_end_encode(batch.column(1)).run_ends.to_pylist()
-            for first, end in zip([0, *ends], ends):
-                archive, name = batch.column(0)[first].as_py(), batch.column(1)[first].as_py()
-                if name is None:
-                    raise GateError("a row without a deal or a period belongs to no member")
+                odd |= {archive for _, _, archive, _ in runs}
+            for first, end, archive, name in runs:
                 if archive != open_name:
                     end_archive()
+                    if any(archive == d[0] for d in done):
+                        raise GateError(f"rows of archive {archive} are not together")
                     beside = tempfile.NamedTemporaryFile(suffix=".zip")  # a task's own working file, sent to the folder when whole
                     z, text, open_name, member = zipfile.ZipFile(beside.name, "w", zipfile.ZIP_DEFLATED, compresslevel=1), None, archive, None
                     done.append([archive, 0, 0])
@@ -393,8 +410,8 @@ def _write(foundation: DataFrame, text: Column, bars: Column, folder: str, only:
             done = [[a, m, -1 if a in odd else n] for a, m, n in done]
             yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "members", "records"])
 
-    dealt = rows.repartition(_shuffles(foundation.sparkSession), "archive").sortWithinPartitions("archive", "member", "loan_identifier").drop("loan_identifier")
-    return cut(dealt.mapInArrow(run, "archive string, members long, records long"))
+    with compiled(foundation.sparkSession):
+        return cut(dealt.mapInArrow(run, "archive string, members long, records long"))
 
 
 def line(width: Column) -> Column:
@@ -406,12 +423,15 @@ def line(width: Column) -> Column:
 
 
 def plain_line(width: Column) -> Column:
-    """:func:`line`, without its end, of a row of the layout's widths whose fields need no quotes: just joined, without an array of them."""
+    """:func:`line` and its end, of a row of the layout's widths whose fields need no quotes: joined at once, without an array of them."""
     fields = [F.coalesce(F.col(c), F.lit("")) for c in FIELD_NAMES]
-    later = [F.when(width > k, F.concat(F.lit("|"), fields[k])).otherwise("") for k in range(min(WIDTHS), len(FIELD_NAMES))]
-    return F.concat(F.concat_ws("|", *fields[: min(WIDTHS)]), *later)
+    least = min(WIDTHS)
+    later = [F.when(width > k, F.concat(F.lit("|"), fields[k])).otherwise("") for k in range(least, len(FIELD_NAMES))]
+    return F.concat_ws("|", *fields[: least - 1], F.concat(fields[least - 1], *later, F.lit("\n")))
 
 
+#: How a deal's name begins, of which members' names keep the year's last digits.
+_CENTURY = r"^20(\d{2})-"
 #: What a field is quoted for.
 _SPECIAL = '[|"\r\n]'
 

@@ -5,13 +5,14 @@ import io
 
 import pytest
 from pyspark.sql import functions as F
+from conftest import DATA
 from test_archive import line, make
 
 from poolgauge import storage
 from poolgauge.functions.layout import FIELD_NAMES
 from poolgauge.operators import control, masking
 from poolgauge.plans import release
-from poolgauge.sources import archive
+from poolgauge.sources import archive, lens
 from poolgauge.sources.foundation import FACTS, KEYS, Foundation, partition_facts
 
 
@@ -86,3 +87,23 @@ def test_stored_partitions_are_masked_as_rows_are(spark, tmp_path, most):
         release.publish_stored(spark, made, str(tmp_path / "p"), key)
     with pytest.raises(control.GateError, match="at least"):
         release.publish_stored(spark, made, str(tmp_path / "q"), "00")
+
+
+def test_a_deal_s_year_is_in_one_task_by_month_and_loan(spark):
+    """Rows dealt by year are those dealt by order, in the order that archives hold them."""
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").limit(300)
+    rows, plain = lens.monthly(orders, by_year=True), lens.monthly(orders)
+    assert rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
+    listed = rows.select(F.spark_partition_id().alias("t"), "deal_id", "period", "loan_identifier").collect()
+    tasks = {}
+    for r in listed:
+        tasks.setdefault((r.deal_id, r.period[:4]), set()).add(r.t)
+    assert all(len(t) == 1 for t in tasks.values()) and len({min(t) for t in tasks.values()}) == len(tasks)
+    assert [r[1:] for r in listed] == [r[1:] for r in sorted(listed)]
+
+
+def test_archives_that_are_not_whole_in_a_task_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("2022-HQA1", f"20230{m}", f"L{m}") for m in range(1, 5)], "deal_id string, period string, loan_identifier string").repartition(4, "period")
+    rows = rows.select("*", F.lit(89).cast("short").alias("source_field_count"), *[F.lit(None).cast("string").alias(n) for n in FIELD_NAMES if n not in rows.columns])
+    with pytest.raises(control.GateError, match="not in one task"):
+        archive.write_archives(rows, str(tmp_path / "z"), whole=True)
