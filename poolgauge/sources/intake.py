@@ -43,7 +43,7 @@ FILE = "part-00000.zstd.parquet"
 
 
 def values_and_nulls(columns: list[str]) -> list[Column]:
-    """A row's values in one text, and numbers that tell which are null."""
+    """A row's values in one text, and numbers that tell which are null; exact for values without :data:`BETWEEN`."""
     null = [F.when(F.isnull(c), F.lit(1 << (k % MARKS))).otherwise(F.lit(0)).cast("long") for k, c in enumerate(columns)]
     marks = []
     for k in range(0, len(null), MARKS):
