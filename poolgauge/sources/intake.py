@@ -30,7 +30,7 @@ from poolgauge.sources import archive
 from poolgauge.storage import joined, located, names, write_whole
 
 #: What stands between a row's values in its text, and how many columns' nulls one number tells.
-BETWEEN, MARKS = "\x1f", 62
+BETWEEN, ESCAPE, MARKS = "\x1f", "\x1e", 62
 #: Columns of a partition's file, and in the order in which rows are hashed.
 STORED = tuple(c for c in (*LINEAGE, *FIELD_NAMES) if c != "deal_id")
 HASHED = tuple(sorted(STORED))
@@ -43,7 +43,11 @@ FILE = "part-00000.zstd.parquet"
 
 
 def values_and_nulls(columns: list[str]) -> list[Column]:
-    """A row's values in one text, and numbers that tell which are null; exact for values without :data:`BETWEEN`."""
+    """A row's values in one text, and numbers that tell which are null.
+
+    A row with a value that holds :data:`BETWEEN` has more of it than values to
+    part: its values are escaped, and a bit tells.
+    """
     null = [F.when(F.isnull(c), F.lit(1 << (k % MARKS))).otherwise(F.lit(0)).cast("long") for k, c in enumerate(columns)]
     marks = []
     for k in range(0, len(null), MARKS):
@@ -51,22 +55,41 @@ def values_and_nulls(columns: list[str]) -> list[Column]:
         for n in null[k + 1 : k + MARKS]:
             mark = mark.bitwiseOR(n)
         marks.append(mark)
-    return [F.concat_ws(BETWEEN, *[F.col(c).cast("string") for c in columns]), *marks]
+    values = [F.col(c).cast("string") for c in columns]
+    text, there = F.concat_ws(BETWEEN, F.lit(""), *values), F.lit(0)
+    for c in columns:
+        there = there + F.isnotnull(c).cast("int")
+    loose = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(BETWEEN), F.lit(""))) != there
+    escaped = [F.replace(F.replace(v, F.lit(ESCAPE), F.lit(ESCAPE * 2)), F.lit(BETWEEN), F.lit(ESCAPE + "u")) for v in values]
+    marks[0] = F.when(loose, marks[0].bitwiseOR(F.lit(1 << MARKS))).otherwise(marks[0])
+    return [F.when(loose, F.concat_ws(BETWEEN, F.lit(""), *escaped)).otherwise(text), *marks]
 
 
 def _values_and_nulls(columns: list[pa.Array]) -> list[pa.Array]:
     """:func:`values_and_nulls` of Arrow columns."""
     n, marks, kept = len(columns[0]), [], []
+    there = np.zeros(n, np.int64)
     for k, column in enumerate(columns):
         if k % MARKS == 0:
             marks.append(np.zeros(n, np.int64))
         if column.null_count == n:
             marks[-1] |= 1 << (k % MARKS)
             continue
+        there += 1
         if column.null_count:
-            marks[-1] |= pc.is_null(column).to_numpy(zero_copy_only=False).astype(np.int64) << (k % MARKS)
+            null = pc.is_null(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            marks[-1] |= null << (k % MARKS)
+            there -= null
         kept.append(column.cast(pa.string()))
-    text = pc.binary_join_element_wise(*kept, BETWEEN, null_handling="skip") if kept else pa.repeat(pa.scalar(""), n)
+    if not kept:
+        return [pa.repeat(pa.scalar(""), n), *map(pa.array, marks)]
+    # an empty first value, as rows of nothing but nulls are left out of a join
+    text = pc.binary_join_element_wise("", *kept, BETWEEN, null_handling="skip")
+    loose = pc.count_substring(text, BETWEEN).to_numpy(zero_copy_only=False) != there
+    if loose.any():
+        escaped = [pc.replace_substring(pc.replace_substring(c, ESCAPE, ESCAPE * 2), BETWEEN, ESCAPE + "u") for c in kept]
+        text = pc.if_else(pa.array(loose), pc.binary_join_element_wise("", *escaped, BETWEEN, null_handling="skip"), text)
+        marks[0][loose] |= 1 << MARKS
     return [text, *map(pa.array, marks)]
 
 

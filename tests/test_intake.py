@@ -3,6 +3,7 @@
 import codecs
 import io
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from conftest import DATA
@@ -12,7 +13,7 @@ from poolgauge import storage
 from poolgauge.functions.layout import FIELD_NAMES
 from poolgauge.operators import control, masking
 from poolgauge.plans import release
-from poolgauge.sources import archive, lens
+from poolgauge.sources import archive, intake, lens
 from poolgauge.sources.foundation import FACTS, KEYS, Foundation, partition_facts
 
 
@@ -107,3 +108,13 @@ def test_archives_that_are_not_whole_in_a_task_are_refused(spark, tmp_path):
     rows = rows.select("*", F.lit(89).cast("short").alias("source_field_count"), *[F.lit(None).cast("string").alias(n) for n in FIELD_NAMES if n not in rows.columns])
     with pytest.raises(control.GateError, match="not in one task"):
         archive.write_archives(rows, str(tmp_path / "z"), whole=True)
+
+
+def test_texts_of_tasks_and_of_spark_are_the_same(spark):
+    """Nulls, empty values, numbers, and values that hold what parts them; different rows have different texts."""
+    rows = [("a", "b", 1), ("a\x1fb", None, 1), (None, "a\x1fb", 1), ("a", "b\x1f", None), ("a\x1f", "b", None), ("a\x1eub", "", 2), ("", "a\x1eub", 2), ("a\x1fb", "", 2), ("", "", None), (None, None, None), ("", None, None), ("é\x1f\x1f", "\x1e", 3)]
+    df = spark.createDataFrame(rows, "x string, y string, n short")
+    want = [tuple(r) for r in df.select(*intake.values_and_nulls(["x", "y", "n"])).collect()]
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int16()))]
+    assert list(zip(*[c.to_pylist() for c in intake._values_and_nulls(columns)])) == want
+    assert len(set(want)) == len(rows)
